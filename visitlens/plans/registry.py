@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from visitlens.sources.fixtures import Tables
 
@@ -40,13 +41,17 @@ CTES = {
 }
 
 
-def register(sql: str | None = None, *ctes: str):
-    """Register a function of ``Tables`` under its name; ``sql`` may use the named table expressions."""
+def register(sql: str | None = None, *ctes: str, dates: tuple[str, ...] = ()):
+    """Register a function of ``Tables`` under its name; ``sql`` may use the named table expressions.
+
+    Columns in ``dates`` are returned as text, as readers differ in how they show dates.
+    """
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if f.__name__ in QUERIES:
             raise ValueError(f"{f.__name__} is registered twice")
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        text = {c: F.col(c).cast("string") for c in dates}
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir)).withColumns(text)
         if sql is not None:
             body = sql.strip()
             heads = [f"{c} AS ({CTES[c]})" for c in ctes]
@@ -55,6 +60,9 @@ def register(sql: str | None = None, *ctes: str):
                 ORACLE_SQL[f.__name__] = "WITH " + ",\n".join(heads)
             else:
                 ORACLE_SQL[f.__name__] = ("WITH " + ",\n".join(heads) + "\n" if heads else "") + body
+            if dates:
+                casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
+                ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({casts}) FROM ({ORACLE_SQL[f.__name__]})"
         return f
 
     return add
