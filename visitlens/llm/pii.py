@@ -8,6 +8,7 @@ classifier accepts are added; base spans always stay.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -135,44 +136,36 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return found.withColumn("end", end).select("rid", "base", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "tail")
 
 
-def reliabilities(patterns: DataFrame, *, rounds: int = 15) -> dict:
+def reliabilities(patterns: DataFrame, *, rounds: int = 10) -> dict[str, float]:
     """Expectation-maximisation over the counts of vote patterns (kind, one column per labeler, n).
 
     There are at most 3 ** 5 patterns of each kind, in one partition; each round is one aggregate of that table and
-    gives one row of sums. Returns {kind: (share of true spans, {(labeler, vote): (P if true, P if not)})}.
+    gives at most 60 rows of sums. Returns log odds by kind, and by kind, labeler and vote.
     """
-    values = (-1, 0, 1)
-    share = {k: 0.7 for k in KINDS}
-    odds = {k: {(j, v): ((0.6, 0.2)[v < 0] if v else 0.2, (0.2, 0.6)[v < 0] if v else 0.2) for j in LABELERS for v in values} for k in KINDS}
+    odds = {k: math.log(0.7 / 0.3) for k in KINDS}
+    odds |= {f"{k}:{j}{v}": math.log({-1: 0.2 / 0.6, 0: 1, 1: 0.6 / 0.2}[v]) for k in KINDS for j in LABELERS for v in (-1, 0, 1)}
+    cast = F.explode(F.array(*(F.concat(F.lit(j), F.col(j).cast("string")) for j in LABELERS)))
     for _ in range(rounds):
-        p = posterior(share, odds)
-        sums = [F.sum(F.when(F.col("kind") == k, F.col("n") * w)).alias(f"{k}_{s}") for k in KINDS for s, w in (("t", p), ("f", 1 - p))]
-        sums += [
-            F.sum(F.when((F.col("kind") == k) & (F.col(j) == v), F.col("n") * w)).alias(f"{k}_{j}_{v + 1}_{s}")
-            for k in KINDS for j in LABELERS for v in values for s, w in (("t", p), ("f", 1 - p))
-        ]
-        row = patterns.agg(*sums).first().asDict()
+        weighed = patterns.select("kind", (F.col("n") * posterior(odds)).alias("t"), "n", cast.alias("vote"))
+        rows = weighed.groupBy("kind", "vote").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
         for k in KINDS:
-            t, f = row[f"{k}_t"] or 0.0, row[f"{k}_f"] or 0.0
-            share[k] = min(0.99, max(0.01, (t + 1) / (t + f + 2)))
-            odds[k] = {
-                (j, v): (((row[f"{k}_{j}_{v + 1}_t"] or 0.0) + 0.5) / (t + 1.5), ((row[f"{k}_{j}_{v + 1}_f"] or 0.0) + 0.5) / (f + 1.5))
-                for j in LABELERS
-                for v in values
-            }
-    return {k: (share[k], odds[k]) for k in KINDS}
-
-
-def posterior(share: dict, odds: dict) -> Column:
+            sums = {r["vote"]: (r["t"], r["n"] - r["t"]) for r in rows if r["kind"] == k}
+            first = [x for v, x in sums.items() if v.startswith(LABELERS[0])]
+            t, f = sum(x[0] for x in first), sum(x[1] for x in first)
+            share = min(0.99, max(0.01, (t + 1) / (t + f + 2)))
+            odds[k] = math.log(share / (1 - share))
+            for j in LABELERS:
+                for v in (-1, 0, 1):
+                    a, b = sums.get(f"{j}{v}", (0.0, 0.0))
+                    odds[f"{k}:{j}{v}"] = math.log((a + 0.5) / (t + 1.5)) - math.log((b + 0.5) / (f + 1.5))
+    return odds
+
+
+def posterior(odds: dict[str, float]) -> Column:
     """The probability that a candidate is personal data, given its votes."""
-    out = F.lit(0.0)
-    for k in KINDS:
-        logit = F.log(F.lit(share[k] / (1 - share[k])))
-        for j in LABELERS:
-            ratio = {v: odds[k][j, v][0] / odds[k][j, v][1] for v in (-1, 0, 1)}
-            logit = logit + F.log(F.when(F.col(j) < 0, ratio[-1]).when(F.col(j) > 0, ratio[1]).otherwise(ratio[0]))
-        out = F.when(F.col("kind") == k, 1 / (1 + F.exp(-logit))).otherwise(out)
-    return out
+    held = F.create_map(*(F.lit(x) for item in odds.items() for x in item))
+    keys = [F.col("kind")] + [F.concat(F.col("kind"), F.lit(f":{j}"), F.col(j).cast("string")) for j in LABELERS]
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, (held[k] for k in keys))))
 
 
 def span_features() -> Column:
@@ -197,11 +190,10 @@ def find_pii(docs: DataFrame, *, accept: float = 0.9, id_col: str = "doc_id", te
     valid = reduce(lambda out, k: F.when(F.col("kind") == k, base_valid(k, F.col("match"))).otherwise(out), KINDS, F.lit(False))
     found = found.withColumn("strict", F.col("base") & F.coalesce(valid, F.lit(False)))
     cast = votes(F.col("kind"), F.col("strict"), F.col("match"), F.col("tail"))
-    found = write_table(found, "pii-candidates")
     voted = found.select("rid", "base", "kind", "start", "end", "match", "tail", F.col("strict").alias("sure"), *(v.cast("int").alias(j) for j, v in cast.items()))
-    patterns = write_table(voted.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "pii-patterns")
-    learned = reliabilities(patterns)
-    p = posterior({k: v[0] for k, v in learned.items()}, {k: v[1] for k, v in learned.items()})
+    voted = write_table(voted, "pii-votes")
+    patterns = write_table(voted.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")), "pii-patterns").coalesce(1)
+    p = posterior(reliabilities(patterns))
     trained = (
         voted.select("kind", p.alias("p"), F.explode(span_features()).alias("feature"))
         .groupBy("feature")
