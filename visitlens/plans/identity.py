@@ -1 +1,94 @@
-"""Queries."""
+"""Queries of identity resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from visitlens.operators import geometry, identity
+from visitlens.plans.registry import register
+from visitlens.plans.vectors import DIMS
+from visitlens.sources.fixtures import Tables
+
+GOOD = DIMS.replace("FROM crops", "FROM crops WHERE quality >= 0.3")
+#: Prototypes of the visits of each source; a visit here is the crops of one night.
+PROTO = f"""WITH e AS (SELECT source, date_diff('day', DATE '2024-01-01', night) AS visit, vec_id, dim, x FROM ({GOOD})),
+    n AS (SELECT source, visit, count(DISTINCT vec_id) AS crops FROM e GROUP BY source, visit HAVING count(DISTINCT vec_id) >= 3),
+    m AS (SELECT e.source, e.visit, dim, avg(x) AS x FROM e JOIN n ON e.source = n.source AND e.visit = n.visit GROUP BY e.source, e.visit, dim),
+    protos AS (SELECT source, visit, list(x / norm ORDER BY dim) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY source, visit)) AS norm FROM m) GROUP BY source, visit),
+    labels AS (SELECT source, visit, 'n' || (visit % 4) AS name FROM protos WHERE visit % 3 <> 0),
+    templates AS (SELECT p.source, p.visit, l.name, p.v FROM protos p JOIN labels l ON p.source = l.source AND p.visit = l.visit WHERE p.visit % 7 <> 0),
+    sims AS (SELECT p.source, p.visit, t.name, max(list_inner_product(p.v, t.v)) AS s FROM protos p JOIN templates t ON p.source = t.source AND p.visit <> t.visit GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY source, visit ORDER BY s DESC, name) AS rk FROM sims)"""
+
+
+def night_visits(t: Tables) -> DataFrame:
+    return t.crops.withColumn("visit", F.datediff("night", F.lit("2024-01-01").cast("date")).cast("long"))
+
+
+def matcher(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prototypes, human labels (of two visits in three) and templates (without the visits of several animals)."""
+    protos = identity.visit_prototypes(night_visits(t), gate=0.3)
+    labels = protos.where("visit % 3 <> 0").select("source", "visit", F.concat(F.lit("n"), (F.col("visit") % 4).cast("string")).alias("name"))
+    multi = protos.where("visit % 7 = 0").select("source", "visit")
+    return protos, labels, identity.templates(protos, labels, multi)
+
+
+@register(PROTO + " SELECT p.source, p.visit, n.crops, round(p.v[1], 6) AS first FROM protos p JOIN n ON p.source = n.source AND p.visit = n.visit", "crops")
+def i1_prototypes(t: Tables) -> DataFrame:
+    return identity.visit_prototypes(night_visits(t), gate=0.3).select("source", "visit", "crops", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@register(PROTO + " SELECT source, visit, name FROM templates", "crops")
+def i3_templates(t: Tables) -> DataFrame:
+    return matcher(t)[2].select("source", "visit", "name")
+
+
+@register(PROTO + " SELECT source, visit, rk AS rank, name, round(s, 6) AS similarity, s < 0.31 AS novel FROM ranked WHERE rk <= 3", "crops")
+def i5_suggestions(t: Tables) -> DataFrame:
+    protos, _, made = matcher(t)
+    return identity.suggestions(protos, made).withColumn("similarity", F.round("similarity", 6))
+
+
+@register(
+    PROTO + """, b AS (SELECT source, visit, max(name) FILTER (rk = 1) AS best, max(s) AS s, max(s) - coalesce(max(s) FILTER (rk = 2), 0) AS lead FROM ranked GROUP BY source, visit),
+    c AS (SELECT name, count(*) AS templates FROM templates GROUP BY name),
+    r AS (SELECT p.source, p.visit, b.best, b.s, b.lead, CASE WHEN l.name IS NOT NULL THEN 'labelled' WHEN b.best IS NULL THEN 'no templates' WHEN c.templates < 2 THEN 'few templates' WHEN b.s < 0.2 THEN 'unlike' WHEN b.lead < 0.02 THEN 'close second' END AS reason
+      FROM protos p LEFT JOIN b ON p.source = b.source AND p.visit = b.visit LEFT JOIN c ON c.name = b.best LEFT JOIN labels l ON l.source = p.source AND l.visit = p.visit)
+    SELECT source, visit, CASE WHEN reason IS NULL THEN best END AS name, reason, round(s, 6) AS similarity, round(lead, 6) AS lead FROM r""",
+    "crops",
+)
+def i7_auto_assign(t: Tables) -> DataFrame:
+    protos, labels, made = matcher(t)
+    out = identity.auto_assign(protos, made, labels, threshold=0.2, margin=0.02, min_templates=2)
+    return out.select("source", "visit", "name", "reason", F.round("similarity", 6).alias("similarity"), F.round("lead", 6).alias("lead"))
+
+
+@register()
+def i6_refit(t: Tables) -> DataFrame:
+    """Visits far from all templates are clustered by source and night of the week, so groups stay small."""
+    protos, _, made = matcher(t)
+    far = identity.suggestions(protos, made, k=1).where("novel").select("source", "visit")
+    rows = protos.join(far, ["source", "visit"], "left_semi").select("source", (F.col("visit") % 7).alias("weekday"), F.col("visit").alias("id"), "embedding")
+    return geometry.linkage(rows, ["source", "weekday"], cut=0.9)
+
+
+@register(
+    """WITH s AS (SELECT conv_id AS visit, turn AS side, CASE WHEN turn = 0 THEN 'a' END AS recognised FROM conversations WHERE turn < 2)
+    SELECT visit, side, CASE WHEN recognised IS NOT NULL THEN 'a' WHEN count(recognised) OVER (PARTITION BY visit) > 0 THEN 'b' END AS name FROM s"""
+)
+def g18_elimination(t: Tables) -> DataFrame:
+    sides = t.read("conversations").where("turn < 2").select(
+        F.col("conv_id").alias("visit"), F.col("turn").alias("side"), F.when(F.col("turn") == 0, "a").alias("recognised"), F.array(F.lit("a"), F.lit("b")).alias("names")
+    )
+    return identity.eliminate(sides)
+
+
+@register(
+    """WITH i AS (SELECT a.frame, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS both_,
+      (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS sum_ FROM boxes a JOIN boxes b ON a.frame = b.frame AND a.seq < b.seq),
+    f AS (SELECT DISTINCT frame // 10 AS visit, frame FROM i WHERE both_ / (sum_ - both_) < 0.45) SELECT visit, count(*) AS frames FROM f GROUP BY visit HAVING count(*) >= 3""",
+    "boxes",
+)
+def i2_multi_animal(t: Tables) -> DataFrame:
+    return identity.co_present_visits(geometry.pair_ious(t.boxes).withColumn("visit", F.floor(F.col("frame") / 10)))
