@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,9 +77,6 @@ def video_span(media: DataFrame) -> DataFrame:
 
 def decode_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
     """Blobs of 32-bit floats as arrays, by Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(blobs: pd.Series) -> pd.Series:
         return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
