@@ -50,8 +50,7 @@ def register(sql: str | None = None, *ctes: str, dates: tuple[str, ...] = ()):
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if f.__name__ in QUERIES:
             raise ValueError(f"{f.__name__} is registered twice")
-        text = {c: F.col(c).cast("string") for c in dates}
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir)).withColumns(text)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in dates})
         if sql is not None:
             body = sql.strip()
             heads = [f"{c} AS ({CTES[c]})" for c in ctes]
