@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -38,7 +37,7 @@ class Vocabulary:
         self.longest = max(map(len, tokens))
         self.halves: list[tuple[int, int] | None] = [self._halves(t) for t in tokens]
         self.merged = {pair: i for i, pair in enumerate(self.halves) if pair}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes ``token``; None for single bytes."""
@@ -62,14 +61,10 @@ class Vocabulary:
         Merges are undone from the latest one back. At each moment the tokens that touch the border are known; had
         they a merge of their own that comes before the one undone last, it would have crossed the border.
         """
-        key = (left, right)
-        known = self._beside.get(key)
-        if known is None:
-            known = self._unmerge(left, right)
-            if len(self._beside) > 1_000_000:
-                self._beside.clear()
-            self._beside[key] = known
-        return known
+        if len(self.known) > 1_000_000:
+            self.known.clear()
+        found = self.known[left, right] = self._unmerge(left, right)
+        return found
 
     def _unmerge(self, left: int, right: int) -> bool:
         # A merge is at (rank, side): of equal ranks the left one comes first.
@@ -96,13 +91,21 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         v = self.vocabulary
-        ranks, beside, last, longest = v.ranks, v.beside, self.last, v.longest
+        ranks, met, beside, last, longest = v.ranks.get, v.known.get, v.beside, self.last, v.longest
         at = len(self.piece)
         self.piece = piece = self.piece + more
         for end in range(at + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(piece[start:end])
-                if token is not None and (beside(last[start], token) if start else v.arises(token)):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                token = ranks(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    fits = met((last[start], token))
+                    if fits is None:
+                        fits = beside(last[start], token)
+                else:
+                    fits = v.arises(token)
+                if fits:
                     last.append(token)
                     break
             else:
@@ -124,25 +127,29 @@ class PrefixTable:
 
 
 class Encoder:
-    """Encodes texts piece by piece; pieces met before are remembered, up to ``most`` of them."""
+    """Encodes texts piece by piece. Pieces met before are remembered in two generations of up to ``most`` each."""
 
     def __init__(self, tokens: list[bytes], pattern: str, most: int = 400_000):
         self.vocabulary, self.pieces = Vocabulary(tokens), regex.compile(pattern).findall
-        self.most, self.known = most, {}
+        self.most, self.known, self.older = most, {}, {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        rank = self.vocabulary.ranks.get(raw)
-        found = (rank,) if rank is not None else tuple(PrefixTable(self.vocabulary, raw).tokens())
-        if len(raw) <= 64:
+        found = self.older.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8")
+            rank = self.vocabulary.ranks.get(raw)
+            found = (rank,) if rank is not None else tuple(PrefixTable(self.vocabulary, raw).tokens())
+        if len(piece) <= 32:
             if len(self.known) >= self.most:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
-        known, piece = self.known, self._piece
-        return [*chain.from_iterable(known.get(p) or piece(p) for p in self.pieces(text))]
+        piece, out = self._piece, []
+        for p in self.pieces(text):
+            out += self.known.get(p) or piece(p)
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
