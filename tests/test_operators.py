@@ -172,3 +172,34 @@ def test_reel_respects_budget(spark):
     rows = [(1, i, at(i), f"s{i % 3}", i // 4, float(i)) for i in range(40)]
     found = digest.select_reel(spark.createDataFrame(rows, "period long, id long, ts timestamp_ntz, species string, burst long, score double")).collect()
     assert len(found) == 12 and {r.id for r in found} >= {37, 38, 39}
+
+
+def test_folds_cover_every_probe_once():
+    table = evaluation.fold_table(11, 4, 2, 3)
+    for r in (0, 1):
+        assert sorted(i for q, _, i in table if q == r) == list(range(11))
+        assert sorted(sum(f == k for q, f, _ in table if q == r) for k in range(4)) == [2, 3, 3, 3]
+    assert [i for q, f, i in table if q == 0 and f == 0] == np.random.RandomState(3).permutation(11)[:3].tolist()
+
+
+def test_held_out_selects_on_the_other_folds(spark):
+    probes = spark.createDataFrame([(i, 0.5 + 0.1 * (i % 4), 0.1, "a", "a" if i != 5 else "b") for i in range(8)], "position long, similarity double, lead double, answer string, truth string")
+    folds = spark.createDataFrame([(0, i % 2, i) for i in range(8)], "repeat long, fold long, position long")
+    found = {r.fold: (r.assigned, r.wrong) for r in evaluation.held_out(probes, folds, [0.5, 0.65, 0.75], [0.0]).collect()}
+    # Fold 1 trains the strictest point without error, 0.75, which none of fold 0 meets; fold 0 trains 0.5.
+    assert found == {0: (0, 0), 1: (4, 1)}
+
+
+def test_still_tracklets_never_join_one_frame(spark):
+    rows = [(1, 10 * k + j, float(k), 100.0 * j, 0.0, 100.0 * j + 20, 20.0) for k in range(4) for j in (0, 1)]
+    found = geometry.still_tracklets(spark.createDataFrame(rows, "visit long, id long, at_s double, x1 double, y1 double, x2 double, y2 double")).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.track, set()).add(r.id % 10)
+    assert sorted(by.values(), key=str) == [{0}, {1}]
+
+
+def test_frozen_scene(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (1, [2.0, 4.0, 6.0]), (2, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0]), (3, [1.0, 0.0, 0.0])]
+    found = {r.group: r.dissimilarity for r in geometry.frozen(spark.createDataFrame(rows, "group long, thumb array<double>")).collect()}
+    assert found[1] == pytest.approx(0) and found[2] == pytest.approx(2) and found[3] is None

@@ -149,3 +149,39 @@ def forward_replay(units: DataFrame, *, threshold: float, margin: float, horizon
 
     whole = lambda key, pdf: next(replay(key, iter([pdf])))
     return units.groupBy("source").applyInPandas(whole, "source long, key long, named string, depth double, wrong boolean")
+
+
+def fold_table(n: int, k: int, repeats: int, seed: int) -> list[tuple[int, int, int]]:
+    """(repeat, fold, position) of seeded permutations of ``n`` positions, cut in ``k`` nearly equal parts.
+
+    ``n`` is the number of labelled probes, which people make, so the table is small; join it to numbered probes.
+    """
+    import numpy as np
+
+    draw = np.random.RandomState(seed)
+    return [(r, f, int(i)) for r in range(repeats) for f, part in enumerate(np.array_split(draw.permutation(n), k)) for i in part]
+
+
+def held_out(probes: DataFrame, folds: DataFrame, thresholds: list[float], margins: list[float]) -> DataFrame:
+    """Assigned and wrong probes of each (repeat, fold) at the point that the other folds select.
+
+    ``probes`` has a position that ``folds`` (repeat, fold, position) deals. Counts on the other folds are those of the
+    repeat less those of the fold.
+    """
+    dealt = probes.join(folds, "position")
+    at = lambda x, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: g <= F.col(x))) - 1
+    wrong = F.col("answer") != F.col("truth")
+    cells = dealt.select("repeat", "fold", at("similarity", thresholds).alias("t"), at("lead", margins).alias("m"), wrong.alias("wrong")).where("t >= 0 and m >= 0")
+    cells = cells.groupBy("repeat", "fold", "t", "m").agg(F.count(F.lit(1)).alias("assigned"), F.count_if("wrong").alias("wrong"))
+    for c in ("t", "m"):
+        rest = [x for x in ("t", "m") if x != c]
+        cells = cells.select("repeat", "fold", F.explode(F.sequence(F.lit(0), c)).alias(c), *rest, "assigned", "wrong").groupBy("repeat", "fold", "t", "m").agg(F.sum("assigned").alias("assigned"), F.sum("wrong").alias("wrong"))
+    whole = cells.groupBy("repeat", "t", "m").agg(F.sum("assigned").alias("all_assigned"), F.sum("wrong").alias("all_wrong"))
+    every = folds.select("repeat", "fold").distinct().join(whole, "repeat")
+    rated = every.join(cells, ["repeat", "fold", "t", "m"], "left").fillna(0, ["assigned", "wrong"])
+    train = rated.withColumn("train", F.col("all_assigned") - F.col("assigned")).where("all_wrong - wrong = 0 and all_assigned - assigned > 0")
+    order = F.struct((-F.col("train")).alias("less"), (-F.col("t")).alias("u"), (-F.col("m")).alias("v"))
+    best = train.groupBy("repeat", "fold").agg(F.min_by(F.struct("assigned", "wrong"), order).alias("x"))
+    return folds.select("repeat", "fold").distinct().join(best, ["repeat", "fold"], "left").select(
+        "repeat", "fold", F.coalesce("x.assigned", F.lit(0)).alias("assigned"), F.coalesce("x.wrong", F.lit(0)).alias("wrong")
+    )

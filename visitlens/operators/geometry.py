@@ -218,3 +218,55 @@ def cluster_cosine(x: np.ndarray, cut: float, frames: list | None = None) -> lis
         for i in members:
             out[i] = k
     return out
+
+
+def still_tracklets(rows: DataFrame, *, link_gap_s: float = 20.0, same: float = 0.45) -> DataFrame:
+    """(visit, track, id): crops of one visit linked frame by frame; two boxes of one frame never share a track.
+
+    Boxes of a frame that overlap by ``same`` are one. A box joins the open track whose last box is nearest in place and
+    time. ``rows``: visit, id, at_s, x1, y1, x2, y2.
+    """
+
+    def centre(b: Box) -> tuple[float, float, float]:
+        return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2, math.hypot(b[2] - b[0], b[3] - b[1])
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracks: list[dict] = []
+        for at, now in pdf.sort_values(["at_s", "id"]).groupby("at_s", sort=True):
+            groups: list[list] = []
+            for i, b in zip(now["id"], _boxes(now), strict=True):
+                home = next((g for g in groups if box_iou(g[0][1], b) >= same), None)
+                groups.append([(i, b)]) if home is None else home.append((i, b))
+            costs = []
+            for g, members in enumerate(groups):
+                x, y, d = centre(members[0][1])
+                for k, t in enumerate(tracks):
+                    if at - t["at"] <= link_gap_s:
+                        u, v, e = centre(t["box"])
+                        apart = math.hypot(x - u, y - v) / max((d + e) / 2, 1e-9)
+                        costs.append((apart + (at - t["at"]) / link_gap_s, k, g))
+            used_t, used_g = set(), set()
+            for cost, k, g in sorted(costs):
+                if cost <= 2 and k not in used_t and g not in used_g:
+                    used_t.add(k)
+                    used_g.add(g)
+                    tracks[k] |= {"at": at, "box": groups[g][0][1]}
+                    tracks[k]["ids"] += [i for i, _ in groups[g]]
+            tracks += [{"at": at, "box": m[0][1], "ids": [i for i, _ in m]} for g, m in enumerate(groups) if g not in used_g]
+        visit = pdf["visit"].iloc[0]
+        return pd.DataFrame([(visit, k, i) for k, t in enumerate(tracks) for i in t["ids"]], columns=["visit", "track", "id"])
+
+    return rows.select("visit", "id", "at_s", "x1", "y1", "x2", "y2").groupBy("visit").applyInPandas(each, "visit long, track long, id long")
+
+
+def frozen(vectors: DataFrame) -> DataFrame:
+    """(group, n, dissimilarity): one minus the median correlation of all pairs of a group's thumbnails; groups are visits."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["thumb"].to_numpy()).astype(float)
+        x = x - x.mean(axis=1, keepdims=True)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        pairs = (x @ x.T)[np.triu_indices(len(x), 1)]
+        return pd.DataFrame([(pdf["group"].iloc[0], len(x), 1 - float(np.median(pairs)) if len(pairs) else None)], columns=["group", "n", "dissimilarity"])
+
+    return vectors.select("group", "thumb").groupBy("group").applyInPandas(each, "group long, n long, dissimilarity double")

@@ -200,3 +200,10 @@ def d1_period_species(t: Tables) -> DataFrame:
 def d19_coverage(t: Tables) -> DataFrame:
     dark = a25_dark_seconds(t)
     return dark.groupBy(digest.period_of("started_at").alias("period")).agg(F.sum("dark_s").alias("dark_s"), F.count("dark_s").alias("known"))
+
+
+@register(f"WITH {PER} SELECT max(period) FILTER (period < now AND period % 2 = 0) AS day_period, max(period) FILTER (period < now AND period % 2 <> 0) AS night_period FROM per", *DET)
+def d4_resolution(t: Tables) -> DataFrame:
+    """The newest completed day and night."""
+    done = lambda odd: F.max(F.when((F.col("period") < F.col("now")) & ((F.col("period") % 2 != 0) == odd), F.col("period")))
+    return per(t).agg(done(False).alias("day_period"), done(True).alias("night_period"))

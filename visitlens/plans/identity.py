@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.operators import geometry, identity
+from visitlens.functions import columns
+from visitlens.operators import geometry, identity, vectors
 from visitlens.plans.registry import register
 from visitlens.plans.vectors import DIMS
 from visitlens.sources.fixtures import Tables
@@ -92,3 +93,85 @@ def g18_elimination(t: Tables) -> DataFrame:
 )
 def i2_multi_animal(t: Tables) -> DataFrame:
     return identity.co_present_visits(geometry.pair_ious(t.boxes).withColumn("visit", F.floor(F.col("frame") / 10)))
+
+
+@register(PROTO + " SELECT name, count(*) AS templates FROM templates GROUP BY name", "crops")
+def i4_usable_templates(t: Tables) -> DataFrame:
+    return matcher(t)[2].groupBy("name").agg(F.count(F.lit(1)).alias("templates"))
+
+
+@register()
+def i8_bootstrap(t: Tables) -> DataFrame:
+    """Unconfirmed visits in groups of likeness, by source and night of the week."""
+    protos, labels, _ = matcher(t)
+    rows = protos.join(labels, ["source", "visit"], "left_anti").select("source", (F.col("visit") % 7).alias("weekday"), F.col("visit").alias("id"), "embedding")
+    return geometry.linkage(rows, ["source", "weekday"], cut=0.9)
+
+
+@register(
+    PROTO + """, held AS (SELECT name, count(*) AS templates, max(visit) AS newest FROM templates GROUP BY name), d AS (SELECT *, (SELECT max(visit) FROM protos) - newest AS age FROM held)
+    SELECT lower(name) AS name, templates, age, CASE WHEN age >= 14 THEN 'lapsed' WHEN age >= 7 THEN 'fading' ELSE 'fresh' END AS state FROM d""",
+    "crops",
+)
+def i9_lapse_by_name(t: Tables) -> DataFrame:
+    protos, _, made = matcher(t)
+    n = made.groupBy("name").agg(F.count(F.lit(1)).alias("templates"), F.max("visit").alias("newest"))
+    d = n.crossJoin(F.broadcast(protos.agg(F.max("visit").alias("now")))).withColumn("age", F.col("now") - F.col("newest"))
+    return d.select(F.lower("name").alias("name"), "templates", "age", columns.lapse_state("age", "templates").alias("state"))
+
+
+@register(
+    PROTO + """, m2 AS (SELECT source, name, dim, avg(x) AS x FROM (SELECT source, name, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM templates) GROUP BY source, name, dim)
+    SELECT source, name, round(sqrt(sum(x * x)), 6) AS norm FROM m2 GROUP BY source, name""",
+    "crops",
+)
+def i10_template_means(t: Tables) -> DataFrame:
+    m = vectors.mean_vectors(matcher(t)[2], ["source", "name"])
+    return m.select("source", "name", F.round(F.sqrt(vectors.dot("embedding", "embedding")), 6).alias("norm"))
+
+
+@register(
+    PROTO + """, a AS (SELECT source, visit, max(name) FILTER (rk = 1) AS looks FROM ranked GROUP BY source, visit)
+    SELECT p.source, p.visit, a.looks, CASE WHEN n.crops < 5 THEN 'thin' WHEN n.crops <= 12 THEN 'fits' ELSE 'odd' END AS behaves FROM protos p JOIN n ON p.source = n.source AND p.visit = n.visit LEFT JOIN a ON p.source = a.source AND p.visit = a.visit""",
+    "crops",
+)
+def i12_two_axes(t: Tables) -> DataFrame:
+    """What a visit looks like beside how it behaves; the two are never merged."""
+    protos, _, made = matcher(t)
+    looks = identity.suggestions(protos, made, k=1).select("source", "visit", F.col("name").alias("looks"))
+    behaves = F.when(F.col("crops") < 5, "thin").when(F.col("crops") <= 12, "fits").otherwise("odd")
+    return protos.join(looks, ["source", "visit"], "left").select("source", "visit", "looks", behaves.alias("behaves"))
+
+
+@register()
+def g16_unblend(t: Tables) -> DataFrame:
+    """Crops of each source and night parted into groups of likeness, each with the name it resembles most."""
+    rows = t.crops.select("source", F.col("night").cast("string").alias("night"), F.col("vec_id").alias("id"), "embedding")
+    parts = geometry.linkage(rows, ["source", "night"], cut=0.95).join(rows, ["source", "night", "id"])
+    means = vectors.centroids(parts, ["source", "night", "cluster"]).withColumn("probe", F.struct("source", "night", "cluster"))
+    best = vectors.best_two(vectors.rank_against(means.select("probe", "embedding"), vectors.centroids(t.crops, ["name"])))
+    return best.select("probe.source", "probe.night", "probe.cluster", F.col("best").alias("name"), F.round("similarity", 4).alias("similarity"))
+
+
+@register()
+def g17_unblend_stills(t: Tables) -> DataFrame:
+    """The same under the bar that crops of one moment are different animals."""
+    rows = t.crops.select("source", F.col("night").cast("string").alias("night"), F.col("vec_id").alias("id"), "embedding", F.col("visit"))
+    return geometry.linkage(rows, ["source", "night"], cut=0.97, apart="visit")
+
+
+@register()
+def g5_still_tracklets(t: Tables) -> DataFrame:
+    b = t.boxes.select(F.floor(F.col("frame") / 20).alias("visit"), (F.col("frame") * 100 + F.col("seq") * 10 + F.floor(F.col("score") * 9)).alias("id"), F.col("frame").cast("double").alias("at_s"), "x1", "y1", "x2", "y2")
+    return geometry.still_tracklets(b)
+
+
+@register()
+def m13_frozen(t: Tables) -> DataFrame:
+    return geometry.frozen(t.crops.select(F.col("visit").alias("group"), F.col("embedding").alias("thumb"))).select("group", "n", F.round("dissimilarity", 4).alias("dissimilarity"))
+
+
+@register("SELECT source, visit, count(*) AS frames FROM crops GROUP BY source, visit", "crops")
+def a44_visit_frames(t: Tables) -> DataFrame:
+    """Over all crops of a visit, embedded or not."""
+    return t.crops.groupBy("source", "visit").agg(F.count(F.lit(1)).alias("frames"))

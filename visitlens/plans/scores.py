@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
-from visitlens.operators import evaluation, geometry, intervals, vectors
+from visitlens.operators import evaluation, geometry, intervals, sessions, vectors
 from visitlens.plans.evaluation import GRADED, LOO, MARGINS, PAIRS, THRESHOLDS, UNITS, graded, pairs, units
 from visitlens.plans.intervals import visit_clips
 from visitlens.plans.profiles import named_visits
@@ -308,3 +308,51 @@ def w2_priority_order(t: Tables) -> DataFrame:
 def w18_random_sample(t: Tables) -> DataFrame:
     """A seeded sample of 50 rows; the sampling is the feature."""
     return t.detections.orderBy(F.rand(7)).limit(50).select("id")
+
+
+@register("SELECT v.source, v.started_at, sum(greatest(0, epoch_us(least(v.ended_at, c.end_at)) - epoch_us(greatest(v.started_at, c.start_at)))) / 1e6 AS filmed_s FROM visits v JOIN clips c ON v.source = c.source AND c.start_at <= v.ended_at AND c.end_at >= v.started_at GROUP BY v.source, v.started_at", *VISITS, "clip_flagged", "clip_stamped", "clips")
+def f10_filmed_seconds(t: Tables) -> DataFrame:
+    return visit_clips(t).groupBy("source", F.col("a0").alias("started_at")).agg(F.sum("overlap_s").alias("filmed_s"))
+
+
+@register("SELECT source, started_at, arg_min(individual, (-n, f)) AS individual FROM (SELECT source, started_at, individual, count(*) AS n, min((ts, id)) AS f FROM stamped WHERE k >= 80 GROUP BY ALL) GROUP BY source, started_at", *STAMPED)
+def a40_confirmed_labels(t: Tables) -> DataFrame:
+    return sessions.winners(sessions.votes(t.stamped.where("k >= 80"), value="individual"), "individual").drop("margin")
+
+
+@register(
+    """SELECT individual, count(DISTINCT (source, started_at)) AS visits, count(DISTINCT CAST(ts AS DATE)) AS days, round(count(*) / count(DISTINCT (source, started_at)), 6) AS crops_per_visit FROM stamped GROUP BY individual""", *STAMPED
+)
+def a42_individual_behaviour(t: Tables) -> DataFrame:
+    visits = F.count_distinct(F.struct("source", "started_at"))
+    return t.stamped.groupBy("individual").agg(visits.alias("visits"), F.count_distinct(F.to_date("ts")).alias("days"), F.round(F.count(F.lit(1)) / visits, 6).alias("crops_per_visit"))
+
+
+@register("SELECT d.individual, d.days, coalesce(n.templates, 0) AS templates, CASE WHEN coalesce(n.templates, 0) = 0 THEN 'none' ELSE 'some' END AS state FROM (SELECT individual, count(DISTINCT CAST(ts AS DATE)) AS days FROM detections GROUP BY individual) d LEFT JOIN (SELECT individual, count(*) AS templates FROM detections WHERE species = 'purchase' AND k >= 50 GROUP BY individual) n ON d.individual = n.individual", *DET)
+def a43_roll_call_lapse(t: Tables) -> DataFrame:
+    """Names without a template have the state none."""
+    days = t.detections.groupBy("individual").agg(F.count_distinct(F.to_date("ts")).alias("days"))
+    n = t.detections.where("species = 'purchase' and k >= 50").groupBy("individual").agg(F.count(F.lit(1)).alias("templates"))
+    count = F.coalesce("templates", F.lit(0))
+    return days.join(n, "individual", "left").select("individual", "days", count.alias("templates"), F.when(count == 0, "none").otherwise("some").alias("state"))
+
+
+@register()
+def e23_held_out_points(t: Tables) -> DataFrame:
+    """Points chosen on four folds of five and scored on the fifth, for three seeded repeats.
+
+    The probes are the labelled visits, numbered by their key; their number alone comes to the driver.
+    """
+    loo = evaluation.leave_one_out(pairs(t))
+    numbered = loo.withColumn("position", (F.row_number().over(Window.orderBy("probe")) - 1).cast("long"))
+    n = units(t).select("probe").distinct().count()
+    folds = t.spark.createDataFrame(evaluation.fold_table(n, 5, 3, 7), "repeat long, fold long, position long")
+    return evaluation.held_out(numbered, folds, THRESHOLDS, MARGINS)
+
+
+@register("SELECT c.vec_id, c.name, d.source AS seen_at, v.n FROM crops c JOIN stamped d ON c.vec_id = d.id JOIN visits v ON v.source = d.source AND v.started_at = d.started_at", *VISITS, "crops")
+def s11_track_vectors(t: Tables) -> DataFrame:
+    """Vectors with their detection and its visit."""
+    d = t.stamped.select(F.col("id").alias("vec_id"), F.col("source").alias("seen_at"), "started_at")
+    v = t.visits.select(F.col("source").alias("seen_at"), "started_at", "n")
+    return t.crops.select("vec_id", "name").join(d, "vec_id").join(v, ["seen_at", "started_at"]).select("vec_id", "name", "seen_at", "n")
