@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -33,13 +34,28 @@ def plain(rows, order):
     return sorted(tuple(value(r[i]) for i in order) for r in rows)
 
 
+@pytest.fixture(scope="session")
+def running(request, spark):
+    """The selected queries, several at a time; each test waits for its own."""
+
+    def run(name):
+        df = QUERIES[name](spark, SF)
+        return df.columns, [tuple(r) for r in df.collect()]
+
+    names = [i.callspec.params["name"] for i in request.session.items if i.originalname == "test_query"]
+    with ThreadPoolExecutor(6) as pool:
+        futures = {n: pool.submit(run, n) for n in names}
+        yield futures
+        for f in futures.values():
+            f.cancel()
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    rows = [tuple(r) for r in df.collect()]
-    assert len(set(df.columns)) == len(df.columns)
+def test_query(running, duck, name):
+    columns, rows = running[name].result()
+    assert len(set(columns)) == len(columns)
     if name in ORACLE_SQL:
         found = duck.sql(ORACLE_SQL[name])
-        assert sorted(found.columns) == sorted(df.columns)
+        assert sorted(found.columns) == sorted(columns)
         order = lambda names: [names.index(c) for c in sorted(names)]
-        assert plain(rows, order(df.columns)) == plain(found.fetchall(), order(found.columns))
+        assert plain(rows, order(columns)) == plain(found.fetchall(), order(found.columns))
