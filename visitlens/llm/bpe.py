@@ -34,10 +34,12 @@ class Vocabulary:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.longest = max(map(len, tokens))
+        self.sizes = [*map(len, tokens)]
+        self.longest = max(self.sizes)
         self.halves: list[tuple[int, int] | None] = [self._halves(t) for t in tokens]
         self.merged = {pair: i for i, pair in enumerate(self.halves) if pair}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+        self.wide = len(tokens)
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens of the last merge that makes ``token``; None for single bytes."""
@@ -63,7 +65,7 @@ class Vocabulary:
         """
         if len(self.known) > 1_000_000:
             self.known.clear()
-        found = self.known[left, right] = self._unmerge(left, right)
+        found = self.known[left * self.wide + right] = self._unmerge(left, right)
         return found
 
     def _unmerge(self, left: int, right: int) -> bool:
@@ -82,6 +84,37 @@ class Vocabulary:
                 bound, right = 2 * right + 1, b[0]
 
 
+def extend(v: Vocabulary, piece: bytes, last: list[int], at: int) -> None:
+    """Append to ``last`` the last tokens of the prefixes of ``piece`` beyond ``at`` bytes."""
+    ranks, met, beside, longest, wide = v.ranks.get, v.known.get, v.beside, v.longest, v.wide
+    for end in range(at + 1, len(piece) + 1):
+        for start in range(end - 1, max(0, end - longest) - 1, -1):
+            token = ranks(piece[start:end])
+            if token is None:
+                continue
+            if start:
+                fits = met(last[start] * wide + token)
+                if fits is None:
+                    fits = beside(last[start], token)
+            else:
+                fits = v.arises(token)
+            if fits:
+                last.append(token)
+                break
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+
+
+def walk_back(v: Vocabulary, last: list[int], end: int) -> list[int]:
+    """The encoding of the first ``end`` bytes."""
+    sizes, out = v.sizes, []
+    while end:
+        token = last[end]
+        out.append(token)
+        end -= sizes[token]
+    return out[::-1]
+
+
 class PrefixTable:
     """The last token of every byte prefix of one piece."""
 
@@ -90,26 +123,9 @@ class PrefixTable:
         self.append(piece)
 
     def append(self, more: bytes) -> None:
-        v = self.vocabulary
-        ranks, met, beside, last, longest = v.ranks.get, v.known.get, v.beside, self.last, v.longest
         at = len(self.piece)
-        self.piece = piece = self.piece + more
-        for end in range(at + 1, len(piece) + 1):
-            for start in range(end - 1, max(0, end - longest) - 1, -1):
-                token = ranks(piece[start:end])
-                if token is None:
-                    continue
-                if start:
-                    fits = met((last[start], token))
-                    if fits is None:
-                        fits = beside(last[start], token)
-                else:
-                    fits = v.arises(token)
-                if fits:
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        self.piece = self.piece + more
+        extend(self.vocabulary, self.piece, self.last, at)
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Put ``new`` in the place of bytes start to end; prefixes up to ``start`` stay as they are."""
@@ -119,11 +135,7 @@ class PrefixTable:
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes."""
-        end, out = len(self.piece) if end is None else end, []
-        while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[self.last[end]])
-        return out[::-1]
+        return walk_back(self.vocabulary, self.last, len(self.piece) if end is None else end)
 
 
 class Encoder:
@@ -138,7 +150,12 @@ class Encoder:
         if found is None:
             raw = piece.encode("utf-8")
             rank = self.vocabulary.ranks.get(raw)
-            found = (rank,) if rank is not None else tuple(PrefixTable(self.vocabulary, raw).tokens())
+            if rank is not None:
+                found = (rank,)
+            else:
+                last = [-1]
+                extend(self.vocabulary, raw, last, 0)
+                found = tuple(walk_back(self.vocabulary, last, len(raw)))
         if len(piece) <= 32:
             if len(self.known) >= self.most:
                 self.known, self.older = {}, self.known
