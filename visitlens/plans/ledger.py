@@ -27,7 +27,7 @@ def l1_latest_species(t: Tables) -> DataFrame:
     return ledger.latest(label_events(t), ["id"], "at", ["species"])
 
 
-@register(LATEST + """ SELECT d.id, coalesce(human, species) AS species, CASE WHEN human IS NOT NULL THEN species END AS model_species, CASE WHEN human IS NOT NULL THEN 1 END AS verified
+@register(LATEST + """ SELECT d.id, coalesce(human, species) AS species, CASE WHEN human IS NOT NULL THEN species END AS model_species, CAST(CASE WHEN human IS NOT NULL THEN 1 END AS BIGINT) AS verified
     FROM detections d LEFT JOIN newest n ON d.id = n.id""", *DET)
 def l2_corrected_species(t: Tables) -> DataFrame:
     return ledger.apply_labels(t.detections, label_events(t))

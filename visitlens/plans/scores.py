@@ -22,7 +22,7 @@ def f3_capitalised(t: Tables) -> DataFrame:
     return t.detections.select("id", columns.capitalised(F.concat_ws(" ", "species", "individual")).alias("title"))
 
 
-@register("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END AS names FROM conversations")
+@register("SELECT conv_id, turn, CAST(CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS names FROM conversations")
 def f6_json_names(t: Tables) -> DataFrame:
     text = F.when(F.col("turn") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.lit("not json"))
     return t.read("conversations").select("conv_id", "turn", F.size(columns.json_names(text)).cast("long").alias("names"))
