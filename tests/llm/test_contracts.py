@@ -73,9 +73,11 @@ def test_bpe(spark, docs):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(t or ""))
 
 
-def test_toxicity(spark, docs):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    held = [r for r in queries.op9_toxicity(spark, SF).collect() if r["held_out"] and r["doc_id"] in labels]
+def test_toxicity(spark):
+    """On the table for which the share was set: the held-out fifth of the smallest one is 19 rows."""
+    larger = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    held = [r for r in queries.op9_toxicity(spark, larger).collect() if r["held_out"] and r["doc_id"] in labels]
     right = sum(r["predicted"] == labels[r["doc_id"]] for r in held)
     assert right >= 0.95 * len(held)
 
