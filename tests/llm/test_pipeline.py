@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import defaultdict
 
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from visitlens.llm import toxicity  # noqa: E402
+from visitlens.llm import simhash, toxicity  # noqa: E402
 from visitlens.llm.shared import write_table  # noqa: E402
 
 from . import brute  # noqa: E402
@@ -93,3 +94,17 @@ def test_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_short_near_copies(spark):
+    """A word more, or another first word, makes a near copy of any short text."""
+    rng, docs, want = random.Random(1), [], set()
+    for i in range(60):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(9 + i % 25)]
+        docs += [(3 * i, " ".join(text)), (3 * i + 1, " ".join([*text, "more"])), (3 * i + 2, " ".join(["other", *text[1:]]))]
+        sets = [set(brute.shingles(t, 5)) for _, t in docs[-3:]]
+        want |= {3 * i + k for k in range(3) if not any(len(sets[k] & s) >= 0.8 * len(sets[k] | s) for s in sets[:k])}
+    table = write_table(spark.createDataFrame(docs, "doc_id long, text string"), "short")
+    kept = simhash.near_dedup(table).collect()
+    assert {r.doc_id for r in kept} == want
+    assert len(want) < 100

@@ -9,6 +9,7 @@ reaches inside the shard; no list of all pairs is made. Connected components of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -217,6 +218,63 @@ def simhash_components(docs: DataFrame, *, width: int = 5, reach: int = 2, id_co
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rare_shingles(h: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of which any text of that ``similarity`` shares one, rarest first, and how many distinct ones there are.
+
+    Of n shingles all but ceil(similarity * n) - 1 suffice, if all texts order them alike: by ``times`` (those of the
+    sorted ``common``, 0 elsewhere), then by value. The order is for speed alone.
+    """
+    u = np.unique(h)
+    rank = np.zeros(len(u), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, u), len(common) - 1)
+        rank = np.where(common[at] == u, times[at], 0)
+    most = max(0, len(u) - math.ceil(similarity * len(u) - 1e-9) + 1)
+    return u[np.lexsort((u, rank))[:most]], len(u)
+
+
+def shared_keys(rows: DataFrame, *, width: int, similarity: float, sample: int = 16, most: int = 1 << 18) -> DataFrame:
+    """(key, rid, n, pos) of the rare shingles of ``rows`` (rid, text) that two rows or more have.
+
+    Shingles common in one text of ``sample`` are put last, so boilerplate makes few candidates.
+    """
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["key"])
+
+    drawn = rows.where(F.pmod(F.xxhash64("rid"), F.lit(sample)) == 0).select("text").mapInArrow(some, "key long")
+    top = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toArrow()
+    common, times = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(common)
+    held = rows.sparkSession.sparkContext.broadcast((common[order], times[order]))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rare_shingles(shingle_hashes(t.as_py(), width), similarity, *held.value) for t in batch["text"]]
+            sizes = [len(u) for u, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *(u for u, _ in found)]).view(np.int64)),
+                    pa.array(np.repeat(batch["rid"].to_numpy(zero_copy_only=False), sizes), pa.int64()),
+                    pa.array(np.repeat([n for _, n in found], sizes), pa.int32()),
+                    pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]), pa.int32()),
+                ],
+                ["key", "rid", "n", "pos"],
+            )
+
+    each = rows.select("rid", "text").mapInArrow(keys, "key long, rid long, n int, pos int")
+    times_seen = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return write_table(each.withColumn("seen", times_seen).where("seen > 1").drop("seen"), "near-keys")
+
+
+def _can_be_alike(similarity: float) -> Column:
+    """Whether texts x and y whose first common rare shingle is this one can be so similar, by their lengths and its places."""
+    both = F.lit(1) + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    return both >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+
+
 def near_dedup(
     docs: DataFrame,
     *,
@@ -231,30 +289,26 @@ def near_dedup(
     """Keep the row with the smallest id of each group of near-duplicate texts (Jaccard of word shingles).
 
     One fingerprint of a whole text parts texts of similarity 0.8 by up to 14 bits, where the triangle bound prunes
-    nothing. So ``sketch`` passages of each text are fingerprinted, and the tree finds passages within ``reach`` bits;
-    texts that share one are candidates. Within a passage's group each text is compared with the text that shares most
-    passages with others, with the one of the smallest id, and with its neighbour in the order of whole fingerprints.
-    Candidates are verified with the exact Jaccard similarity of their shingle sets; components of verified pairs are
-    the groups. Texts without words are alike. A null id is larger than any other here. Returns the columns of ``docs``.
+    nothing. So ``sketch`` passages of each text are fingerprinted, and the tree finds passages within ``reach`` bits.
+    Within a passage's group each text is compared with the text that shares most passages with others and with the one
+    of the smallest id; likewise with the first that has one of its rare shingles. This joins most groups with few
+    comparisons. Then every pair of texts that share a rare shingle and are not joined yet is compared, so no pair is
+    lost, however short the texts or common their passages. All are compared by the exact Jaccard similarity of their
+    shingle sets; components of verified pairs are the groups. Texts without words are alike. A null id is larger than
+    any other here. Returns the columns of ``docs``.
     """
     names = docs.columns
     kind = docs.schema[id_col].dataType.simpleString()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, parts = [], []
-            for t in batch["text"]:
-                h = shingle_hashes(t.as_py(), width)
-                fps.append(signed(fingerprint(h)))
-                parts.append([signed(x) for x in segment_fingerprints(h, sketch, mean_run)])
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["rid"], pa.array(fps, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "rid", "whole", "parts"]
-            )
+            parts = [[signed(x) for x in segment_fingerprints(shingle_hashes(t.as_py(), width), sketch, mean_run)] for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "rid", "parts"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
     held = write_table(
-        rows.mapInArrow(passages, f"doc_id {kind}, rid long, whole long, parts array<long>")
-        .select("doc_id", "rid", "whole", F.explode("parts").alias("fp")),
+        rows.mapInArrow(passages, f"doc_id {kind}, rid long, parts array<long>")
+        .select("doc_id", "rid", F.explode("parts").alias("fp")),
         "passages",
     )
     points = write_table(held.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "passage-points")
@@ -263,7 +317,7 @@ def near_dedup(
     named = write_table(named, "passage-named")
     sizes = named.groupBy("passage").agg(F.sum("n").alias("size")).where("size > 1")
     named = write_table(named.join(sizes, "passage").select("fp", "passage", "size"), "passage-sizes")
-    shared = write_table(held.join(named, "fp").select("doc_id", "rid", "whole", "passage", "size").distinct(), "passage-shared")
+    shared = write_table(held.join(named, "fp").select("doc_id", "rid", "passage", "size").distinct(), "passage-shared")
     fame = write_table(shared.groupBy("rid").agg(F.sum("size").alias("fame")), "passage-fame")
     shared = write_table(shared.join(fame, "rid"), "passage-famed")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -272,24 +326,16 @@ def near_dedup(
         "passage-heads",
     )
     stars = shared.join(heads, "passage").select("rid", F.explode(F.array("hub", "first")).alias("other"))
-    beside = _neighbours(shared)
-    pairs = write_table(
-        stars.unionByName(beside)
-        .where("rid <> other")
-        .select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b"))
-        .distinct(),
-        "near-pairs",
-    )
-    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
+    keys = shared_keys(rows, width=width, similarity=similarity)
+    whole = F.struct("rid", "n", "pos")
+    firsts = write_table(keys.groupBy("key").agg(F.min(whole).alias("y")), "near-firsts")
+    begun = keys.select("key", whole.alias("x")).join(firsts, "key").where(_can_be_alike(similarity)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [(np.unique(shingle_hashes(t.as_py(), width)) >> np.uint64(16)).astype("<u8").tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(s, pa.binary())], ["rid", "shingles"])
 
-    texts = rows.join(wanted, "rid", "left_semi").select("rid", "text")
-    shingles = write_table(texts.mapInArrow(sets, "rid long, shingles binary"), "near-shingles")
-
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p: bytes, q: bytes) -> bool:
@@ -301,36 +347,32 @@ def near_dedup(
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
 
-    near = (
-        pairs.join(shingles.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(shingles.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-        .where(alike("x", "y"))
-        .select("a", "b")
-    )
-    groups = write_table(connected_components(write_table(near, "near-verified")), "near-groups")
+    def verified(candidates: DataFrame) -> DataFrame:
+        pairs = candidates.where("rid <> other").select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b"))
+        pairs = write_table(pairs.distinct(), "near-pairs")
+        wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
+        few = wanted.count() <= 1 << 20  # then the texts need no shuffle
+        texts = rows.join(F.broadcast(wanted) if few else wanted, "rid", "left_semi").select("rid", "text")
+        shingles = write_table(texts.mapInArrow(sets, "rid long, shingles binary"), "near-shingles")
+        near = (
+            pairs.join(shingles.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(shingles.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
+            .where(alike("x", "y"))
+            .select("a", "b")
+        )
+        return write_table(near, "near-verified")
+
+    near = verified(stars.unionByName(begun))
+    begun = write_table(connected_components(near), "near-begun")
+    apart = keys.join(begun, keys["rid"] == begun["node"], "left").select("key", "rid", "n", "pos", F.coalesce("component", "rid").alias("component"))
+    apart = write_table(apart, "near-joined")
+    ends = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    apart = write_table(apart.join(ends, "key", "left_semi").select("key", F.struct("rid", "n", "pos", "component").alias("x")), "near-apart")
+    rest = apart.join(apart.select("key", F.col("x").alias("y")), "key").where("x.component < y.component").where(_can_be_alike(similarity))
+    near = near.unionByName(verified(rest.select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"))))
+    groups = write_table(connected_components(near), "near-groups")
     ids = held.select("rid", "doc_id").distinct().join(groups, F.col("rid") == F.col("node")).select("rid", "component", "doc_id")
     ids = write_table(ids, "near-members")
     stay = write_table(ids.groupBy("component").agg(F.min_by("rid", least).alias("stay")), "near-stay")
     gone = ids.join(stay, "component").where("rid <> stay").select(F.col("rid").alias("__rid"))
     return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").select(names)
-
-
-def _neighbours(shared: DataFrame) -> DataFrame:
-    """Pairs of neighbours in the order of (passage, whole fingerprint, row), dealt by range so that no group is one task's."""
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = shared.select("passage", "whole", "rid").repartitionByRange(parts, "passage", "whole", "rid")
-    dealt = dealt.sortWithinPartitions("passage", "whole", "rid")
-
-    def beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in frames:
-            p, r = pdf["passage"].to_numpy(np.int64), pdf["rid"].to_numpy(np.int64)
-            if last is not None:
-                p, r = np.append(last[0], p), np.append(last[1], r)
-            if not len(p):
-                continue
-            same = p[1:] == p[:-1]
-            last = (p[-1], r[-1])
-            yield pd.DataFrame({"rid": r[1:][same], "other": r[:-1][same]})
-
-    return dealt.mapInPandas(beside, "rid long, other long")
