@@ -108,3 +108,18 @@ def test_short_near_copies(spark):
     kept = simhash.near_dedup(table).collect()
     assert {r.doc_id for r in kept} == want
     assert len(want) < 100
+
+
+def test_near_copies_in_a_family_with_boilerplate(spark):
+    """Near copies that have only boilerplate passages in common with the first text of the family."""
+    rng, docs, want = random.Random(2), [], set()
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common = words(140)
+    for i in range(40):
+        own = words(60)
+        for k in range(2):
+            docs.append((2 * i + k, " ".join([*own[: 30 - k], *["edit"] * k, *own[30:], *common])))
+        want.add(2 * i)
+    table = write_table(spark.createDataFrame(docs, "doc_id long, text string"), "family")
+    for sketch in (1, 6):
+        assert {r.doc_id for r in simhash.near_dedup(table, sketch=sketch).collect()} == want
