@@ -257,3 +257,25 @@ def test_toxicity(docs, none, spark):
         rows = toxicity.score_toxicity(docs, model).collect()
         assert len(rows) == len(TEXTS) + 3 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert toxicity.score_toxicity(none, model).count() == 0
+
+
+def test_parts_of_items_leak():
+    """Any part that is long enough leaks, however much the rest of the item is changed."""
+    rng = random.Random(9)
+    limits = {"error": 0.06, "least_chars": 60, "share": 0.6}
+    table = decontam._fold_table()
+    word = lambda n: "".join(rng.choices(string.ascii_lowercase, k=n))
+    item = "".join(rng.choices(string.ascii_lowercase, k=240))
+    changed = list(item)
+    for at in (155, 180, 205):
+        changed[at : at + 7] = [rng.choice("0123456789") for _ in range(6)] + [changed[at + 6]]
+    short = word(60)
+    cases = [(item, "".join(changed), True), (item, item[:120] + word(120), False), (short, short[:4] + "0" + short[5:], True), (short, short[:54] + "0" + short[55:], True), (item, item[40:190], True)]
+    cases += [(x, y, True) for x in [word(84)] for y in ["".join(c if k % 11 != 10 or k > 60 else "0" for k, c in enumerate(x[:68]))]]
+    for one, text, leaks in cases:
+        q = decontam.gram_length(len(one), q=12, **limits)
+        index = decontam.build_index([(1, one)], q=q, **limits)
+        found = decontam.find_leaks([decontam.fold(f"{word(30)} {text} {word(30)}", table)], index, q)
+        assert bool(found) == leaks, (one, text)
+        for _, _, start, end, edits in found:
+            assert 0 <= start < end and edits <= index.edits[0]

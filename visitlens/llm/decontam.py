@@ -3,7 +3,8 @@
 Texts and benchmark items are reduced to lower-case letters and digits with single spaces. A region of n characters that
 matches with at most e edits shares at least n + 1 - q * (e + 1) q-grams, all of whose diagonals lie within e of each
 other. So shared q-grams are counted in overlapping diagonal bands, and only bands that can hold such a region are
-kept; their regions are verified by banded alignment.
+kept. Regions that their hits span are verified by banded alignment, and where none is good enough, all parts of the
+item that are long enough are aligned with the band.
 """
 
 from __future__ import annotations
@@ -95,6 +96,7 @@ class GramIndex:
     texts: list[np.ndarray]
     need: np.ndarray
     edits: np.ndarray
+    least: np.ndarray
     grams: np.ndarray
     first: np.ndarray
     item_of: np.ndarray
@@ -103,12 +105,30 @@ class GramIndex:
     shift: int
 
 
+def _measures(length: int, error: float, least_chars: int, share: float) -> tuple[int, int]:
+    """How many characters of an item of ``length`` a leak covers at least, and the edits that the whole item may have."""
+    return min(length, max(least_chars, int(share * length))), int(error * length)
+
+
+def _allowed(length: int, edits: int, n: np.ndarray | int) -> np.ndarray | int:
+    """The edits that a part of ``n`` characters may have."""
+    return -(-edits * n // max(1, length))
+
+
+def gram_length(length: int, *, q: int, error: float, least_chars: int, share: float) -> int:
+    """The longest q-gram, of ``q`` at most, of which every part that is a leak shares one with the text."""
+    need, edits = _measures(length, error, least_chars, share)
+    n = np.arange(max(1, need), length + 1)
+    return int(min(q, *(n // (_allowed(length, edits, n) + 1)))) if len(n) else q
+
+
 def build_index(items: list[tuple[int, str]], *, q: int, error: float, least_chars: int, share: float) -> GramIndex:
     table = _fold_table()
     texts = [fold(t or "", table) for _, t in items]
     # A leak covers so many characters of its item, with so many edits.
-    need = np.array([min(len(t), max(least_chars, int(share * len(t)))) for t in texts], np.int64)
-    edits = np.array([int(error * len(t)) for t in texts], np.int64)
+    need, edits = np.array([_measures(len(t), error, least_chars, share) for t in texts], np.int64).reshape(-1, 2).T
+    parts = [np.arange(k, len(t) + 1) for t, k in zip(texts, need, strict=True)]
+    least = np.array([max(1, (n + 1 - q * (_allowed(len(t), int(e), n) + 1)).min()) for t, e, n in zip(texts, edits, parts, strict=True)], np.int64)
     hashes = [gram_hashes(t, q) for t in texts]
     h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     item = np.repeat(np.arange(len(texts)), [len(x) for x in hashes]) if hashes else np.empty(0, np.int64)
@@ -119,7 +139,7 @@ def build_index(items: list[tuple[int, str]], *, q: int, error: float, least_cha
     bitmap = np.zeros(1 << bits, bool)
     bitmap[(grams >> np.uint64(64 - bits)).astype(np.int64)] = True
     ids = [i for i, _ in items]
-    return GramIndex(ids, texts, need, edits, grams, np.append(first, len(h)), item[order], offset[order], bitmap, 64 - bits)
+    return GramIndex(ids, texts, need, edits, least, grams, np.append(first, len(h)), item[order], offset[order], bitmap, 64 - bits)
 
 
 def find_leaks(texts: list[np.ndarray], index: GramIndex, q: int) -> list[tuple[int, int, int, int, int]]:
@@ -144,7 +164,6 @@ def find_leaks(texts: list[np.ndarray], index: GramIndex, q: int) -> list[tuple[
     # Overlapping bands: each diagonal lies in two, so any run of diagonals of up to a band's half lies whole in one.
     half = index.edits[item] + 1
     band = (pos - offset + (1 << 40)) // half
-    least = np.maximum(1, index.need + 1 - q * (np.ceil(index.edits * index.need / np.maximum(1, [len(t) for t in index.texts])).astype(np.int64) + 1))
     found: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
     text, item, pos, offset = (np.concatenate([x, x]) for x in (text, item, pos, offset))
     band = np.concatenate([band, band + 1])
@@ -152,21 +171,78 @@ def find_leaks(texts: list[np.ndarray], index: GramIndex, q: int) -> list[tuple[
     t, i, d, p, o = text[order], item[order], band[order], pos[order], offset[order]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(d) != 0)]))
     last = np.append(first[1:], len(order))
-    full = last - first >= least[i[first]]
+    full = last - first >= index.least[i[first]]
     for s, e in zip(first[full], last[full], strict=True):
         key = (int(t[s]), int(i[s]))
         whole, need = index.texts[key[1]], int(index.need[key[1]])
         if key in found:
             continue
+        most_all = int(index.edits[key[1]])
         for ps, pe, os, oe in _regions(p[s:e], o[s:e], q, need):
-            most = int(np.ceil(index.edits[key[1]] / max(1, len(whole)) * (oe - os)))
+            most = int(_allowed(len(whole), most_all, oe - os))
             distance = edits_within(whole[os:oe], texts[key[0]][ps:pe], most)
             if distance <= most:
                 found[key] = (*key, ps, pe, distance)
                 break
+        else:
+            low = (int(d[s]) - 1) * (most_all + 1) - (1 << 40)
+            part = leaked_part(whole, texts[key[0]], o[s:e], q, need, most_all, low, low + 2 * most_all + 1)
+            if part:
+                found[key] = (*key, *part)
     return list(found.values())
 
 
+def leaked_part(item: np.ndarray, text: np.ndarray, offsets: np.ndarray, q: int, need: int, edits: int, low: int, high: int) -> tuple[int, int, int] | None:
+    """(start, end, edits) in ``text`` of a part of ``item`` of ``need`` characters or more with few enough edits.
+
+    Diagonals ``low`` to ``high`` are searched, whose hits stand at ``offsets`` of the item. All starts for which the
+    q-gram bound allows some end are aligned at once, each with a free start in the text.
+    """
+    n = len(item)
+    allowed = np.asarray(_allowed(n, edits, np.arange(n + 1)))
+    hits = np.zeros(n + 1, np.int64)
+    hits[np.unique(offsets) + 1] = 1
+    before = np.cumsum(hits)  # hits at smaller offsets
+    starts = [s for s in range(n - need + 1) if _may_leak(s, n, need, q, before, allowed)]
+    if not starts:
+        return None
+    begin, width, far = np.array(starts), high - low + 1, edits + 1
+    steps = np.arange(width, dtype=np.int32)
+    rows = np.full((len(begin), width), far, np.int32)
+    padded = np.full(n + width + 1, -1, np.int64)  # the text from position ``low`` on
+    there = np.arange(low, low + len(padded))
+    inside = (there >= 0) & (there < len(text))
+    padded[inside] = text[there[inside]]
+    place = (there >= 0) & (there <= len(text))
+    for i in range(starts[0], n):
+        rows[begin == i] = np.where(place[i : i + width], 0, far)
+        best = rows + (padded[i : i + width] != item[i])
+        best[:, :-1] = np.minimum(best[:, :-1], rows[:, 1:] + 1)
+        best = np.where(place[i + 1 : i + 1 + width], best, far)
+        best = np.minimum.accumulate(best - steps, axis=1) + steps  # insertions
+        rows = np.where(place[i + 1 : i + 1 + width], np.minimum(best, far), far)
+        rows[begin > i] = far
+        ready = np.flatnonzero(begin + need <= i + 1)
+        if len(ready):
+            least = rows[ready].min(axis=1)
+            good = np.flatnonzero(least <= allowed[i + 1 - begin[ready]])
+            if len(good):
+                at, distance = ready[good[0]], int(least[good[0]])
+                end = i + 1 + low + int(rows[at].argmin())
+                part = item[begin[at] : i + 1]
+                for start in sorted(range(max(0, end - len(part) - distance), min(end, end - len(part) + distance) + 1), key=lambda x: abs(end - len(part) - x)):
+                    if edits_within(part, text[start:end], distance) <= distance:
+                        return start, end, distance
+    return None
+
+
+def _may_leak(s: int, n: int, need: int, q: int, before: np.ndarray, allowed: np.ndarray) -> bool:
+    """Whether some part from ``s`` on has as many hits as a leak of its length must have."""
+    length = np.arange(need, n - s + 1)
+    have = before[np.maximum(s, s + length - q + 1)] - before[s]
+    return bool((have >= np.maximum(1, length + 1 - q * (allowed[length] + 1))).any())
+
+
 def _regions(p: np.ndarray, o: np.ndarray, q: int, need: int) -> Iterator[tuple[int, int, int, int]]:
     """Regions (start and end in the text, then in the item) that the hits of a band span, cut at ever smaller gaps."""
     for reach in (4 * need, need // 2 + q, 2 * q):
@@ -195,7 +271,7 @@ def benchmark_leaks(
     An item leaks where at least ``share`` of it, and ``least_chars`` characters (the whole item if that is shorter),
     stand in the text with at most ``error`` edits a character. Case, punctuation and white space do not matter. Items
     of fewer than ``q`` such characters can't leak. A null text or item is empty; items with one id count together.
-    The index of ``block_chars`` characters of benchmark is broadcast (some 100 MB at most); a larger benchmark is
+    Items of which a leak need not share a run of ``q`` characters are searched by shorter runs. The index of ``block_chars`` characters of benchmark is broadcast (some 100 MB at most); a larger benchmark is
     taken in blocks, each of which scans the documents. Nothing is shuffled.
     """
     spark = docs.sparkSession
@@ -207,7 +283,13 @@ def benchmark_leaks(
     block: list[tuple[int, str]] = []
 
     def search(items: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(build_index(items, q=q, error=error, least_chars=least_chars, share=share))
+        limits = {"error": error, "least_chars": least_chars, "share": share}
+        folds, by = _fold_table(), {}
+        for item in items:
+            length = len(fold(item[1] or "", folds))
+            if length >= q:
+                by.setdefault(gram_length(length, q=q, **limits), []).append(item)
+        index = spark.sparkContext.broadcast([(k, build_index(some, q=k, **limits)) for k, some in sorted(by.items())])
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, held = _fold_table(), index.value
@@ -222,8 +304,9 @@ def benchmark_leaks(
                         at.append(i)
                         size += len(folded)
                     if todo and (end or size > 1 << 20):
-                        for t, item, start, stop, edits in find_leaks(todo, held, q):
-                            leaks[at[t]].append({"item_id": held.items[item], "start": start, "end": stop, "edits": edits})
+                        for k, part in held:
+                            for t, item, start, stop, edits in find_leaks(todo, part, k):
+                                leaks[at[t]].append({"item_id": part.items[item], "start": start, "end": stop, "edits": edits})
                         todo, size, at = [], 0, []
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(leaks, leak_type)], ["doc_id", "rid", "leaks"])
 
