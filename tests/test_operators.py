@@ -203,3 +203,11 @@ def test_frozen_scene(spark):
     rows = [(1, [1.0, 2.0, 3.0]), (1, [2.0, 4.0, 6.0]), (2, [1.0, 2.0, 3.0]), (2, [3.0, 2.0, 1.0]), (3, [1.0, 0.0, 0.0])]
     found = {r.group: r.dissimilarity for r in geometry.frozen(spark.createDataFrame(rows, "group long, thumb array<double>")).collect()}
     assert found[1] == pytest.approx(0) and found[2] == pytest.approx(2) and found[3] is None
+
+
+def test_places_on_the_border_of_two_cells(spark):
+    """With the default cell, a box that wobbles over a border stays one place."""
+    rows = spark.createDataFrame([(1, i, i, 44.0 + i % 2, 44.0, 83.0 + i % 2, 84.0) for i in range(6)], "source long, id long, at long, x1 double, y1 double, x2 double, y2 double")
+    for drift in (0.0, 0.3):
+        got = geometry.place_clusters(rows, drift=drift).select("source", "cell_x", "cell_y", "cluster").distinct().collect()
+        assert len(got) == 1

@@ -93,27 +93,30 @@ def place_clusters(rows: DataFrame, *, limit: float = 0.75, drift: float = 0.0,
     """(source, cell_x, cell_y, cluster, id): boxes that stay in place, taken in order of time.
 
     A box joins the first cluster (the best one with ``best``) whose anchor it overlaps by ``limit``; an anchor moves by
-    ``drift`` towards each new box. A source's picture is cut in cells by box centre, so a busy source is many groups.
+    ``drift`` towards each new box. All boxes of a source are walked together, as a place may lie on the border of two
+    cells; a cluster carries the cell of its first box.
     """
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "id"])
         anchors: list[Box] = []
-        found = []
+        found, cells = [], []
         for b in _boxes(pdf):
             overlaps = [(box_iou(b, a), i) for i, a in enumerate(anchors)]
             fits = [(-o, i) for o, i in overlaps if o >= limit]
             if not fits:
                 anchors.append(b)
+                cells.append((math.floor((b[0] + b[2]) / 2 / cell), math.floor((b[1] + b[3]) / 2 / cell)))
                 found.append(len(anchors) - 1)
                 continue
             i = min(fits)[1] if best else min(i for _, i in fits)
             anchors[i] = tuple((1 - drift) * x + drift * y for x, y in zip(anchors[i], b, strict=True))
             found.append(i)
-        return pdf.assign(cluster=found)[["source", "cell_x", "cell_y", "cluster", "id"]]
+        x, y = ([cells[i][k] for i in found] for k in (0, 1))
+        return pdf.assign(cell_x=x, cell_y=y, cluster=found)[["source", "cell_x", "cell_y", "cluster", "id"]]
 
-    celled = rows.select("source", "id", "at", "x1", "y1", "x2", "y2").withColumn("cell_x", F.floor((F.col("x1") + F.col("x2")) / 2 / cell)).withColumn("cell_y", F.floor((F.col("y1") + F.col("y2")) / 2 / cell))
-    return celled.groupBy("source", "cell_x", "cell_y").applyInPandas(each, "source long, cell_x long, cell_y long, cluster long, id long")
+    boxes = rows.select("source", "id", "at", "x1", "y1", "x2", "y2")
+    return boxes.groupBy("source").applyInPandas(each, "source long, cell_x long, cell_y long, cluster long, id long")
 
 
 def associate(points: DataFrame, *, base: float = 0.05, rate: float = 0.25, gap_s: float = 1.5, min_hits: int = 5) -> DataFrame:
