@@ -203,10 +203,10 @@ def leaked_part(item: np.ndarray, text: np.ndarray, offsets: np.ndarray, q: int,
     hits = np.zeros(n + 1, np.int64)
     hits[np.unique(offsets) + 1] = 1
     before = np.cumsum(hits)  # hits at smaller offsets
-    starts = [s for s in range(n - need + 1) if _may_leak(s, n, need, q, before, allowed)]
-    if not starts:
+    begin = _starts(n, need, q, before, allowed)
+    if not len(begin):
         return None
-    begin, width, far = np.array(starts), high - low + 1, edits + 1
+    width, far = high - low + 1, edits + 1
     steps = np.arange(width, dtype=np.int32)
     rows = np.full((len(begin), width), far, np.int32)
     padded = np.full(n + width + 1, -1, np.int64)  # the text from position ``low`` on
@@ -214,7 +214,7 @@ def leaked_part(item: np.ndarray, text: np.ndarray, offsets: np.ndarray, q: int,
     inside = (there >= 0) & (there < len(text))
     padded[inside] = text[there[inside]]
     place = (there >= 0) & (there <= len(text))
-    for i in range(starts[0], n):
+    for i in range(int(begin[0]), n):
         rows[begin == i] = np.where(place[i : i + width], 0, far)
         best = rows + (padded[i : i + width] != item[i])
         best[:, :-1] = np.minimum(best[:, :-1], rows[:, 1:] + 1)
@@ -222,6 +222,11 @@ def leaked_part(item: np.ndarray, text: np.ndarray, offsets: np.ndarray, q: int,
         best = np.minimum.accumulate(best - steps, axis=1) + steps  # insertions
         rows = np.where(place[i + 1 : i + 1 + width], np.minimum(best, far), far)
         rows[begin > i] = far
+        live = (begin > i) | (rows.min(axis=1) <= allowed[n - begin])
+        if not live.all():
+            begin, rows = begin[live], rows[live]
+            if not len(begin):
+                return None
         ready = np.flatnonzero(begin + need <= i + 1)
         if len(ready):
             least = rows[ready].min(axis=1)
@@ -236,11 +241,12 @@ def leaked_part(item: np.ndarray, text: np.ndarray, offsets: np.ndarray, q: int,
     return None
 
 
-def _may_leak(s: int, n: int, need: int, q: int, before: np.ndarray, allowed: np.ndarray) -> bool:
-    """Whether some part from ``s`` on has as many hits as a leak of its length must have."""
-    length = np.arange(need, n - s + 1)
-    have = before[np.maximum(s, s + length - q + 1)] - before[s]
-    return bool((have >= np.maximum(1, length + 1 - q * (allowed[length] + 1))).any())
+def _starts(n: int, need: int, q: int, before: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """The starts from which some part of an item of ``n`` characters has as many hits as a leak of its length must have."""
+    start, length = np.arange(n - need + 1), np.arange(need, n + 1)
+    end = start[:, None] + length
+    have = np.where(end <= n, before[np.clip(end - q + 1, start[:, None], n)] - before[start][:, None], -1)
+    return start[(have >= np.maximum(1, length + 1 - q * (allowed[length] + 1))).any(axis=1)]
 
 
 def _regions(p: np.ndarray, o: np.ndarray, q: int, need: int) -> Iterator[tuple[int, int, int, int]]:
