@@ -279,3 +279,13 @@ def test_parts_of_items_leak():
         assert bool(found) == leaks, (one, text)
         for _, _, start, end, edits in found:
             assert 0 <= start < end and edits <= index.edits[0]
+
+
+def test_trust_reaches_the_end_of_a_chain(spark):
+    """Distrust goes on over more than twelve links."""
+    hosts = spark.createDataFrame([(f"h{i}", False, i == 20, 1) for i in range(21)], "host string, trusted boolean, blocked boolean, pages long")
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(20)], "src string, dst string, n long")
+    got = {r.host: r.distrust for r in urlgraph.propagate(hosts, links, damping=0.85, rounds=120, tolerance=1e-6).collect()}
+    assert all(abs(got[f"h{20 - k}"] - 0.15 * 0.85**k) < 1e-5 for k in range(21))
+    with pytest.raises(RuntimeError):
+        urlgraph.propagate(hosts, links, damping=0.85, rounds=12, tolerance=1e-6)

@@ -65,7 +65,8 @@ def propagate(hosts: DataFrame, links: DataFrame, *, damping: float, rounds: int
     """(host, trust, distrust, rank): three personalised PageRanks in one pass per round.
 
     Trust starts from the trusted hosts and follows links; distrust starts from the blocked ones and follows links
-    backwards, to those who link there; rank starts evenly. ``hosts`` has (host, trusted, blocked, pages).
+    backwards, to those who link there; rank starts evenly. ``hosts`` has (host, trusted, blocked, pages). Rounds go on
+    until the scores move by less than ``tolerance`` together; if ``rounds`` do not suffice, it raises.
     """
     kinds = {"trust": ("src", "dst"), "distrust": ("dst", "src"), "rank": ("src", "dst")}
     flows = None
@@ -109,6 +110,9 @@ def propagate(hosts: DataFrame, links: DataFrame, *, damping: float, rounds: int
         score = now.drop("was")
         if moved < tolerance:
             break
+    else:
+        if not idle:
+            raise RuntimeError(f"scores were still moving by {moved} after {rounds} rounds")
     return score.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in kinds))
 
 
@@ -117,7 +121,7 @@ def judge_urls(
     rules: list[Rule],
     *,
     damping: float = 0.85,
-    rounds: int = 12,
+    rounds: int = 120,
     tolerance: float = 1e-6,
     threshold: float = 0.5,
     seed_share: float = 0.5,
