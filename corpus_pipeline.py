@@ -37,10 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks stay."""
-    found = decontam.benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = found.where("size(leaks) > 0").select(F.col("rid").alias("__rid"))
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(leaked, "__rid", "left_anti").select(docs.columns)
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
