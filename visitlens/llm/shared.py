@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A table of keys is broadcast up to so many rows (some tens of MB); beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +33,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, number: str = "__rid") -> DataFrame:
+    """``df`` with a number for each row in column ``number``, written once, so a rerun can't deal the numbers anew."""
+    if number in df.columns:
+        raise ValueError(f"column {number} is reserved")
+    return write_table(df.withColumn(number, F.monotonically_increasing_id()), name)
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """A written table for the small side of a join: broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

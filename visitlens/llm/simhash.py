@@ -10,18 +10,19 @@ reaches inside the shard; no list of all pairs is made. Connected components of
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import write_table
+from .shared import bounded, numbered, write_table
 
 SEED = 42
 
@@ -49,19 +50,6 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def segment_fingerprints(h: np.ndarray, sketch: int, mean_run: int) -> list[int]:
-    """Fingerprints of up to ``sketch`` passages of a document.
-
-    A passage ends after a shingle whose hash is divisible by ``mean_run``, so equal passages of two texts are cut
-    alike wherever they stand. Those with the least hash of their fingerprint are taken, alike in every document.
-    """
-    if not len(h):
-        return [0]
-    cuts = np.flatnonzero(h % np.uint64(mean_run) == 0) + 1
-    found = {fingerprint(x) for x in np.split(h, cuts) if len(x)}
-    return sorted(found, key=lambda f: xxhash.xxh64_intdigest(f.to_bytes(8, "big"), 1))[:sketch]
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -157,11 +145,28 @@ def local_roots(points: np.ndarray, n_home: int, reach: int, block: int = 1 << 2
     return _find(parent, np.arange(len(points)))
 
 
+def shard_roots(points: np.ndarray, n_home: int, reach: int, leaf: int = 2048) -> np.ndarray:
+    """As ``local_roots``; a shard with many residents is parted by a tree of its own, so work stays near-linear."""
+    if n_home <= 2 * leaf:
+        return local_roots(points, n_home, reach)
+    row, part, home = VantageTree(points[:n_home], leaf).route(points, reach)
+    order = np.lexsort((row, ~home, part))
+    row, part, home = row[order], part[order], home[order]
+    parent = np.arange(len(points))
+    for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(part)) + 1):
+        at = row[some]
+        root = at[local_roots(points[at], int(home[some].sum()), reach)]
+        linked = root != at
+        _unite(parent, at[linked], root[linked])
+    return _find(parent, np.arange(len(points)))
+
+
 def near_links(points: DataFrame, *, reach: int, shard: int = 4096, sample: int = 1 << 18) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``points`` (fp long, distinct) within ``reach`` bits.
 
     The tree is fitted on at most about ``sample`` fingerprints (2 MB), so shards have about ``shard`` residents up to
-    ``sample * shard / 16`` fingerprints, and grow beyond that; every fingerprint is dealt and compared.
+    ``sample * shard / 16`` fingerprints; larger shards are parted by trees of their own inside their tasks. Every
+    fingerprint is dealt and compared.
     """
     spark = points.sparkSession
     n = points.count()
@@ -178,7 +183,7 @@ def near_links(points: DataFrame, *, reach: int, shard: int = 4096, sample: int
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["home", "fp"], ascending=[False, True])
         fp = pdf["fp"].to_numpy(np.int64)
-        root = local_roots(fp.view(np.uint64), int(pdf["home"].sum()), reach)
+        root = shard_roots(fp.view(np.uint64), int(pdf["home"].sum()), reach)
         linked = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
 
@@ -218,161 +223,161 @@ def simhash_components(docs: DataFrame, *, width: int = 5, reach: int = 2, id_co
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def rare_shingles(h: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles of which any text of that ``similarity`` shares one, rarest first, and how many distinct ones there are.
+def rare_shingles(u: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Those of the distinct shingles ``u`` of which any text of that ``similarity`` shares one, rarest first.
 
     Of n shingles all but ceil(similarity * n) - 1 suffice, if all texts order them alike: by ``times`` (those of the
     sorted ``common``, 0 elsewhere), then by value. The order is for speed alone.
     """
-    u = np.unique(h)
     rank = np.zeros(len(u), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, u), len(common) - 1)
         rank = np.where(common[at] == u, times[at], 0)
     most = max(0, len(u) - math.ceil(similarity * len(u) - 1e-9) + 1)
-    return u[np.lexsort((u, rank))[:most]], len(u)
+    return u[np.lexsort((u, rank))[:most]]
 
 
-def shared_keys(rows: DataFrame, *, width: int, similarity: float, sample: int = 16, most: int = 1 << 18) -> DataFrame:
-    """(key, rid, n, pos) of the rare shingles of ``rows`` (rid, text) that two rows or more have.
+#: Longs of a text's parity sketch: bit i says whether an odd number of its shingles falls into class i.
+SKETCH = 8
+
+
+def parity_sketch(u: np.ndarray) -> np.ndarray:
+    """Two sets differ in at least as many elements as their sketches differ in bits."""
+    return np.packbits(np.bincount((u >> np.uint64(7)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) % 2 == 1).view(">i8")
 
-    Shingles common in one text of ``sample`` are put last, so boilerplate makes few candidates.
-    """
+
+def common_shingles(texts: DataFrame, *, width: int, sample: int = 16, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in more than two texts of one in ``sample``, sorted, and in how many; at most ``most`` (4 MB)."""
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["key"])
 
-    drawn = rows.where(F.pmod(F.xxhash64("rid"), F.lit(sample)) == 0).select("text").mapInArrow(some, "key long")
+    drawn = texts.where(F.pmod(F.xxhash64("rid"), F.lit(sample)) == 0).select("text").mapInArrow(some, "key long")
     top = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(most).toArrow()
     common, times = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(common)
-    held = rows.sparkSession.sparkContext.broadcast((common[order], times[order]))
+    return common[order], times[order]
+
+
+def shingled(texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """(rid, doc_id, n, s1, s2, fp, bits, keys) of ``texts`` (rid, doc_id, text), written once.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n distinct shingles with the digest s1, s2 of their set; the fingerprint; the parity sketch; the rare shingles.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width=width))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rare_shingles(shingle_hashes(t.as_py(), width), similarity, *held.value) for t in batch["text"]]
-            sizes = [len(u) for u, _ in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.empty(0, np.uint64), *(u for u, _ in found)]).view(np.int64)),
-                    pa.array(np.repeat(batch["rid"].to_numpy(zero_copy_only=False), sizes), pa.int64()),
-                    pa.array(np.repeat([n for _, n in found], sizes), pa.int32()),
-                    pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]), pa.int32()),
-                ],
-                ["key", "rid", "n", "pos"],
-            )
-
-    each = rows.select("rid", "text").mapInArrow(keys, "key long, rid long, n int, pos int")
-    times_seen = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return write_table(each.withColumn("seen", times_seen).where("seen > 1").drop("seen"), "near-keys")
-
-
-def _can_be_alike(similarity: float) -> Column:
+            n, digests, fps, bits, keys = [], [], [], [], []
+            for t in batch["text"]:
+                h = shingle_hashes(t.as_py(), width)
+                u = np.unique(h)
+                n.append(len(u))
+                digests.append(np.frombuffer(xxhash.xxh3_128_digest(u.tobytes()), "<i8"))
+                fps.append(signed(fingerprint(h)))
+                bits.append(parity_sketch(u))
+                keys.append(rare_shingles(u, similarity, *held.value).view(np.int64))
+            s = np.array(digests, np.int64).reshape(-1, 2)
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.empty(0, np.int64), *bits]).astype(np.int64)), SKETCH)
+            columns = [batch["rid"], batch["doc_id"], pa.array(n, pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(fps, pa.int64())]
+            columns += [sketches.cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n", "s1", "s2", "fp", "bits", "keys"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"rid long, doc_id {kind}, n int, s1 long, s2 long, fp long, bits array<long>, keys array<long>"
+    return write_table(texts.select("rid", "doc_id", "text").mapInArrow(each, schema), "near-rows")
+
+
+def _can_be_alike(x: str, y: str, similarity: float) -> Column:
     """Whether texts x and y whose first common rare shingle is this one can be so similar, by their lengths and its places."""
-    both = F.lit(1) + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
-    return both >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-
-
-def near_dedup(
-    docs: DataFrame,
-    *,
-    width: int = 5,
-    similarity: float = 0.8,
-    sketch: int = 6,
-    mean_run: int = 8,
-    reach: int = 1,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+    x, y = (lambda c, at=at: F.col(f"{at}.{c}") for at in (x, y))
+    both = F.lit(1) + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1
+    return both >= similarity / (1 + similarity) * (x("n") + y("n")) - 1e-6
+
+
+def _sketches_allow(x: str, y: str, similarity: float) -> Column:
+    """Whether sets with these sketches can be so similar."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(SKETCH)))
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+
+
+def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep the row with the smallest id of each group of near-duplicate texts (Jaccard of word shingles).
 
-    One fingerprint of a whole text parts texts of similarity 0.8 by up to 14 bits, where the triangle bound prunes
-    nothing. So ``sketch`` passages of each text are fingerprinted, and the tree finds passages within ``reach`` bits.
-    Within a passage's group each text is compared with the text that shares most passages with others and with the one
-    of the smallest id; likewise with the first that has one of its rare shingles. This joins most groups with few
-    comparisons. Then every pair of texts that share a rare shingle and are not joined yet is compared, so no pair is
+    Texts with equal sets of shingles are joined first and then stand for one. The vantage-point tree gives links
+    between fingerprints within ``reach`` bits. Fingerprints of texts of similarity 0.8 differ by up to 14 bits, where
+    the triangle bound prunes nothing, so the others come from an exact prefix filter: two texts so similar share one
+    of their rare shingles. Each text is compared with the text that shares most with others, and with the first, of
+    those with one of its rare shingles; then every pair of texts that share a rare shingle and are not joined yet is
+    tested by lengths, places and parity sketches, inside the join, and compared where these allow it. So no pair is
     lost, however short the texts or common their passages. All are compared by the exact Jaccard similarity of their
-    shingle sets; components of verified pairs are the groups. Texts without words are alike. A null id is larger than
-    any other here. Returns the columns of ``docs``.
+    shingle sets; components of verified pairs are the groups. Null and empty texts, and others without words, are
+    alike. A null id is larger than any other here; of rows that share the smallest id one stays. Returns the columns
+    of ``docs``, of which none may be called __rid.
     """
-    names = docs.columns
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [[signed(x) for x in segment_fingerprints(shingle_hashes(t.as_py(), width), sketch, mean_run)] for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "rid", "parts"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
-    held = write_table(
-        rows.mapInArrow(passages, f"doc_id {kind}, rid long, parts array<long>")
-        .select("doc_id", "rid", F.explode("parts").alias("fp")),
-        "passages",
-    )
-    points = write_table(held.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "passage-points")
-    found = write_table(connected_components(near_links(points, reach=reach, shard=2048)), "passage-components")
-    named = points.join(found, points["fp"] == found["node"], "left").select("fp", "n", F.coalesce("component", "fp").alias("passage"))
-    named = write_table(named, "passage-named")
-    sizes = named.groupBy("passage").agg(F.sum("n").alias("size")).where("size > 1")
-    named = write_table(named.join(sizes, "passage").select("fp", "passage", "size"), "passage-sizes")
-    shared = write_table(held.join(named, "fp").select("doc_id", "rid", "passage", "size").distinct(), "passage-shared")
-    fame = write_table(shared.groupBy("rid").agg(F.sum("size").alias("fame")), "passage-fame")
-    shared = write_table(shared.join(fame, "rid"), "passage-famed")
+    rows = numbered(docs, "near-input")
+    texts = rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    held = shingled(texts, width=width, similarity=similarity)
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    heads = write_table(
-        shared.groupBy("passage").agg(F.max_by("rid", F.struct("fame", -F.col("rid"))).alias("hub"), F.min_by("rid", least).alias("first")),
-        "passage-heads",
-    )
-    stars = shared.join(heads, "passage").select("rid", F.explode(F.array("hub", "first")).alias("other"))
-    keys = shared_keys(rows, width=width, similarity=similarity)
-    whole = F.struct("rid", "n", "pos")
-    firsts = write_table(keys.groupBy("key").agg(F.min(whole).alias("y")), "near-firsts")
-    begun = keys.select("key", whole.alias("x")).join(firsts, "key").where(_can_be_alike(similarity)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"))
+    heads = held.groupBy("s1", "s2").agg(F.min_by("rid", least).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    twins = write_table(held.select("rid", "s1", "s2").join(write_table(heads, "near-heads"), ["s1", "s2"]).where("rid <> head").select("rid", "head"), "near-twins")
+    alone = held.join(bounded(twins.select("rid")), "rid", "left_anti")
+    points = write_table(alone.groupBy("fp").agg(F.min("rid").alias("rid")), "near-points")
+    found = near_links(points, reach=reach).join(points.select(F.col("fp").alias("a"), "rid"), "a").join(points.select(F.col("fp").alias("b"), F.col("rid").alias("other")), "b")
+    same = alone.select("rid", "fp").join(points.select("fp", F.col("rid").alias("other")), "fp")
+    candidates = [found.select("rid", "other"), same.where("rid <> other").select("rid", "other")]
+
+    keys = alone.select("rid", "n", F.posexplode("keys").alias("pos", "key"))
+    times = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "near-times")
+    shared = write_table(keys.join(times, "key"), "near-keys")
+    fame = write_table(shared.groupBy("rid").agg(F.sum("times").alias("fame")), "near-fame")
+    one = F.struct("rid", "n", "pos")
+    hubs = shared.join(fame, "rid").groupBy("key").agg(F.max_by(one, F.struct("fame", -F.col("rid"))).alias("hub"), F.min(one).alias("first"))
+    stars = shared.select("key", one.alias("x")).join(write_table(hubs, "near-hubs"), "key").select("x", F.explode(F.array_distinct(F.array("hub", "first"))).alias("y"))
+    candidates.append(stars.where(_can_be_alike("x", "y", similarity)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other")))
+
+    sketches = held.select("rid", F.struct("n", "bits").alias("at"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [(np.unique(shingle_hashes(t.as_py(), width)) >> np.uint64(16)).astype("<u8").tobytes() for t in batch["text"]]
+            s = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(s, pa.binary())], ["rid", "shingles"])
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p: bytes, q: bytes) -> bool:
-            p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-            if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                return False
-            both = len(np.intersect1d(p, q))
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
             return both >= similarity * (len(p) + len(q) - both)
 
         return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        pairs = candidates.where("rid <> other").select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b"))
-        pairs = write_table(pairs.distinct(), "near-pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("rid <> other").select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b")).distinct()
+        pairs = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("at").alias("x")), "a").join(sketches.select(F.col("rid").alias("b"), F.col("at").alias("y")), "b")
+        pairs = write_table(pairs.where(_sketches_allow("x", "y", similarity)).select("a", "b"), "near-pairs")
         wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
-        few = wanted.count() <= 1 << 20  # then the texts need no shuffle
-        texts = rows.join(F.broadcast(wanted) if few else wanted, "rid", "left_semi").select("rid", "text")
-        shingles = write_table(texts.mapInArrow(sets, "rid long, shingles binary"), "near-shingles")
-        near = (
-            pairs.join(shingles.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(shingles.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-            .where(alike("x", "y"))
-            .select("a", "b")
-        )
-        return write_table(near, "near-verified")
-
-    near = verified(stars.unionByName(begun))
+        found = texts.select("rid", "text").join(bounded(wanted), "rid", "left_semi").mapInArrow(sets, "rid long, shingles binary")
+        shingles = write_table(found, "near-shingles")
+        near = pairs.join(shingles.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
+        return write_table(near.where(alike("x", "y")).select("a", "b"), "near-verified")
+
+    near = verified(reduce(DataFrame.unionByName, candidates))
     begun = write_table(connected_components(near), "near-begun")
-    apart = keys.join(begun, keys["rid"] == begun["node"], "left").select("key", "rid", "n", "pos", F.coalesce("component", "rid").alias("component"))
-    apart = write_table(apart, "near-joined")
-    ends = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    apart = write_table(apart.join(ends, "key", "left_semi").select("key", F.struct("rid", "n", "pos", "component").alias("x")), "near-apart")
-    rest = apart.join(apart.select("key", F.col("x").alias("y")), "key").where("x.component < y.component").where(_can_be_alike(similarity))
-    near = near.unionByName(verified(rest.select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"))))
-    groups = write_table(connected_components(near), "near-groups")
-    ids = held.select("rid", "doc_id").distinct().join(groups, F.col("rid") == F.col("node")).select("rid", "component", "doc_id")
-    ids = write_table(ids, "near-members")
-    stay = write_table(ids.groupBy("component").agg(F.min_by("rid", least).alias("stay")), "near-stay")
-    gone = ids.join(stay, "component").where("rid <> stay").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(gone, "__rid", "left_anti").select(names)
+    joined = shared.join(begun, shared["rid"] == begun["node"], "left").select("key", "rid", "n", "pos", F.coalesce("component", "rid").alias("component"))
+    joined = write_table(joined, "near-joined")
+    ends = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    apart = joined.join(ends, "key", "left_semi").join(held.select("rid", "bits"), "rid").select("key", F.struct("rid", "n", "pos", "component", "bits").alias("x"))
+    apart = write_table(apart, "near-apart")
+    rest = apart.join(apart.select("key", F.col("x").alias("y")), "key").where(F.col("x.component") < F.col("y.component"))
+    rest = rest.where(_can_be_alike("x", "y", similarity) & _sketches_allow("x", "y", similarity)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"))
+    groups = write_table(connected_components(near.unionByName(verified(rest))), "near-groups")
+    members = held.select("rid", "doc_id").join(twins, "rid", "left").withColumn("node", F.coalesce("head", "rid")).join(groups, "node", "left")
+    members = write_table(members.select("rid", "doc_id", F.coalesce("component", "node").alias("component")), "near-members")
+    stay = members.groupBy("component").agg(F.min_by("rid", least).alias("stay"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    gone = write_table(members.join(write_table(stay, "near-stay"), "component").where("rid <> stay").select(F.col("rid").alias("__rid")), "near-gone")
+    return rows.join(bounded(gone), "__rid", "left_anti").select(docs.columns)
