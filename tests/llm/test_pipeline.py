@@ -41,7 +41,7 @@ def test_toxicity(spark, stages):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     scores = model.scorer()
-    want = {r.doc_id for r in before if model.probability(model.inputs(scores(toxicity.WORDS.findall((r.text or "").lower())))) < 0.5}
+    want = {r.doc_id for r in before if model.probability(model.read(scores(toxicity.WORDS.findall((r.text or "").lower())))[0]) < 0.5}
     assert {r.doc_id for r in after} == want
 
 
