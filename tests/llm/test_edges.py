@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import string
 import time
 
@@ -204,16 +205,46 @@ def test_pii(docs, none, spark):
 def test_secrets(docs, none, spark):
     rng = random.Random(8)
     key = lambda a, n: "".join(rng.choices(a, k=n))
-    upper, hexa = string.ascii_uppercase + string.digits, "0123456789abcdef"
-    data = [(i, f"x AKIA{key(upper, 16)} y token = \"{key(hexa, 40)}\" ſecret=abcdef") for i in range(120)]
-    data += [(900, f"ASIA{key(upper, 16)}"), (901, "an ordinary sentence of long-winded-hyphenated-words 2024"), (902, "PASSWORD: abc token=abcde")]
+    upper, hexa, mixed = string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits
+    word = lambda: key(string.ascii_lowercase, rng.randrange(3, 12))
+    filler = lambda: " ".join(word() for _ in range(120)) + " well-known 2024-05-06 Title."
+    data = [(i, f"x AKIA{key(upper, 16)} y token = \"{key(hexa, 40)}\" ſecret=abcdef {filler()}") for i in range(120)]
+    data += [(200 + i, f"secret: {key(mixed, 20)}.{key(mixed, 30)}.{key(mixed, 25)} password={key(mixed, 12)} {filler()}") for i in range(150)]
+    bare = [f"ASIA{key(upper, 16)}", f"use ASIA{key(upper, 16)}. Then", f"see ASIA{key(upper, 16)}, or", f"é k=ASIA{key(upper, 16)}", f"({key(mixed, 20)}.{key(mixed, 30)}.{key(mixed, 25)}.)"]
+    data += [(900 + i, t) for i, t in enumerate(bare)]
+    data += [(950, "an ordinary sentence of long-winded-hyphenated-words 2024"), (951, "PASSWORD: abc token=abcde"), (952, "information. +1 555 0100 and 4111111111111111")]
+    data += [(960, "secret=" + "aB3" * 2000)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.doc_id: r for r in secretscan.scan_secrets(df, secretscan.fit_automata(df)).collect()}
+    formats = secretscan.fit_automata(df)
+    got = {r.doc_id: r for r in secretscan.scan_secrets(df, formats).collect()}
     for i, t in data:
         assert [(x.kind, x.start, x.end) for x in got[i].base] == brute.secrets(t)
-    assert [x.kind for x in got[900].added] == ["access"] and not got[901].added and not got[902].added
-    assert secretscan.fit_automata(docs) == {} and secretscan.scan_secrets(docs, {}).count() == len(TEXTS) + 3
-    assert secretscan.scan_secrets(none, {}).count() == 0
+    for i, t in enumerate(bare):
+        token = t.strip("().") if i == 4 else t[t.index("ASIA") :][:20]
+        assert [(x.start, x.end) for x in got[900 + i].added] == [(t.index(token), t.index(token) + len(token))], t
+    assert [got[900 + i].added[0].kind for i in range(4)] == ["access"] * 4
+    assert not any(got[i].added for i in (950, 951, 952))
+    assert not any(x for i in range(120) for x in got[i].added)
+    nothing = secretscan.fit_automata(docs)
+    assert nothing.automata == {} and secretscan.scan_secrets(docs, nothing).count() == len(TEXTS) + 3
+    assert secretscan.scan_secrets(none, formats).count() == 0
+
+
+def test_every_run_is_scored():
+    """The spans of the scan are those of scoring each run and its parts anew."""
+    rng = random.Random(12)
+    formats = secretscan.Formats({"hex": secretscan.infer(["".join(rng.choices("hd", k=rng.randrange(8, 20))) for _ in range(200)])}, {}, 3.0)
+    formats.automata["hex"].least = -2.0
+    signs = "dhlU+/_.=-"
+    formats.pairs.update({a + b: -2.5 for a in "^" + signs for b in signs + "$"})
+    for _ in range(300):
+        text = "".join(rng.choices("0a1b.=/ é", weights=[5, 5, 5, 5, 1, 1, 1, 1, 1], k=80))
+        want = []
+        for m in re.finditer("[0-9a-z.=/]{6,}", text):
+            whole = m[0].rstrip(".")
+            parts = [(0, len(whole))] if len(whole) >= 6 and formats.kind(secretscan.symbols(whole)) else [x.span() for x in re.finditer("[^.=/]{6,}", whole)]
+            want += [(m.start() + s, m.start() + e, "hex") for s, e in parts if formats.kind(secretscan.symbols(m[0][s:e]))]
+        assert secretscan.added_spans(text, [], formats) == want
 
 
 def test_bpe_pieces():

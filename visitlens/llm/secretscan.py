@@ -2,13 +2,15 @@
 
 Strict patterns give the base spans. Their credentials, by kind, are strings over character classes; a prefix tree of
 them is merged, state by state, wherever Hoeffding's bound finds the states' outcomes compatible, into a probabilistic
-automaton. Every other long token of a text is then scored by how likely its format is under each automaton.
+automaton. Every other run of credential characters in a text is then scored: its format must be as likely under an
+automaton as that of held-out credentials, and far likelier than under a bigram model of the other runs of the corpus.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,13 +25,22 @@ KINDS = ["assign", "access", "hex"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_.=-])")
-DIGIT = re.compile("[0-9]")
+#: A candidate is a run of these characters, by class: d digit, h a-f, l g-z, U upper case; others stand for themselves.
+CLASSES = bytes(
+    ord("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "U" if "A" <= c <= "Z" else c) if c in "+/_.=-" or (c.isalnum() and i < 128) else 0
+    for i, c in enumerate(map(chr, range(256)))
+)
+RUN, TEXT_RUN, JOINTS = re.compile(rb"[dhlU+/_.=-]{6,}"), re.compile("[A-Za-z0-9+/_.=-]{6,}"), re.compile("[^.=/]{6,}")
+LEAST = 6
 
 
 def symbols(token: str) -> str:
-    """Character classes: d digit, h a-f, l g-z, U upper case; other characters stand for themselves."""
-    return "".join("d" if c.isdigit() else "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else c for c in token)
+    return token.encode("ascii", "replace").translate(CLASSES).decode("ascii")
+
+
+def runs(text: str) -> list[bytes]:
+    """The classes of every run of ``LEAST`` credential characters or more."""
+    return RUN.findall(text.encode("utf-8", "surrogatepass").translate(CLASSES))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -52,9 +63,9 @@ class Automaton:
     moves: list[dict[str, tuple[int, int]]] = field(default_factory=lambda: [{}])
     least: float = 0.0
 
-    def score(self, token: str) -> float:
-        """Mean log probability of a symbol, the end included; minus infinity where the format has no such string."""
-        state, total, text = 0, 0.0, symbols(token)
+    def score(self, text: str) -> float:
+        """Log probability of the symbols and the end; minus infinity where the format has no such string."""
+        state, total = 0, 0.0
         for c in text:
             move = self.moves[state].get(c)
             if move is None:
@@ -62,7 +73,7 @@ class Automaton:
             total += math.log(move[0] / self._total(state))
             state = move[1]
         end = self.ends[state]
-        return (total + math.log(end / self._total(state))) / (len(text) + 1) if end else -math.inf
+        return total + math.log(end / self._total(state)) if end else -math.inf
 
     def _total(self, state: int) -> int:
         return self.ends[state] + sum(n for n, _ in self.moves[state].values())
@@ -133,53 +144,104 @@ def infer(strings: list[str], alpha: float = 0.05) -> Automaton:
     return a
 
 
-def fit_automata(docs: DataFrame, *, fit_rows: int = 1500, quantile: float = 0.02) -> dict[str, Automaton]:
-    """An automaton for each kind from at most ``fit_rows`` distinct credentials of it, by the order of a hash.
-
-    A fifth of them sets the least score: the ``quantile`` of their scores. Kinds with fewer than 20 get none.
+@dataclass
+class Formats:
+    """An automaton for each kind, the log probabilities of symbol pairs in runs, and the least log ratio of both."""
+
+    automata: dict[str, Automaton]
+    pairs: dict[str, float]
+    least_ratio: float
+    met: dict[str, tuple[tuple[int, int, str], ...]] = field(default_factory=dict)
+
+    def usual(self, text: str) -> float:
+        """The log probability of symbols as a run like any other."""
+        return sum(map(self.pairs.__getitem__, map("".join, zip("^" + text, text + "$", strict=True))))
+
+    def kind(self, text: str) -> str | None:
+        """The likeliest kind whose format has these symbols."""
+        scores = {k: a.score(text) for k, a in self.automata.items()}
+        usual = self.usual(text)
+        fits = [(x, k) for k, x in scores.items() if x / (len(text) + 1) >= self.automata[k].least and x - usual >= self.least_ratio]
+        return max(fits)[1] if fits else None
+
+    def hits(self, run: str) -> tuple[tuple[int, int, str], ...]:
+        """(start, end, kind) in a run: the run without full stops at its end, else its parts between ``.``, ``=`` and ``/``."""
+        found = self.met.get(run)
+        if found is None:
+            text = run.rstrip(".")
+            kind = self.kind(text) if len(text) >= LEAST else None
+            parts = [(0, len(text), kind)] if kind else [(m.start(), m.end(), self.kind(m[0])) for m in JOINTS.finditer(text) if len(m[0]) < len(run)]
+            found = tuple(x for x in parts if x[2])
+            if len(self.met) > 300_000:
+                self.met.clear()
+            if len(run) <= 64:
+                self.met[run] = found
+        return found
+
+
+def fit_automata(docs: DataFrame, *, fit_rows: int = 1500, fit_chars: int = 200_000, quantile: float = 0.02, least_ratio: float = 16.0) -> Formats:
+    """Formats from at most ``fit_rows`` distinct credentials of each kind, by the order of a hash.
+
+    A credential that would take them beyond ``fit_chars`` characters is left out. A fifth of them sets the least mean
+    log probability of a symbol: the ``quantile`` of theirs. Kinds with fewer than 20 get no automaton. Pairs of symbols
+    are counted in all runs of all texts outside base spans; a run is taken if it is ``exp(least_ratio)`` times likelier as a credential.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(k, c) for t in batch["text"] for *_, k, c in base_spans(t.as_py() or "") if len(c) <= 128}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.string())], ["kind", "token"])
-
-    tokens = write_table(docs.select("text").mapInArrow(each, "kind string, token string").distinct(), "secret-tokens")
+            rows, seen = Counter(), Counter()
+            for text in (t.as_py() or "" for t in batch["text"]):
+                base = base_spans(text)
+                rows.update((k, c) for *_, k, c in base if len(c) <= fit_chars)
+                ends = [0, *(e for _, e, *_ in base)]
+                apart = " ".join(text[max(ends[: i + 1]) : s] for i, s in enumerate([*(s for s, *_ in base), len(text)])) if base else text
+                seen.update(runs(apart))
+            for run, n in seen.items():
+                text = run.decode("ascii")
+                for pair in map("".join, zip("^" + text, text + "$", strict=True)):
+                    rows["", pair] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.string()), pa.array(rows.values(), pa.int64())], ["kind", "token", "n"])
+
+    tokens = write_table(docs.select("text").mapInArrow(each, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "secret-tokens")
+    pairs = {r["token"]: r["n"] for r in tokens.where("kind = ''").collect()}  # 12 * 12 at most
+    signs = "dhlU+/_.=-"
+    usual = {}
+    for a in "^" + signs:
+        total = sum(pairs.get(a + b, 0) for b in signs + "$") + len(signs) + 1
+        usual |= {a + b: math.log((pairs.get(a + b, 0) + 1) / total) for b in signs + "$"}
     out = {}
     for kind in KINDS:
-        some = [r["token"] for r in tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(fit_rows).collect()]
+        some, size = [], 0
+        for r in tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(fit_rows).toLocalIterator():
+            if size + len(r["token"]) <= fit_chars:
+                some.append(symbols(r["token"]))
+                size += len(r["token"])
         if len(some) < 20:
             continue
         held, rest = some[: len(some) // 5], some[len(some) // 5 :]
-        automaton = infer([symbols(t) for t in rest])
-        scores = sorted(s for s in map(automaton.score, held) if s > -math.inf)
+        automaton = infer(rest)
+        scores = sorted(s for s in (automaton.score(t) / (len(t) + 1) for t in held) if s > -math.inf)
         if scores:
             automaton.least = scores[int(quantile * len(scores))]
             out[kind] = automaton
-    return out
+    return Formats(out, usual, least_ratio)
 
 
-def added_spans(text: str, base: list[tuple[int, int, str, str]], automata: dict[str, Automaton]) -> list[tuple[int, int, str]]:
-    """Tokens with a digit and of a learned format, apart from base spans; of the kinds that fit the likeliest."""
-    if not automata or not DIGIT.search(text):
+def added_spans(text: str, base: list[tuple[int, int, str, str]], formats: Formats) -> list[tuple[int, int, str]]:
+    """Runs of a learned format, apart from base spans; of the kinds that fit the likeliest."""
+    if not formats.automata or not any(formats.hits(r.decode("ascii")) for r in runs(text)):
         return []
-    found = []
-    for m in TOKEN.finditer(text):
-        if not DIGIT.search(m[0]) or any(s < m.end() and m.start() < e for s, e, *_ in base):
-            continue
-        fits = [(a.score(m[0]) - a.least, k) for k, a in automata.items()]
-        best = max(fits)
-        if best[0] >= 0:
-            found.append((m.start(), m.end(), best[1]))
-    return found
+    found = [(m.start() + s, m.start() + e, k) for m in TEXT_RUN.finditer(text) for s, e, k in formats.hits(symbols(m[0]))]
+    return [(s, e, k) for s, e, k in found if not any(a < e and s < b for a, b, *_ in base)]
 
 
-def scan_secrets(docs: DataFrame, automata: dict[str, Automaton], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, formats: Formats, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and added (arrays of kind, start, end) of every row; code points, end exclusive.
 
-    Arrays are sorted by start, then kind as listed. A null text is empty. Nothing is shuffled.
+    Every run of six or more credential characters is scored, whatever its length. Arrays are sorted by start, then kind
+    as listed. A null text is empty. Nothing is shuffled.
     """
-    held = docs.sparkSession.sparkContext.broadcast(automata)
+    held = docs.sparkSession.sparkContext.broadcast(formats)
     kind = docs.schema[id_col].dataType.simpleString()
     span = "array<struct<kind: string, start: long, end: long>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
