@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import re
 import string
@@ -180,6 +181,38 @@ def test_warc(spark, tmp_path):
     assert warc.reassemble(warc.read_warc(spark, empty)).count() == 0
 
 
+def test_warc_urls_that_look_like_records(spark):
+    urls = ["http://x/WARC/1.1", "http://x/WARC/1.1\r\n", "WARC/1.0", "a\r\n\r\nWARC/1.1\r\nb", ""]
+    df = spark.createDataFrame([(i, u, f"page {i} \r\n\r\nWARC/1.0\r\n" * 9) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = warc.reassemble(warc.read_warc(spark, warc.archive_pages(df, segment_bytes=50, chunk_bytes=20))).collect()
+    assert sorted((r.record_id.split(":")[2], r.type, r.valid) for r in rows) == [(str(i), "response", True) for i in range(5)]
+    assert {r.payload.decode() for r in rows} == {r.html for r in df.collect()}
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Older versions, a gzip member for each record, malformed headers and segments sent twice."""
+
+    def record(version, block, *head):
+        return f"WARC/{version}\r\n".encode() + "".join(f"{x}\r\n" for x in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    body = b"HTTP/1.1 200 OK\r\n\r\n"
+    made = [record(v, body + b"hello", "WARC-Type: response", f"WARC-Record-ID: <{v}>", f"Content-Length: {len(body) + 5}") for v in ("1.0", "1.1")]
+    made += [record("1.0", b"x", "WARC-Type: response", f"WARC-Record-ID: <bad{i}>", h) for i, h in enumerate(("Content-Length: many", "Content-Length: -5", "X: y", "Content-Length: 99"))]
+    made.append(record("1.1", b"x", "WARC-Type: response", "WARC-Record-ID: <bad4>", "Content-Length: 1", "WARC-Segment-Number: two"))
+    made.append(record("1.1", b"HTTP/1.1 200 OK\r\nContent-Length: ?\r\n\r\n", "WARC-Type: revisit", "WARC-Record-ID: <again>", "Content-Length: 40"))
+    parts = [(1, body + b"ab"), (2, b"cd"), (2, b"dd"), (3, b"ef")]
+    for n, block in parts:
+        more = ["WARC-Segment-Origin-ID: <s>"] * (n > 1) + [f"WARC-Segment-Total-Length: {len(body) + 6}"] * (n == 3)
+        made.append(record("1.1", block, f"WARC-Type: {'continuation' if n > 1 else 'response'}", f"WARC-Record-ID: <{'s' if n == 1 else (n, block)}>", f"WARC-Segment-Number: {n}", f"Content-Length: {len(block)}", *more))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (tmp_path / "b.warc").write_bytes(b"".join(made).replace(b"<", b"<plain-"))
+    rows = {r.record_id: r for r in warc.reassemble(warc.read_warc(spark, str(tmp_path))).collect()}
+    for k in ("", "plain-"):
+        assert rows[f"<{k}1.0>"].payload == rows[f"<{k}1.1>"].payload == b"hello" and rows[f"<{k}1.0>"].valid
+        assert [rows[f"<{k}bad{i}>"].valid for i in range(5)] == [False] * 5 and rows[f"<{k}again>"].payload_bytes == 0
+        assert rows[f"<{k}s>"].valid and rows[f"<{k}s>"].payload == b"abcdef" and rows[f"<{k}s>"].segments == 3
+
+
 def test_urls(spark):
     link = '<a href="http://bad.net/x">x</a> <a href=\'//Hub.org/\'>y</a> <a href="/own">z</a>'
     data = [(i, f"http://spam{i}.net/en/{i}", link) for i in range(3)] + [(10, "http://bad.net/es/1", None), (11, None, None), (12, "no scheme", ""), (13, "HTTPS://WWW.Example.COM:80/en/?q#f", None), (14, "http://x.com", None), (15, "http://hub.org/a", None), (15, "http://hub.org/a", None)]

@@ -1,26 +1,29 @@
 """WARC archives as Spark tables of text: records are written in segments with chunked framing and put together again.
 
 An archive file is a gzip member whose records Spark's text writer separates by the blank lines that end a record. The
-reader cuts the files at the version line, so a file is streamed and never held whole. The writer breaks a chunk inside
-any version line that a payload holds, so the cut is safe for its own archives; a record that comes out shorter than
-its Content-Length is reported by ``complete``.
+reader cuts the files at blank lines before a version, so a file is streamed and never held whole, and files of several
+members or of older versions are read too. The writer breaks a chunk inside any version that a payload holds, so the cut
+is safe for its own archives; elsewhere a record that comes out shorter than its Content-Length, or whose headers are
+malformed, is reported by ``complete``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, write_table
+from .shared import bounded, new_path, numbered, write_table
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
+RECORD_BEGIN = re.compile(rb"(?:WARC/1\.)?[0-9]+\r\n")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32, BASE32_HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -121,18 +124,29 @@ def write_warc(
     rows.select(F.col("value").cast("string")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
+def number(text: str | None) -> int | None:
+    """A header's number; None where it is missing or malformed."""
+    return int(text) if text and re.fullmatch("[0-9]{1,18}", text) else None
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: record_id, type, url, digest, refers_to, origin_id, segment, total, block, complete."""
+    """One row per record: record_id, type, url, digest, refers_to, origin_id, segment, total, block, complete.
+
+    A record without a well-formed length, or with a malformed segment number or total, has ``complete`` false and what
+    its other headers say. What stands before the first version line of a file is no record.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw in batch["value"].to_pylist():
-                head, sep, rest = (raw or b"").partition(b"\r\n\r\n")
-                if not sep:
-                    continue  # what stands before the first version line
+                begin = RECORD_BEGIN.match(raw or b"")
+                if not begin:
+                    continue
+                head, _, rest = raw[begin.end() :].partition(b"\r\n\r\n")
                 h = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n") if ":" in x)}
-                length = int(h.get("content-length", 0))
+                length, segment, total = (number(h.get(c)) for c in ("content-length", "warc-segment-number", "warc-segment-total-length"))
+                good = (segment is not None or "warc-segment-number" not in h) and (total is not None or "warc-segment-total-length" not in h)
                 rows.append(
                     {
                         "record_id": h.get("warc-record-id"),
@@ -141,10 +155,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         "digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                         "refers_to": h.get("warc-refers-to"),
                         "origin_id": h.get("warc-segment-origin-id"),
-                        "segment": int(h["warc-segment-number"]) if "warc-segment-number" in h else None,
-                        "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
+                        "segment": segment,
+                        "total": total,
                         "block": rest[:length],
-                        "complete": len(rest) >= length,
+                        "complete": good and length is not None and len(rest) >= length,
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -154,7 +168,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         + [("origin_id", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("complete", pa.bool_())]
     )
     schema = "record_id string, type string, url string, digest string, refers_to string, origin_id string, segment long, total long, block binary, complete boolean"
-    raw = spark.read.option("lineSep", VERSION).text(path)
+    raw = spark.read.option("lineSep", RECORD_END + VERSION[:7]).text(path)
     return raw.select(F.col("value").cast("binary")).mapInArrow(parse, schema)
 
 
@@ -176,15 +190,15 @@ def reassemble(records: DataFrame) -> DataFrame:
         parts.groupBy("id")
         .agg(
             *(F.max(F.when(first, F.col(c))).alias(c) for c in ("type", "url", "digest", "refers_to")),
-            F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"),
+            F.array_sort(F.collect_set(F.struct("segment", "block", "complete"))).alias("all"),
             F.max("total").alias("total"),
-            F.bool_and("complete").alias("complete"),
         )
+        .withColumn("parts", F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["segment"] != x["segment"])))
         .withColumn("segments", F.size("parts").cast("long"))
         .withColumn("block", F.expr("aggregate(parts, cast('' as binary), (acc, x) -> concat(acc, x.block))"))
         .withColumn(
             "complete",
-            F.col("complete")
+            F.forall("parts", lambda x: x["complete"])
             & (F.col("segments") == F.element_at("parts", -1)["segment"])
             & (F.col("parts")[0]["segment"] == 1)
             & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False)),
@@ -199,7 +213,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                 header, body = http_parts(block or b"")
                 if kind == "revisit":
                     payloads.append(None)
-                    sizes.append(int(header.get("content-length", 0)))
+                    sizes.append(number(header.get("content-length")) or 0)
                     valid.append(bool(complete))
                     continue
                 payload = dechunked(body) if header.get("transfer-encoding", "").lower() == "chunked" else body
@@ -220,12 +234,11 @@ def archive_pages(pages: DataFrame, *, segment_bytes: int = 1 << 15, chunk_bytes
     """Write ``pages`` (page_id, url, html) to archives in the shared folder; returns their path.
 
     Of rows with equal payloads of ``min_revisit_bytes`` or more, the one with the smallest page_id (a null one last,
-    then the first in the table) is a response and the others revisit it. A null html is empty. ``pages`` must give the
-    same rows in the same order when run again.
+    then the first in the table) is a response and the others revisit it. A null html is empty. Other columns are not read.
     """
-    rows = pages.select(
-        "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"), F.monotonically_increasing_id().alias("rid")
-    ).withColumn("digest", base32_sha1(F.col("payload")))
+    held = numbered(pages.select("page_id", "url", "html"), "warc-pages")
+    rows = held.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"), F.col("__rid").alias("rid"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     rows = rows.withColumn("record_id", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(":"), F.hex("rid"), F.lit(">")))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")
     ids = write_table(rows.select("rid", "page_id", "record_id", "digest", F.octet_length("payload").alias("size")), "warc-ids")
@@ -242,6 +255,6 @@ def archive_pages(pages: DataFrame, *, segment_bytes: int = 1 << 15, chunk_bytes
         .where(F.col("record_id") != F.col("first_id"))
         .select(F.col("rid").alias("__rid"), F.col("first_id").alias("refers_to"))
     )
-    path = new_path(pages.sparkSession, "warc")
-    write_warc(rows.join(refers, rows["rid"] == refers["__rid"], "left"), path, segment_bytes=segment_bytes, chunk_bytes=chunk_bytes)
+    path, refers = new_path(pages.sparkSession, "warc"), write_table(refers, "warc-refers")
+    write_warc(rows.join(bounded(refers), rows["rid"] == refers["__rid"], "left"), path, segment_bytes=segment_bytes, chunk_bytes=chunk_bytes)
     return path
