@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, write_table
+from .shared import new_path, numbered, write_table
 
 #: Stripped at both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -85,7 +85,8 @@ class LineRuns:
 
 def line_hashes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """(doc_id, rid, pos, h1, h2) of every line whose key has ``min_chars`` code points or more."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    number = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("doc_id"), number.alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = rows.select("doc_id", "rid", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("doc_id", "rid", "pos", line_key(F.col("line")).alias("key"))
     return lines.where(F.char_length("key") >= min_chars).select(
@@ -93,6 +94,13 @@ def line_hashes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def id_cuts(lines: DataFrame, batches: int, sample: int = 10_000) -> list:
+    """Ids, falling, that part ``lines`` in about equal batches, from a bounded sample of them."""
+    some = lines.where("doc_id is not null").orderBy(F.xxhash64("rid", "pos")).limit(sample).select("doc_id")
+    ids = sorted(r["doc_id"] for r in some.collect())
+    return sorted({ids[len(ids) * i // batches] for i in range(1, batches)} if ids else (), reverse=True)
+
+
 def line_dedup(
     docs: DataFrame,
     *,
@@ -101,6 +109,7 @@ def line_dedup(
     min_chars: int = 20,
     min_docs: int = 3,
     batches: int = 3,
+    batch_lines: int = 1 << 32,
     fanout: int = 2,
 ) -> DataFrame:
     """Take common lines out of every document but the one with the largest id.
@@ -108,15 +117,17 @@ def line_dedup(
     A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of ``min_chars`` code points held by
     ``min_docs`` documents or more (rows, each counted once) lose all their lines except in the row with the largest
     id; a null id is smaller than any other, and of rows that share the largest id one keeps the lines. Keys are
-    compared by 128 bits of hash. A null text is empty and has one empty line. ``docs`` must give the same rows in the
-    same order when run again.
-    Returns all columns of ``docs``, the text as kept (an emptied text is ""), and n_lines and n_dropped.
+    compared by 128 bits of hash. A null text is empty and has one empty line. There are at least ``batches`` batches,
+    and more so that one has about ``batch_lines`` lines; ids of any type that Spark orders are parted.
+    Returns all columns of ``docs``, the text as kept (an emptied text is ""), and n_lines and n_dropped, which replace
+    any of these names. Columns __rid and __drop are reserved.
     """
     spark = docs.sparkSession
+    if "__drop" in docs.columns:
+        raise ValueError("column __drop is reserved")
+    docs, given = numbered(docs, "line-input"), docs
     lines = write_table(line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), "lines")
-    numeric = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint", "double", "float")
-    cuts = lines.approxQuantile("doc_id", [i / batches for i in range(batches - 1, 0, -1)], 0.01) if numeric else []
-    cuts = sorted(set(cuts), reverse=True)
+    cuts = id_cuts(lines, max(batches, -(-lines.count() // batch_lines)))
     runs = LineRuns(spark, fanout=fanout)
     for i in range(len(cuts) + 1):
         at = F.lit(True)
@@ -133,9 +144,8 @@ def line_dedup(
         .groupBy(F.col("rid").alias("__rid"))
         .agg(F.collect_list("pos").alias("__drop"))
     )
-    named = docs.withColumn("__rid", F.monotonically_increasing_id())
-    joined = named.join(drops, "__rid", "left").drop("__rid")
-    fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
+    joined = docs.join(drops, "__rid", "left").drop("__rid")
+    fields = [f for f in given.schema.fields if f.name not in ("n_lines", "n_dropped")]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
