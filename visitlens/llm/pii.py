@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .shared import write_table
@@ -36,10 +35,18 @@ LOOSE = {
 }
 #: Cheap tests that a text must pass before a pattern is tried on it.
 GATE = {"email": r"@|(?i)[(\[]at[)\]]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-#: Gazetteers: endings of mail domains, telephone country codes, first digits of card issuers.
-DOMAINS = ["com", "org", "net", "edu", "gov", "io", "co", "de", "fr", "es", "uk", "eu", "info"]
-COUNTRIES = ["1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91"]
-ISSUERS = ["34", "37", "4", "51", "52", "53", "54", "55", "60", "65"]
+#: Fixed values, gazetteers: endings of mail domains, telephone country codes, first digits of card issuers.
+DOMAINS = (
+    "com org net edu gov mil int info biz name io ai app dev me tv co cloud online site shop blog tech "
+    "ad ae al am ar at au az ba bd be bg bo br by ca ch cl cn cr cu cy cz de dk do dz ec ee eg es eu fi fr ge gh gr gt hk hn hr hu id ie il in iq ir is it jo jp "
+    "ke kr kw kz lb lk lt lu lv ly ma md mk mt mx my ng ni nl no np nz om pa pe ph pk pl pt py qa ro rs ru sa se sg si sk sn sv sy th tn tr tw tz ua ug uk us uy uz ve vn za zw"
+).split()
+COUNTRIES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "212 213 216 218 220 221 233 234 237 249 251 254 255 256 260 263 350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 380 381 382 385 386 387 389 "
+    "420 421 502 503 504 505 506 507 591 593 595 598 852 853 855 856 880 886 960 961 962 963 964 965 966 968 971 972 973 974 976 977 992 994 995 996 998"
+).split()
+ISSUERS = ["2", "34", "35", "36", "37", "38", "39", "4", "50", "51", "52", "53", "54", "55", "56", "57", "58", "60", "62", "64", "65", "67"]
 #: Words before a span that speak for, and against, personal data of a kind.
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel|an)\W*\z",
@@ -109,12 +116,12 @@ def votes(kind: Column, strict: Column, match: Column, tail: Column) -> dict[str
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, base, kind, start, end, match, tail) of every match of every pattern, in one scan of the texts.
+    """(rid, doc_id, base, kind, start, end, match, tail) of every match of every pattern, in one scan of the texts.
 
-    A text split at a pattern gives the gaps between its matches, so lengths of gaps and matches add up to the spans.
+    A row without matches gives one with a null kind. A text split at a pattern gives the gaps between its matches, so lengths of gaps and matches add up to the spans.
     Only lengths, the matches and the last characters of each gap are shuffled, by row.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
 
     def matches(kind: str, base: bool) -> Column:
@@ -130,10 +137,10 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         none = F.array().cast("array<struct<base: boolean, kind: string, i: int, gap: int, tail: string, match: string>>")
         return F.when(text.rlike(GATE[kind]), F.filter(numbered, lambda x: x["match"].isNotNull())).otherwise(none)
 
-    found = rows.select("rid", F.explode(F.concat(*(matches(k, b) for b in (True, False) for k in KINDS))).alias("x")).select("rid", "x.*")
+    found = rows.select("rid", "doc_id", F.explode_outer(F.concat(*(matches(k, b) for b in (True, False) for k in KINDS))).alias("x")).select("rid", "doc_id", "x.*")
     before = Window.partitionBy("rid", "base", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("match")).over(before).cast("long")
-    return found.withColumn("end", end).select("rid", "base", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "tail")
+    return found.withColumn("end", end).select("rid", "doc_id", "base", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "tail")
 
 
 def reliabilities(patterns: DataFrame, *, rounds: int = 10) -> dict[str, float]:
@@ -183,15 +190,15 @@ def find_pii(docs: DataFrame, *, accept: float = 0.9, id_col: str = "doc_id", te
 
     Base spans are the leftmost non-overlapping matches of the base patterns that pass their tests. An added span is a
     loose match with a probability of ``accept`` or more that overlaps no base span, and no added span of an earlier
-    kind. A null text is empty. ``docs`` must give the same rows in the same order when run again.
+    kind. A null text is empty. Rows are numbered in the one scan, whose result is written.
     """
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"))
     found = candidates(docs, id_col=id_col, text_col=text_col)
     valid = reduce(lambda out, k: F.when(F.col("kind") == k, base_valid(k, F.col("match"))).otherwise(out), KINDS, F.lit(False))
     found = found.withColumn("strict", F.col("base") & F.coalesce(valid, F.lit(False)))
     cast = votes(F.col("kind"), F.col("strict"), F.col("match"), F.col("tail"))
-    voted = found.select("rid", "base", "kind", "start", "end", "match", "tail", F.col("strict").alias("sure"), *(v.cast("int").alias(j) for j, v in cast.items()))
-    voted = write_table(voted, "pii-votes")
+    voted = found.select("rid", "doc_id", "base", "kind", "start", "end", "match", "tail", F.col("strict").alias("sure"), *(v.cast("int").alias(j) for j, v in cast.items()))
+    everything = write_table(voted, "pii-votes")
+    voted = everything.where("kind is not null")
     patterns = write_table(voted.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n")), "pii-patterns").coalesce(1)
     p = posterior(reliabilities(patterns))
     trained = (
@@ -215,25 +222,23 @@ def find_pii(docs: DataFrame, *, accept: float = 0.9, id_col: str = "doc_id", te
         .select("rid", F.lit(False).alias("base"), "kind", "start", "end")
     )
     index = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    sure = everything.select("rid", "doc_id", F.when(F.col("sure"), F.struct("base", index.alias("kind"), "start", "end")).alias("x"))
+    more = added.select("rid", F.lit(None).cast(everything.schema["doc_id"].dataType).alias("doc_id"), F.struct("base", index.alias("kind"), "start", "end").alias("x"))
     spans = (
-        voted.where("sure").select("rid", "base", "kind", "start", "end").unionByName(added)
+        sure.unionByName(more)
         .groupBy("rid")
-        .agg(F.collect_list(F.struct("base", index.alias("kind"), "start", "end")).alias("all"))
+        .agg(F.max("doc_id").alias("doc_id"), F.collect_list("x").alias("all"))
         .select(
-            F.col("rid").alias("__rid"),
+            "doc_id",
             F.array_sort(F.transform(F.filter("all", lambda x: x["base"]), _span)).alias("base"),
             F.array_sort(F.transform(F.filter("all", lambda x: ~x["base"]), _span)).alias("more"),
         )
     )
-    none = F.array().cast(T.ArrayType(T.StructType([T.StructField(c, t) for c, t in (("kind", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType()))])))
-
     def apart(x: Column) -> Column:
         over = lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])
         return ~F.exists("base", over) & ~F.exists("more", lambda y: over(y) & (y["kind"] < x["kind"]))
 
-    return ids.join(spans, ids["rid"] == spans["__rid"], "left").select(
-        "doc_id", F.coalesce("base", none).alias("base"), F.coalesce(F.filter("more", apart), none).alias("added")
-    )
+    return spans.select("doc_id", "base", F.filter("more", apart).alias("added"))
 
 
 def _span(x: Column) -> Column:
