@@ -61,12 +61,14 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(hosts: DataFrame, links: DataFrame, *, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def propagate(hosts: DataFrame, links: DataFrame, *, damping: float, rounds: int, tolerance: float, at_once: int = 4) -> DataFrame:
     """(host, trust, distrust, rank): three personalised PageRanks in one pass per round.
 
     Trust starts from the trusted hosts and follows links; distrust starts from the blocked ones and follows links
     backwards, to those who link there; rank starts evenly. ``hosts`` has (host, trusted, blocked, pages). Rounds go on
-    until the scores move by less than ``tolerance`` together; if ``rounds`` do not suffice, it raises.
+    until the scores move by less than ``tolerance`` together, ``at_once`` of them in a job; if ``rounds`` do not suffice,
+    it raises. Scores of a kind
+    that has seeds add up to 1: what a host without links to follow holds goes back to the seeds.
     """
     kinds = {"trust": ("src", "dst"), "distrust": ("dst", "src"), "rank": ("src", "dst")}
     flows = None
@@ -94,25 +96,25 @@ def propagate(hosts: DataFrame, links: DataFrame, *, damping: float, rounds: int
         start.join(F.broadcast(mass), "kind").select("kind", "host", F.when(F.col("mass") > 0, F.col("seed") / F.col("mass")).otherwise(0.0).alias("seed")),
         "host-seeds",
     )
-    score = start.withColumn("score", F.col("seed"))
-    idle = flows.isEmpty()
-    for _ in range(0 if idle else rounds):
-        came = (
-            score.join(flows, (score["kind"] == flows["kind"]) & (score["host"] == flows["from"]))
-            .groupBy(flows["kind"], F.col("to").alias("host"))
-            .agg(F.sum(F.col("score") * F.col("w")).alias("came"))
-        )
-        now = score.join(came, ["kind", "host"], "left").select(
-            "kind", "host", "seed", ((1 - damping) * F.col("seed") + damping * F.coalesce("came", F.lit(0.0))).alias("score"), F.col("score").alias("was")
-        )
-        now = write_table(now, "host-scores")
-        moved = now.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
-        score = now.drop("was")
+    def step(score: DataFrame) -> DataFrame:
+        sent = score.join(flows.withColumnRenamed("from", "host"), ["kind", "host"])
+        came = sent.groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("w")).alias("came"))
+        now = ((1 - damping) * F.col("seed") + damping * F.coalesce("came", F.lit(0.0))).alias("score")
+        return score.join(came, ["kind", "host"], "left").select("kind", "host", "seed", now, F.col("score").alias("was"))
+
+    score, moved = start.withColumn("score", F.col("seed")), 0.0
+    for done in range(0, 0 if flows.isEmpty() else rounds, at_once):
+        for _ in range(min(at_once, rounds - done)):
+            score = step(score)
+        score = write_table(score, "host-scores")
+        moved = score.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0
         if moved < tolerance:
             break
-    else:
-        if not idle:
-            raise RuntimeError(f"scores were still moving by {moved} after {rounds} rounds")
+    if moved >= tolerance:
+        raise RuntimeError(f"scores were still moving by {moved} after {rounds} rounds")
+    # Sending what hosts without links hold back to the seeds makes all scores of a kind larger by one factor.
+    total = F.broadcast(score.groupBy("kind").agg(F.sum("score").alias("total")))
+    score = score.join(total, "kind").withColumn("score", F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(0.0))
     return score.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in kinds))
 
 
