@@ -2,16 +2,18 @@
 
 Pass one counts, per bit of a filter, whether it was set once or more often; bits that were set more than once make
 the filter of possibly repeated hashes. Pass two tests every row against it. Rows that it clears are surely unique and
-go straight through; only the others are shuffled, by the SHA-256 of their text, and grouped exactly. A larger corpus
-than the filter is made for costs more shuffling, never a wrong result.
+go straight through; only the others are shuffled, by the SHA-256 of their text, and grouped exactly. A filter has a
+bounded size; a larger corpus is taken in ranges of hashes, each with a filter of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,19 @@ def repeated_filter(hashes: DataFrame, bits: int, n_hashes: int) -> bytes:
     return packed.tobytes()
 
 
+def _asked(packed: Broadcast, bits: int, hashes: int):
+    """A function of hashes that says which of them the filter has."""
+
+    @F.pandas_udf("boolean")
+    def maybe_repeated(h: pd.Series) -> pd.Series:
+        at = positions(h.to_numpy(np.int64), hashes, bits)
+        held = np.frombuffer(packed.value, np.uint8)
+        hit = (held[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+        return pd.Series(hit.all(axis=1))
+
+    return maybe_repeated
+
+
 def exact_dedup(
     docs: DataFrame,
     *,
@@ -82,10 +97,10 @@ def exact_dedup(
 ) -> DataFrame:
     """Mark the row that stays of each group of equal texts: the one with the largest id.
 
-    ``docs`` is a table scan or another plan that gives the same rows in the same order when it is run again.
-    ``normalise`` maps the text column to what is compared. A null text counts as empty; a null id is smaller than any
-    other; of rows that share id and text exactly one is kept. Other columns are not read. The filter is at most
-    ``max_bits / 8`` bytes (64 MB) on the driver and in each task.
+    ``docs`` is read once. ``normalise`` maps the text column to what is compared. A null text counts as empty; a null id is smaller than any
+    other; of rows that share id and text exactly one is kept. Other columns are not read. A filter is at most
+    ``max_bits / 8`` bytes (64 MB) on the driver and in each task, enough for 33 million rows; more rows make more ranges
+    of hashes, whose filters are built and asked one after the other.
     Returns doc_id, keep_id, group_size, kept and text_sha256, a row for each input row.
     """
     spark = docs.sparkSession
@@ -99,17 +114,19 @@ def exact_dedup(
         ),
         "exact-hashes",
     )
-    bits = filter_bits(seen.count(), bits_per_row, max_bits)
-    packed = spark.sparkContext.broadcast(repeated_filter(seen, bits, hashes))
-
-    @F.pandas_udf("boolean")
-    def maybe_repeated(h: pd.Series) -> pd.Series:
-        at = positions(h.to_numpy(np.int64), hashes, bits)
-        held = np.frombuffer(packed.value, np.uint8)
-        hit = (held[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=1))
-
-    flagged = seen.withColumn("maybe", maybe_repeated("h")).drop("h")
+    n = seen.count()
+    ranges = max(1, -(-n * bits_per_row // max_bits))
+    bits = filter_bits(-(-n // ranges), bits_per_row, max_bits)
+    parts = []
+    for k in range(ranges):
+        part = seen.where(F.pmod(F.shiftright("h", 40), F.lit(ranges)) == k) if ranges > 1 else seen
+        packed = spark.sparkContext.broadcast(repeated_filter(part, bits, hashes))
+        part = part.withColumn("maybe", _asked(packed, bits, hashes)("h")).drop("h")
+        if ranges > 1:
+            part = write_table(part, "exact-flags")
+            packed.unpersist()
+        parts.append(part)
+    flagged = reduce(DataFrame.unionByName, parts)
     again = flagged.where("maybe").drop("maybe")
     groups = write_table(
         again.groupBy("text_sha256").agg(
