@@ -84,6 +84,23 @@ def test_line_runs_in_many_batches(spark, tmp_path):
         assert (r.n_lines, r.n_dropped, r.text) == (n, n - len(kept), "\n".join(kept))
 
 
+def test_lines_by_names(spark):
+    """Ids that are no numbers are parted in batches too; reserved names are refused."""
+    rng = random.Random(6)
+    lines = [f"a common line number {i} that is long" for i in range(20)]
+    data = [(f"doc-{i:03}", "\n".join(rng.choices(lines, k=rng.randrange(5)))) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    want = brute.lines(data)
+    for r in linedup.line_dedup(df, batches=2, batch_lines=40).collect():
+        n, kept = want[r.doc_id]
+        assert (r.n_lines, r.n_dropped, r.text) == (n, n - len(kept), "\n".join(kept))
+    for name in ("__rid", "__drop"):
+        with pytest.raises(ValueError):
+            linedup.line_dedup(df.withColumn(name, F.lit(1)))
+    with pytest.raises(ValueError):
+        simhash.near_dedup(df.withColumn("__rid", F.lit(1)))
+
+
 def test_simhash(docs, none):
     rows = simhash.simhash_components(docs, width=3).collect()
     assert len(rows) == len(TEXTS) + 3
@@ -297,6 +314,21 @@ def test_bpe_pieces():
         assert table.tokens(a) == whole.tokens(a)
 
 
+def test_bpe_edits_stop_where_nothing_changes():
+    v, rng = bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), random.Random(11)
+    longest = v.longest
+    for size in (40, 3 * longest, 20 * longest):
+        piece = "".join(rng.choices("abcdeth rns", k=size)).encode()
+        table = bpe.PrefixTable(v, piece)
+        for _ in range(12):
+            a = rng.randrange(len(table.piece))
+            b, new = min(len(table.piece), a + rng.randrange(4)), "".join(rng.choices("abth", k=rng.randrange(4))).encode()
+            want = table.piece[:a] + new + table.piece[b:]
+            found = table.replace(a, b, new)
+            assert table.piece == want and table.last == bpe.PrefixTable(v, want).last
+            assert found <= max(len(want) - a, 0) and (len(want) - a < 6 * longest or found <= 4 * longest)
+
+
 def test_bpe_rows(docs, none):
     args = {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     rows = bpe.encode_texts(docs, ids=True, **args).collect()
@@ -362,7 +394,10 @@ def test_trust_reaches_the_end_of_a_chain(spark):
     """Distrust goes on over more than twelve links."""
     hosts = spark.createDataFrame([(f"h{i}", False, i == 20, 1) for i in range(21)], "host string, trusted boolean, blocked boolean, pages long")
     links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(20)], "src string, dst string, n long")
-    got = {r.host: r.distrust for r in urlgraph.propagate(hosts, links, damping=0.85, rounds=120, tolerance=1e-6).collect()}
-    assert all(abs(got[f"h{20 - k}"] - 0.15 * 0.85**k) < 1e-5 for k in range(21))
+    found = urlgraph.propagate(hosts, links, damping=0.85, rounds=120, tolerance=1e-6).collect()
+    got = {r.host: r.distrust for r in found}
+    share = 1 / sum(0.85**k for k in range(21))  # what reaches h0, which nobody links to, starts again
+    assert all(abs(got[f"h{20 - k}"] - share * 0.85**k) < 1e-5 for k in range(21))
+    assert sum(r.distrust for r in found) == pytest.approx(1.0) and sum(r.rank for r in found) == pytest.approx(1.0)
     with pytest.raises(RuntimeError):
         urlgraph.propagate(hosts, links, damping=0.85, rounds=12, tolerance=1e-6)

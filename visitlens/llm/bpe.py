@@ -3,7 +3,7 @@
 For every byte prefix of a piece there is exactly one token that can end its encoding: the token that reaches back to a
 shorter prefix whose own last token may stand before it. The table of these last tokens gives the encoding of every
 prefix by walking back, grows by appending bytes without touching what it holds, and is recomputed after an edit only
-from the edited byte on.
+from the edited byte on until it is what it was.
 """
 
 from __future__ import annotations
@@ -127,11 +127,23 @@ class PrefixTable:
         self.piece = self.piece + more
         extend(self.vocabulary, self.piece, self.last, at)
 
-    def replace(self, start: int, end: int, new: bytes) -> None:
-        """Put ``new`` in the place of bytes start to end; prefixes up to ``start`` stay as they are."""
-        rest = self.piece[end:]
-        self.piece, self.last = self.piece[:start], self.last[: start + 1]
-        self.append(new + rest)
+    def replace(self, start: int, end: int, new: bytes) -> int:
+        """Put ``new`` in the place of bytes start to end; returns how many last tokens were found anew.
+
+        Prefixes up to ``start`` stay as they are. A last token depends on the bytes and last tokens that the longest
+        token spans, so once as many beyond the edit are what they were, all further ones are too.
+        """
+        rest, old, longest = self.piece[end:], self.last, self.vocabulary.longest
+        self.piece, self.last = self.piece[:start] + new + rest, old[: start + 1]
+        moved, begin = start + len(new) - end, start + len(new)
+        while len(self.last) <= len(self.piece):
+            at = len(self.last) - 1
+            extend(self.vocabulary, self.piece[: at + longest], self.last, at)
+            size = len(self.last)
+            if size - longest > begin and self.last[-longest:] == old[size - longest - moved : size - moved]:
+                self.last += old[size - moved :]
+                return size - 1 - start
+        return len(self.piece) - start
 
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the first ``end`` bytes."""
@@ -142,7 +154,7 @@ class Encoder:
     """Encodes texts piece by piece. Pieces met before are remembered in two generations of up to ``most`` each."""
 
     def __init__(self, tokens: list[bytes], pattern: str, most: int = 400_000):
-        self.vocabulary, self.pieces = Vocabulary(tokens), regex.compile(pattern).findall
+        self.vocabulary, self.pattern = Vocabulary(tokens), regex.compile(pattern)
         self.most, self.known, self.older = most, {}, {}
 
     def _piece(self, piece: str) -> tuple[int, ...]:
@@ -164,7 +176,7 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         piece, out = self._piece, []
-        for p in self.pieces(text):
+        for p in self.pattern.findall(text):
             out += self.known.get(p) or piece(p)
         return out
 
@@ -179,13 +191,13 @@ def encode_texts(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str
     and with ``ids`` the ids and the decoded text too. A null or empty text has no tokens. A row is kept for each row,
     in the same partition; nothing is shuffled.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    held = docs.sparkSession.sparkContext.broadcast(Encoder(read_ranks(ranks_path), pattern))  # built once, some 10 MB
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if ids else "")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, pattern)
-        decimal = [str(i) for i in range(len(vocabulary.value))].__getitem__
+        encoder = held.value
+        decimal = [str(i) for i in range(len(encoder.vocabulary.tokens))].__getitem__
         for batch in batches:
             n, ids_hash, decoded_hash, all_ids, texts = [], [], [], [], []
             for text in batch["text"]:
