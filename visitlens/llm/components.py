@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import discard, write_table
 
 
 def _star(links: DataFrame, *, large: bool) -> DataFrame:
-    """One step over (a, b) with a > b: every neighbour of a node is linked to the least of them."""
+    """One step over (a, b) with a > b: every neighbour of a node is linked to the least of them. ``links`` is used up."""
     near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
     least = write_table(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "star-least")
     moved = near.where("b > a") if large else near
     linked = moved.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         linked = linked.unionByName(least.select("a", F.col("m").alias("b")))
-    return linked.where("a > b").distinct()
+    found = write_table(linked.where("a > b").distinct(), "star-links")
+    discard(links, least)
+    return found
 
 
 def connected_components(links: DataFrame, *, most_rounds: int = 50) -> DataFrame:
@@ -29,7 +31,7 @@ def connected_components(links: DataFrame, *, most_rounds: int = 50) -> DataFram
     one_way = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = write_table(one_way, "links"), None
     for _ in range(most_rounds):
-        now = write_table(_star(write_table(_star(now, large=True), "star-large"), large=False), "star-small")
+        now = _star(_star(now, large=True), large=False)
         was, mark = mark, now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == was:
             break

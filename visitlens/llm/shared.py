@@ -45,3 +45,11 @@ def numbered(df: DataFrame, name: str, number: str = "__rid") -> DataFrame:
 def bounded(table: DataFrame) -> DataFrame:
     """A written table for the small side of a join: broadcast if it is small enough."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing needs any more."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

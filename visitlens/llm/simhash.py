@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded, numbered, write_table
+from .shared import bounded, discard, numbered, write_table
 
 SEED = 42
 
@@ -223,17 +223,22 @@ def simhash_components(docs: DataFrame, *, width: int = 5, reach: int = 2, id_co
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Texts of so many shingles must share more than one rare shingle.
+LONG = 64
+
+
 def rare_shingles(u: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Those of the distinct shingles ``u`` of which any text of that ``similarity`` shares one, rarest first.
 
     Of n shingles all but ceil(similarity * n) - 1 suffice, if all texts order them alike: by ``times`` (those of the
-    sorted ``common``, 0 elsewhere), then by value. The order is for speed alone.
+    sorted ``common``, 0 elsewhere), then by value. The order is for speed alone. With one more for each ``LONG`` of
+    them, similar texts share one more for each ``LONG`` of the shorter text.
     """
     rank = np.zeros(len(u), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, u), len(common) - 1)
         rank = np.where(common[at] == u, times[at], 0)
-    most = max(0, len(u) - math.ceil(similarity * len(u) - 1e-9) + 1)
+    most = max(0, len(u) - math.ceil(similarity * len(u) - 1e-9) + 1 + len(u) // LONG)
     return u[np.lexsort((u, rank))[:most]]
 
 
@@ -292,11 +297,17 @@ def shingled(texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
     return write_table(texts.select("rid", "doc_id", "text").mapInArrow(each, schema), "near-rows")
 
 
-def _can_be_alike(x: str, y: str, similarity: float) -> Column:
-    """Whether texts x and y whose first common rare shingle is this one can be so similar, by their lengths and its places."""
-    x, y = (lambda c, at=at: F.col(f"{at}.{c}") for at in (x, y))
-    both = F.lit(1) + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1
-    return both >= similarity / (1 + similarity) * (x("n") + y("n")) - 1e-6
+def _sharing(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(rid, other) of the texts x and y that share as many rare shingles as similar ones do; a row for each such shingle.
+
+    Where one suffices, the first is looked at: lengths and its places bound what the texts can have in common.
+    """
+    both = F.lit(1) + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    bounded = both >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    more = F.floor(F.least("x.n", "y.n") / LONG)
+    alike = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    found = pairs.where(alike & ((more > 0) | bounded)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"), more.alias("more"))
+    return found.groupBy("rid", "other", "more").agg(F.count(F.lit(1)).alias("times")).where("times > more").select("rid", "other")
 
 
 def _sketches_allow(x: str, y: str, similarity: float) -> Column:
@@ -313,7 +324,7 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
     the triangle bound prunes nothing, so the others come from an exact prefix filter: two texts so similar share one
     of their rare shingles. Each text is compared with the text that shares most with others, and with the first, of
     those with one of its rare shingles; then every pair of texts that share a rare shingle and are not joined yet is
-    tested by lengths, places and parity sketches, inside the join, and compared where these allow it. So no pair is
+    tested by lengths, shared shingles and parity sketches, inside the join, and compared where these allow it. So no pair is
     lost, however short the texts or common their passages. All are compared by the exact Jaccard similarity of their
     shingle sets; components of verified pairs are the groups. Null and empty texts, and others without words, are
     alike. A null id is larger than any other here; of rows that share the smallest id one stays. Returns the columns
@@ -337,8 +348,9 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
     fame = write_table(shared.groupBy("rid").agg(F.sum("times").alias("fame")), "near-fame")
     one = F.struct("rid", "n", "pos")
     hubs = shared.join(fame, "rid").groupBy("key").agg(F.max_by(one, F.struct("fame", -F.col("rid"))).alias("hub"), F.min(one).alias("first"))
-    stars = shared.select("key", one.alias("x")).join(write_table(hubs, "near-hubs"), "key").select("x", F.explode(F.array_distinct(F.array("hub", "first"))).alias("y"))
-    candidates.append(stars.where(_can_be_alike("x", "y", similarity)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other")))
+    hubs = write_table(hubs, "near-hubs")
+    stars = shared.select("key", one.alias("x")).join(hubs, "key").select("x", F.explode(F.array_distinct(F.array("hub", "first"))).alias("y"))
+    candidates.append(_sharing(stars, similarity))
 
     sketches = held.select("rid", F.struct("n", "bits").alias("at"))
 
@@ -364,18 +376,23 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
         found = texts.select("rid", "text").join(bounded(wanted), "rid", "left_semi").mapInArrow(sets, "rid long, shingles binary")
         shingles = write_table(found, "near-shingles")
         near = pairs.join(shingles.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-        return write_table(near.where(alike("x", "y")).select("a", "b"), "near-verified")
+        near = write_table(near.where(alike("x", "y")).select("a", "b"), "near-verified")
+        discard(pairs, wanted, shingles)
+        return near
 
     near = verified(reduce(DataFrame.unionByName, candidates))
     begun = write_table(connected_components(near), "near-begun")
     joined = shared.join(begun, shared["rid"] == begun["node"], "left").select("key", "rid", "n", "pos", F.coalesce("component", "rid").alias("component"))
     joined = write_table(joined, "near-joined")
+    discard(shared, times, fame, hubs)
     ends = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     apart = joined.join(ends, "key", "left_semi").join(held.select("rid", "bits"), "rid").select("key", F.struct("rid", "n", "pos", "component", "bits").alias("x"))
     apart = write_table(apart, "near-apart")
+    discard(joined)
     rest = apart.join(apart.select("key", F.col("x").alias("y")), "key").where(F.col("x.component") < F.col("y.component"))
-    rest = rest.where(_can_be_alike("x", "y", similarity) & _sketches_allow("x", "y", similarity)).select(F.col("x.rid").alias("rid"), F.col("y.rid").alias("other"))
-    groups = write_table(connected_components(near.unionByName(verified(rest))), "near-groups")
+    more = verified(_sharing(rest.where(_sketches_allow("x", "y", similarity)), similarity))
+    discard(apart)
+    groups = write_table(connected_components(near.unionByName(more)), "near-groups")
     members = held.select("rid", "doc_id").join(twins, "rid", "left").withColumn("node", F.coalesce("head", "rid")).join(groups, "node", "left")
     members = write_table(members.select("rid", "doc_id", F.coalesce("component", "node").alias("component")), "near-members")
     stay = members.groupBy("component").agg(F.min_by("rid", least).alias("stay"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
