@@ -172,7 +172,7 @@ class Formats:
             kind = self.kind(text) if len(text) >= LEAST else None
             parts = [(0, len(text), kind)] if kind else [(m.start(), m.end(), self.kind(m[0])) for m in JOINTS.finditer(text) if len(m[0]) < len(run)]
             found = tuple(x for x in parts if x[2])
-            if len(self.met) > 300_000:
+            if len(self.met) > 100_000:
                 self.met.clear()
             if len(run) <= 64:
                 self.met[run] = found

@@ -356,27 +356,22 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(s, pa.binary())], ["rid", "shingles"])
+            s = [np.unique(shingle_hashes(t.as_py(), width)).view(np.int64) for t in batch["text"]]
+            flat, ends = pa.array(np.concatenate([np.empty(0, np.int64), *s])), pa.array(np.cumsum([0, *map(len, s)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["rid"], pa.ListArray.from_arrays(ends, flat)], ["rid", "shingles"])
 
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p: bytes, q: bytes) -> bool:
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return both >= similarity * (len(p) + len(q) - both)
-
-        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both >= similarity * (F.size("x") + F.size("y") - both)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where("rid <> other").select(F.greatest("rid", "other").alias("a"), F.least("rid", "other").alias("b")).distinct()
         pairs = pairs.join(sketches.select(F.col("rid").alias("a"), F.col("at").alias("x")), "a").join(sketches.select(F.col("rid").alias("b"), F.col("at").alias("y")), "b")
         pairs = write_table(pairs.where(_sketches_allow("x", "y", similarity)).select("a", "b"), "near-pairs")
         wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-wanted")
-        found = texts.select("rid", "text").join(bounded(wanted), "rid", "left_semi").mapInArrow(sets, "rid long, shingles binary")
+        found = texts.select("rid", "text").join(bounded(wanted), "rid", "left_semi").mapInArrow(sets, "rid long, shingles array<long>")
         shingles = write_table(found, "near-shingles")
         near = pairs.join(shingles.select(F.col("rid").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("rid").alias("b"), F.col("shingles").alias("y")), "b")
-        near = write_table(near.where(alike("x", "y")).select("a", "b"), "near-verified")
+        near = write_table(near.where(alike).select("a", "b"), "near-verified")
         discard(pairs, wanted, shingles)
         return near
 

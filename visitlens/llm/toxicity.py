@@ -82,7 +82,7 @@ class ToxicModel:
 
         def of(word: str) -> float:
             score = next((odds[f] for f in features(word) if f in odds), other)
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             known[word] = score
             return score
