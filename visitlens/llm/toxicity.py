@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,7 +81,7 @@ class ToxicModel:
 
         def of(word: str) -> float:
             score = next((odds[f] for f in features(word) if f in odds), other)
-            if len(known) > 200_000:
+            if len(known) > 60_000:
                 known.clear()
             known[word] = score
             return score
@@ -154,13 +153,13 @@ def extreme_constant(best: np.ndarray, lengths: np.ndarray, scale: float) -> flo
     return min(10.0, max(1e-4, len(best) / total)) if total > 0 else 0.1
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 30_000, least_count: int = 3, prior_share: float = 0.1, least_z: float = 3.0) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 30_000, least_count: int = 3, prior_share: float = 0.1, least_z: float = 3.0, most_held: int = 50_000) -> ToxicModel:
     """Learn from a bounded sample of the labelled documents outside the held-out fifth.
 
     The sample has two halves. Each is scored by odds that the other one taught, for the extreme-value constant and the
     logistic curve; the odds of the model come from both. ``fit_rows`` labels (a few hundred KB) are broadcast to the
     scans of the documents. The driver gets the features of ``least_count`` texts or more that some odds could use, which
-    the sample bounds, and three numbers a sampled row. Null labels and ids are left out. Without documents of both
+    the sample bounds, and three numbers a sampled row; a task hands its counts on at ``most_held`` features. Null labels and ids are left out. Without documents of both
     classes nothing is toxic.
     """
     spark = docs.sparkSession
@@ -170,16 +169,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 30_000,
     rows = docs.select("doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = {(toxic, half): Counter() for half in (0, 1) for toxic in (0, 1)}
+        by: dict[str, list[int]] = {}
+
+        def counted() -> pa.RecordBatch:
+            columns = list(zip(*by.values(), strict=True)) or [()] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(by, pa.string())] + [pa.array(c, pa.int64()) for c in columns], ["feature", *names])
+            by.clear()
+            return batch
+
         for batch in batches:
             for i, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 label = chosen.value.get(i)
                 if label is not None:
-                    words = set(WORDS.findall((text.as_py() or "").lower()))
-                    by[label].update(f for w in words for f in features(w))
-                    by[label][""] += 1
-        keys = list(set().union(*by.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())] + [pa.array([c[k] for k in keys], pa.int64()) for c in by.values()], ["feature", *names])
+                    at = label[0] + 2 * label[1]
+                    for f in ("", *(f for w in set(WORDS.findall((text.as_py() or "").lower())) for f in features(w))):
+                        by.setdefault(f, [0, 0, 0, 0])[at] += 1
+                    if len(by) > most_held:
+                        yield counted()
+        yield counted()
 
     names = ["calm0", "toxic0", "calm1", "toxic1"]
     schema = "feature string, " + ", ".join(f"{c} long" for c in names)
