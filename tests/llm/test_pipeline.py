@@ -122,3 +122,19 @@ def test_near_copies_in_a_family_with_boilerplate(spark):
         want.add(2 * i)
     table = write_table(spark.createDataFrame(docs, "doc_id long, text string"), "family")
     assert {r.doc_id for r in simhash.near_dedup(table).collect()} == want
+
+
+def test_edges(spark, tmp_path):
+    """Null, empty and very long texts, null ids, repeated rows, more columns, and no rows, through every stage."""
+    texts = [None, "", "a few words that stand here twice", "a few words that stand here twice", " ".join(f"w{i}" for i in range(20_000)), "é\n\n🦊"]
+    rows = [(i, t, None, None, None, "x") for i, t in enumerate(texts)] + [(2, texts[2], None, None, None, "x"), (None, None, None, None, None, None)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, rid string"
+    for part in (rows, []):
+        docs = write_table(spark.createDataFrame(part, ddl), "edges")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = write_table(stage(spark, docs, SF), "edges")
+            assert after.columns == docs.columns and after.count() <= docs.count()
+            docs = after
+        kept = sorted(r.doc_id for r in docs.collect())
+        assert kept == ([0, 2, 4, 5] if part else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept)

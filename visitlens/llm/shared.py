@@ -35,6 +35,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Batches of so many rows for Python, unless the cluster sets its own: those of 10,000 whole texts take 100 MB and more a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, rows)
+
+
 def numbered(df: DataFrame, name: str, number: str = "__rid") -> DataFrame:
     """``df`` with a number for each row in column ``number``, written once, so a rerun can't deal the numbers anew."""
     if number in df.columns:
