@@ -119,6 +119,22 @@ def test_boxes(spark):
     assert sorted(r.seq for r in geometry.distinct_boxes(rows).collect()) == [1, 2]
 
 
+def test_distinct_boxes_by_rule(spark):
+    """Flat boxes go, an umbrella that was turned away is no child, ties go by coordinates whatever the order of rows."""
+    cases = {
+        1: [(0.9, 0, 0, 10, 10), (0.8, 20, 0, 30, 10), (0.7, 0, 0, 30, 10), (0.6, 5, 5, 5, 9)],  # the third is an umbrella
+        2: [(0.9, 0, 0, 30, 10), (0.8, 0, 0, 10, 10), (0.7, 20, 0, 30, 10)],  # met before its children
+        3: [(0.5, 1, 0, 11, 10), (0.5, 0, 0, 10, 10)],  # duplicates of one score
+        4: [(0.9, 0, 0, 40, 40), (0.8, 0, 0, 10, 10), (0.7, 20, 0, 30, 10)],  # a large one that only holds small ones
+    }
+    want = {1: {(0, 0, 10, 10), (20, 0, 30, 10)}, 2: {(0, 0, 10, 10), (20, 0, 30, 10)}, 3: {(0, 0, 10, 10)}, 4: {(0, 0, 40, 40), (0, 0, 10, 10), (20, 0, 30, 10)}}
+    for turn in (1, -1):
+        rows = [(f, i, *map(float, b)) for f, boxes in cases.items() for i, b in enumerate(boxes[::turn])]
+        df = spark.createDataFrame(rows, "frame long, seq long, score double, x1 double, y1 double, x2 double, y2 double")
+        found = geometry.distinct_boxes(df).join(df, ["frame", "seq"]).collect()
+        assert {f: {(r.x1, r.y1, r.x2, r.y2) for r in found if r.frame == f} for f in cases} == want
+
+
 def test_place_clusters_keep_their_anchor(spark):
     rows = spark.createDataFrame([(1, i, i, x, 0.0, x + 20, 20.0) for i, x in enumerate([0.0, 2.0, 4.0, 6.0])], "source long, id long, at long, x1 double, y1 double, x2 double, y2 double")
     assert [r.cluster for r in geometry.place_clusters(rows, cell=1e6).orderBy("id").collect()] == [0, 0, 1, 1]
