@@ -35,11 +35,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Batches of so many rows for Python, unless the cluster sets its own: those of 10,000 whole texts take 100 MB and more a task."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not spark.sparkContext.getConf().contains(key):
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Batches of so many rows and bytes for Python, unless the cluster sets its own.
+
+    Those of 10,000 whole texts take 100 MB and more a task, and a few very long texts would fill one of any number of rows.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, most)
 
 
 def numbered(df: DataFrame, name: str, number: str = "__rid") -> DataFrame:
