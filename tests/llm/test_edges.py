@@ -206,6 +206,18 @@ def test_warc_urls_that_look_like_records(spark):
     assert {r.payload.decode() for r in rows} == {r.html for r in df.collect()}
 
 
+def test_warc_records_at_the_borders_of_buffers(spark, tmp_path):
+    """Every place of a record's end against the reader's buffer of 64 KB."""
+    for shift in range(24):
+        head = "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{}>\r\nContent-Length: {}\r\n\r\n"
+        size = 65536 - 18 + shift - len(head.format(f"a{shift}", 65000))
+        first = head.format(f"a{shift}", size) + "x" * (size - 4) + "\r\n\r\n" + "\r\n\r\n"
+        (tmp_path / f"{shift}.warc").write_text(first + head.format(f"b{shift}", 2) + "ok\r\n\r\n", newline="")
+    rows = warc.read_warc(spark, str(tmp_path)).select("record_id", "complete").collect()
+    assert sorted(r.record_id for r in rows) == sorted(f"<urn:x:{c}{i}>" for c in "ab" for i in range(24))
+    assert all(r.complete for r in rows)
+
+
 def test_warc_of_others(spark, tmp_path):
     """Older versions, a gzip member for each record, malformed headers and segments sent twice."""
 

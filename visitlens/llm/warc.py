@@ -1,9 +1,10 @@
 """WARC archives as Spark tables of text: records are written in segments with chunked framing and put together again.
 
 An archive file is a gzip member whose records Spark's text writer separates by the blank lines that end a record. The
-reader cuts the files at blank lines before a version, so a file is streamed and never held whole, and files of several
-members or of older versions are read too. The writer breaks a chunk inside any version that a payload holds, so the cut
-is safe for its own archives; elsewhere a record that comes out shorter than its Content-Length, or whose headers are
+reader cuts the files at lines that begin with a version, so a file is streamed and never held whole, and files of
+several members or of older versions are read too. The separator must not repeat its own beginning: Hadoop's line reader
+misses such a one where a buffer ends within it. The writer breaks a chunk inside any version that a payload holds, so
+the cut is safe for its own archives; elsewhere a record that comes out shorter than its Content-Length, or whose headers are
 malformed, is reported by ``complete``.
 """
 
@@ -168,7 +169,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         + [("origin_id", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary()), ("complete", pa.bool_())]
     )
     schema = "record_id string, type string, url string, digest string, refers_to string, origin_id string, segment long, total long, block binary, complete boolean"
-    raw = spark.read.option("lineSep", RECORD_END + VERSION[:7]).text(path)
+    raw = spark.read.option("lineSep", "\n" + VERSION[:7]).text(path)
     return raw.select(F.col("value").cast("binary")).mapInArrow(parse, schema)
 
 
