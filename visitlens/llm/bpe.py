@@ -31,8 +31,8 @@ def read_ranks(path: str) -> list[bytes]:
 class Vocabulary:
     """Tokens by rank, how each was merged, and which two may stand side by side."""
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
+    def __init__(self, tokens: list[bytes], most: int = 300_000):
+        self.tokens, self.most = tokens, most
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.sizes = [*map(len, tokens)]
         self.longest = max(self.sizes)
@@ -63,7 +63,7 @@ class Vocabulary:
         Merges are undone from the latest one back. At each moment the tokens that touch the border are known; had
         they a merge of their own that comes before the one undone last, it would have crossed the border.
         """
-        if len(self.known) > 500_000:
+        if len(self.known) > self.most:
             self.known.clear()
         found = self.known[left * self.wide + right] = self._unmerge(left, right)
         return found
@@ -153,7 +153,7 @@ class PrefixTable:
 class Encoder:
     """Encodes texts piece by piece. Pieces met before are remembered in two generations of up to ``most`` each."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 200_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 120_000):
         self.vocabulary, self.pattern = Vocabulary(tokens), regex.compile(pattern)
         self.most, self.known, self.older = most, {}, {}
 
