@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -151,10 +152,54 @@ def test_tracks_cross(spark):
 
 
 def test_gait_frequency(spark):
+    """The bob of the longest walking run counts; a track that stands, and a short one, have no stride."""
     t = np.arange(0, 6, 1 / 15)
-    rows = [(1, float(x), float(np.sin(2 * np.pi * 1.5 * x))) for x in t] + [(2, 0.0, 1.0)]
-    found = {r.track: r.stride_hz for r in geometry.gait(spark.createDataFrame(rows, "track long, t double, h double")).collect()}
-    assert found[1] == pytest.approx(1.5) and found[2] is None
+    rows = [(1, float(x), 0.1 * float(x), 0.5 + 0.01 * float(np.sin(2 * np.pi * 1.5 * x))) for x in t]
+    rows += [(1, 6.0 + float(x), 0.6, 0.5) for x in t]  # then it stands
+    rows += [(2, float(x), 0.3, 0.5) for x in t] + [(3, 0.0, 0.0, 0.0)]
+    found = {r.track: r for r in geometry.gait(spark.createDataFrame(rows, "track long, t double, cx double, cy double")).collect()}
+    assert found[1].stride_hz == pytest.approx(1.5) and found[1].walk_s == pytest.approx(6, abs=0.2)
+    assert found[2].stride_hz is None and found[2].walk_s == 0 and found[3].stride_hz is None
+
+
+def plain_gait(t, cx, cy):
+    """The rule step by step: (stride, strength), or (None, None)."""
+    dt = [b - a for a, b in zip(t, t[1:], strict=False)]
+    usual = float(np.median([d for d in dt if d > 0]))
+    best, a = (0, 0), None
+    for i in range(len(dt) + 1):
+        on = i < len(dt) and math.hypot(cx[i + 1] - cx[i], cy[i + 1] - cy[i]) / max(dt[i], 1e-9) > 0.04 and dt[i] <= 3 * usual
+        if on and a is None:
+            a = i
+        if not on and a is not None:
+            best, a = max(best, (a, i), key=lambda r: t[r[1]] - t[r[0]]), None
+    s, e = best
+    if t[e] - t[s] < 2.5:
+        return None, None
+    n, w = max(round((t[e] - t[s]) / usual) + 1, 8), max(3, round(1.2 / usual) | 1)
+    y = np.interp(np.linspace(t[s], t[e], n), t[s : e + 1], cy[s : e + 1])
+    h = w // 2
+    x = np.array([y[i] - sum(y[i - h : i + h + 1]) / w for i in range(h, n - h)])
+    if len(x) < 12:
+        return None, None
+    x = x - x.mean()
+    r = {k: sum(x[i] * x[i + k] for i in range(len(x) - k)) / sum(x * x) for k in range(max(1, round(1 / 3.2 / usual)), min(len(x) - 2, round(1 / 0.8 / usual)) + 1)}
+    top = max(r.values())
+    return (None, None) if top < 0.3 else (1 / (usual * next(k for k in r if r[k] >= 0.95 * top)), top)
+
+
+def test_gait_is_the_plain_rule(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for track in range(30):
+        t = np.cumsum(rng.choice([0.1, 0.1, 0.1, 0.12, 0.5 if track % 3 else 0.1], 120))
+        cx = np.cumsum(np.where(rng.random(120) < 0.97, 0.02, 0.0))
+        cy = 0.5 + 0.01 * np.sin(2 * np.pi * rng.uniform(0.9, 3) * t) + rng.normal(0, 0.002, 120)
+        rows += [(track, *map(float, p)) for p in zip(t, cx, cy, strict=True)]
+        want[track] = plain_gait(t, cx, cy)
+    for r in geometry.gait(spark.createDataFrame(rows, "track long, t double, cx double, cy double")).collect():
+        a, b = want[r.track]
+        assert (r.stride_hz is None and a is None) or (r.stride_hz == pytest.approx(a) and r.strength == pytest.approx(b))
+    assert sum(a is not None for a, _ in want.values()) >= 10
 
 
 def test_linkage_cannot_link():
@@ -184,10 +229,26 @@ def test_elimination(spark):
     assert {(r.visit, r.side): r.name for r in identity.eliminate(sides).collect()} == {(1, 0): "a", (1, 1): "b", (2, 0): None, (2, 1): None}
 
 
+REEL = "period long, id long, ts timestamp_ntz, species string, individuals array<string>, burst long, score double, n long, seconds double"
+
+
 def test_reel_respects_budget(spark):
-    rows = [(1, i, at(i), f"s{i % 3}", i // 4, float(i)) for i in range(40)]
-    found = digest.select_reel(spark.createDataFrame(rows, "period long, id long, ts timestamp_ntz, species string, burst long, score double")).collect()
-    assert len(found) == 12 and {r.id for r in found} >= {37, 38, 39}
+    rows = [(1, i, at(i), f"s{i % 3}", [], i // 4, float(i), 1, 6.0) for i in range(40)]
+    found = digest.select_reel(spark.createDataFrame(rows, REEL)).collect()
+    assert len(found) == 13 and {r.id for r in found} >= {37, 38, 39}  # the last one starts within the budget
+
+
+def test_reel_names_and_beats(spark):
+    """A weak moment of a named individual gets in; a long burst gives a second and a third beat, apart from the first."""
+    long = [(1, i, at(m), "fox", None, 0, s, 5, 6.0) for i, (m, s) in enumerate([(0, 9.0), (1, 8.0), (10, 7.0), (30, 1.0)])]
+    short = [(1, 10, at(150), "owl", ["Mo"], 1, 3.0, 1, 6.0), (1, 11, at(151), "owl", ["Bo"], 1, 2.0, 1, 6.0), (1, 12, at(333), "owl", None, 2, 2.5, 1, 6.0)]
+    rows = spark.createDataFrame(long + short, REEL)
+    order = lambda **k: [r.id for r in digest.select_reel(rows, **k).orderBy("place").collect()]
+    assert order(most=3) == [0, 10, 11]  # the owl is rarer, then the fox, then Bo
+    assert order(most=4) == [0, 10, 11, 12]
+    assert order(most=5) == [0, 2, 10, 11, 12]  # ten minutes after the first beat, not one
+    assert order(most=6) == [0, 2, 3, 10, 11, 12]
+    assert order(budget_s=7) == [0, 10]
 
 
 def test_folds_cover_every_probe_once():
@@ -227,3 +288,39 @@ def test_places_on_the_border_of_two_cells(spark):
     for drift in (0.0, 0.3):
         got = geometry.place_clusters(rows, drift=drift).select("source", "cell_x", "cell_y", "cluster").distinct().collect()
         assert len(got) == 1
+
+
+def test_still_tracklets_by_rule(spark):
+    """Doubles share a box, nearness links within a diagonal, a long gap does not, and tracks of one frame are apart."""
+    boxes = [
+        (1, 0.0, (0, 0, 10, 10)), (2, 0.0, (0, 0, 10, 16)), (3, 0.0, (100, 0, 110, 10)),  # 1 and 2 are one, as large as both
+        (4, 5.0, (0, 12, 10, 28)),  # overlaps the box around both only
+        (5, 5.0, (112, 0, 122, 10)),  # no overlap, but near
+        (6, 10.0, (140, 0, 150, 10)),  # too far from 5
+        (7, 40.0, (112, 0, 122, 10)),  # too late
+    ]
+    rows = spark.createDataFrame([(9, i, t, *map(float, b)) for i, t, b in boxes], "visit long, id long, at_s double, x1 double, y1 double, x2 double, y2 double")
+    found = {r.id: (r.track, r.apart) for r in geometry.still_tracklets(rows).collect()}
+    assert found == {1: (0, [1]), 2: (0, [1]), 4: (0, [1]), 3: (1, [0]), 5: (1, [0]), 6: (2, []), 7: (3, [])}
+
+
+def test_frozen_scenes_need_number_and_span(spark):
+    a, b, c = np.eye(4)[:3].tolist()
+    rows = [(1, i, 60.0 * i, a) for i in range(6)] + [(1, 10 + i, 60.0 * i + 1, b) for i in range(4)] + [(1, 20 + i, 300.0 + i, c) for i in range(6)] + [(1, 30, 500.0, [2.0] * 4)]
+    found = geometry.frozen_scenes(spark.createDataFrame(rows, "visit long, id long, at_s double, thumb array<double>")).collect()
+    assert [(r.ids, r.n, r.span_s) for r in found] == [([0, 1, 2, 3, 4, 5], 6, 300.0)] and found[0].dissimilarity == pytest.approx(0) and found[0].confidence == 1
+
+
+def test_logged_names_are_dealt_once(spark):
+    e = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.0, 0.0, 1.0]}
+    groups = [(1, 0, 9, "a", e["b"]), (1, 1, 8, None, [0.1, 0.9, 0.0]), (1, 2, 7, None, [0.5, 0.5, 0.1]), (1, 3, 1, None, e["c"]), (2, 0, 5, None, e["a"]), (3, 0, 5, "a", e["a"]), (3, 1, 4, None, e["c"])]
+    groups = spark.createDataFrame(groups, "visit long, cluster long, n long, label string, embedding array<double>")
+    logged = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"]), (3, ["a", "b"])], "visit long, names array<string>")
+    made = spark.createDataFrame([("a", e["a"]), ("b", e["b"]), ("d", e["c"])], "name string, embedding array<double>")
+    found = {(r.visit, r.cluster): (r.name, r.choices) for r in identity.resolve_logged(groups, logged, made, threshold=0.6).collect()}
+    assert found == {(1, 0): ("a", ["a"]), (1, 1): ("b", ["b"]), (1, 2): ("c", ["c"]), (1, 3): (None, []), (3, 0): ("a", ["a"]), (3, 1): ("b", ["b"])}
+
+
+def test_previous_over_days(spark):
+    rows = spark.createDataFrame([(1, i, at(i * 667), i % 3) for i in range(8)] + [(2, 9, at(0), 5)], "source long, id long, ts timestamp_ntz, x int")
+    assert [r.before for r in sessions.with_previous(rows, "x").orderBy("source", "id").collect()] == [None, 0, 1, 2, 0, 1, 2, 0, None]

@@ -74,24 +74,51 @@ def reel_bursts(clips: DataFrame, gap_s: float = 480) -> DataFrame:
     return flagged.withColumn("burst", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("fresh")
 
 
-def select_reel(candidates: DataFrame, *, most: int = 14, budget_s: float = 75.0, segment_s: float = 6.0) -> DataFrame:
-    """(period, place, id): best of each species, rarest species first, then burst leaders by score, within the budget.
-
-    The choice depends on what was chosen before, so a period, which holds a few hundred clips, is one group.
+def select_reel(candidates: DataFrame, *, most: int = 14, budget_s: float = 75.0, apart_s: float = 180.0, long_s: float = 1500.0) -> DataFrame:
+    """(period, place, id): the moments of a reel in order of time, taken while fewer than ``most`` and ``budget_s`` are used.
+
+    ``candidates``: period, id, ts, species, individuals, burst, score, n (detections), seconds. First the best moment of
+    each species, rarest first, then of each named individual, then the best of each burst by score. Bursts of several
+    moments then give a second one, long bursts first, and long ones of three or more a third; such a moment is
+    ``apart_s`` from those taken of its burst if there is one. A burst is long if its best and its weakest moment lie
+    ``long_s`` apart. The choice depends on what was chosen before, so a period, which holds a few hundred clips, is one group.
     """
+    import numpy as np
     import pandas as pd
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        room = min(most, int(budget_s // segment_s))
-        rare = pdf.groupby("species").size().sort_values(kind="stable").index
-        chosen: list[int] = []
-        for species in rare:
-            chosen += list(pdf.loc[pdf["species"] == species, "id"].head(1))
-        leaders = pdf.drop_duplicates("burst")
-        chosen += [i for i in leaders["id"] if i not in chosen]
-        chosen += [i for i in pdf["id"] if i not in chosen]
-        order = pdf[pdf["id"].isin(chosen[:room])].sort_values(["ts", "id"])["id"]
-        return pd.DataFrame({"period": pdf["period"].iloc[0], "place": range(1, len(order) + 1), "id": list(order)})
-
-    return candidates.select("period", "id", "ts", "species", "burst", "score").groupBy("period").applyInPandas(each, "period long, place long, id long")
+        pdf = pdf.sort_values(["score", "ts", "id"], ascending=[False, True, True]).reset_index(drop=True)  # the best of any rows is the first
+        at = (pdf["ts"] - pdf["ts"].min()).dt.total_seconds().to_numpy()
+        seconds, chosen = pdf["seconds"].to_numpy(float), []
+
+        def take(rows) -> None:
+            if len(rows) and rows[0] not in chosen and len(chosen) < most and seconds[chosen].sum() < budget_s:
+                chosen.append(int(rows[0]))
+
+        def next_of(members: np.ndarray) -> np.ndarray:
+            taken = [i for i in members if i in chosen]
+            rest = np.array([i for i in members if i not in chosen], int)
+            far = np.array([all(abs(at[i] - at[j]) >= apart_s for j in taken) for i in rest], bool)
+            return rest[far] if far.any() else rest
+
+        by_species = {s: g.index.to_numpy() for s, g in pdf.groupby("species")}
+        for s in sorted(by_species, key=lambda s: (pdf["n"].to_numpy()[by_species[s]].sum(), s)):
+            take(by_species[s])
+        names = [set() if x is None else set(x) for x in pdf["individuals"]]
+        for name in sorted(set().union(*names)):
+            take([i for i, held in enumerate(names) if name in held])
+        bursts = sorted((g.index.to_numpy() for _, g in pdf.groupby("burst")), key=lambda m: m[0])
+        for members in bursts:
+            take(members)
+        is_long = {int(m[0]): abs(at[m[0]] - at[m[-1]]) >= long_s for m in bursts}
+        several = sorted((m for m in bursts if len(m) >= 2), key=lambda m: (not is_long[int(m[0])], -len(m), m[0]))
+        for members in several:
+            take(next_of(members))
+        for members in several:
+            if len(members) >= 3 and is_long[int(members[0])]:
+                take(next_of(members))
+        ids = pdf.loc[chosen].sort_values(["ts", "id"])["id"]
+        return pd.DataFrame({"period": pdf["period"].iloc[0], "place": range(1, len(ids) + 1), "id": list(ids)})
+
+    wanted = ["period", "id", "ts", "species", "individuals", "burst", "score", "n", "seconds"]
+    return candidates.select(wanted).groupBy("period").applyInPandas(each, "period long, place long, id long")

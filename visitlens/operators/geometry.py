@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import iou
+from visitlens.operators.motion import MOVING
 
 Box = tuple[float, float, float, float]
 
@@ -146,63 +147,96 @@ def place_clusters(rows: DataFrame, *, limit: float = 0.75, drift: float = 0.0,
     return boxes.groupBy("source").applyInPandas(each, "source long, cell_x long, cell_y long, cluster long, id long")
 
 
+def best_pairs(score: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) of the best scores first, each row and column once; -inf never pairs."""
+    score, out = score.copy(), []
+    while score.size and score.max() > -np.inf:
+        i, j = (int(x) for x in np.unravel_index(score.argmax(), score.shape))
+        out.append((i, j))
+        score[i], score[:, j] = -np.inf, -np.inf
+    return out
+
+
 def associate(points: DataFrame, *, base: float = 0.05, rate: float = 0.25, gap_s: float = 1.5, min_hits: int = 5) -> DataFrame:
     """(clip, track, id): the nearest open track within a jump budget that grows with time; short tracks are dropped.
 
-    ``points``: clip, id, t, cx, cy. Pairs of one moment are matched nearest first.
+    ``points``: clip, id, t, cx, cy. Pairs of one moment are matched nearest first; tracks are numbered as they appear.
     """
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list[dict] = []
-        done: list[dict] = []
-        for t, now in pdf.sort_values(["t", "id"]).groupby("t", sort=True):
-            done += [x for x in live if t - x["t"] > gap_s]
-            live = [x for x in live if t - x["t"] <= gap_s]
-            pairs = sorted(
-                (math.hypot(r.cx - x["cx"], r.cy - x["cy"]), k, i)
-                for k, x in enumerate(live)
-                for i, r in enumerate(now.itertuples())
-                if math.hypot(r.cx - x["cx"], r.cy - x["cy"]) <= base + rate * (t - x["t"])
-            )
-            took_track, took_row, rows = set(), set(), list(now.itertuples())
-            for _, k, i in pairs:
-                if k not in took_track and i not in took_row:
-                    took_track.add(k)
-                    took_row.add(i)
-                    live[k] |= {"t": t, "cx": rows[i].cx, "cy": rows[i].cy}
-                    live[k]["ids"].append(rows[i].id)
-            live += [{"t": t, "cx": r.cx, "cy": r.cy, "ids": [r.id]} for i, r in enumerate(rows) if i not in took_row]
-        tracks = sorted((x["ids"] for x in done + live if len(x["ids"]) >= min_hits), key=lambda ids: ids[0])
-        clip = pdf["clip"].iloc[0]
-        return pd.DataFrame([(clip, k, i) for k, ids in enumerate(tracks) for i in ids], columns=["clip", "track", "id"])
+        pdf = pdf.sort_values(["t", "id"])
+        t, places = pdf["t"].to_numpy(float), pdf[["cx", "cy"]].to_numpy(float)
+        owner, tail, live = np.full(len(t), -1), [], []  # the track of each row, the last row of each track, open tracks
+        for now in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t)) + 1):
+            live = [k for k in live if t[now[0]] - t[tail[k]] <= gap_s]
+            ends = np.array([tail[k] for k in live], int)
+            apart = np.linalg.norm(places[ends][:, None] - places[now][None], axis=2)
+            budget = base + rate * (t[now[0]] - t[ends])
+            for i, j in best_pairs(np.where(apart <= budget[:, None], -apart, -np.inf)):
+                owner[now[j]] = live[i]
+            for row in now:
+                if owner[row] < 0:
+                    owner[row] = len(tail)
+                    live.append(len(tail))
+                    tail.append(row)
+                tail[owner[row]] = row
+        long = np.bincount(owner, minlength=1) >= min_hits
+        number = np.cumsum(long) - 1
+        return pdf.assign(track=number[owner])[long[owner]][["clip", "track", "id"]]
 
     return points.select("clip", "id", "t", "cx", "cy").groupBy("clip").applyInPandas(each, "clip long, track long, id long")
 
 
-def gait(points: DataFrame, *, low_hz: float = 0.8, high_hz: float = 3.2, min_s: float = 1.5, strength: float = 0.3, rate: float = 15.0) -> DataFrame:
-    """(track, stride_hz, strength): the first strong peak of the autocorrelation of a track's height, resampled evenly."""
+def walking(t: np.ndarray, x: np.ndarray, y: np.ndarray, moving: float) -> tuple[int, int]:
+    """First and last sample of the longest run of steps that move and skip no more than three usual steps; (0, 0) if none."""
+    dt = np.diff(t)
+    on = (np.hypot(np.diff(x), np.diff(y)) > moving * np.maximum(dt, 1e-9)) & (dt <= 3 * np.median(dt[dt > 0]))
+    if not on.any():
+        return 0, 0
+    run = np.cumsum(~on)  # steps of one run share a number
+    longest = int(np.bincount(run[on], weights=dt[on]).argmax())
+    steps = np.flatnonzero(on & (run == longest))
+    return int(steps[0]), int(steps[-1]) + 1
+
+
+def gait(points: DataFrame, *, low_hz: float = 0.8, high_hz: float = 3.2, min_s: float = 2.5, strength: float = 0.3, moving: float = MOVING, smooth_s: float = 1.2) -> DataFrame:
+    """(track, stride_hz, strength, walk_s) from the bob of the centre while a track walks.
+
+    ``points``: track, t, cx, cy. The height of the longest walking run is resampled at the track's usual step, freed of
+    a moving average of ``smooth_s`` (the ends, where the average lacks samples, are left out) and autocorrelated; the
+    first lag within 5 % of the strongest one is the stride. Tracks of under 12 samples, or of one moment, have none.
+    """
+
+    def stride(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float | None, float | None, float]:
+        if len(t) < 12 or t[-1] <= t[0]:
+            return None, None, 0.0
+        dt = np.diff(t)
+        step = float(np.median(dt[dt > 0]))
+        a, b = walking(t, x, y, moving)
+        walk = float(t[b] - t[a])
+        if walk < min_s:
+            return None, None, walk
+        n, width = max(round(walk / step) + 1, 8), max(3, round(smooth_s / step) | 1)
+        if n - width + 1 < 12:
+            return None, None, walk
+        even = np.interp(np.linspace(t[a], t[b], n), t[a : b + 1], y[a : b + 1])
+        bob = even[width // 2 : n - width // 2] - np.convolve(even, np.full(width, 1 / width), "valid")
+        bob = bob - bob.mean()
+        power = float(bob @ bob)
+        lags = np.arange(max(1, round(1 / high_hz / step)), min(len(bob) - 2, round(1 / low_hz / step)) + 1)
+        if power < 1e-12 or len(lags) < 2:
+            return None, None, walk
+        r = np.correlate(bob, bob, "full")[len(bob) - 1 :][lags] / power
+        if r.max() < strength:
+            return None, None, walk
+        return 1 / (float(lags[np.argmax(r >= 0.95 * r.max())]) * step), float(r.max()), walk
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        track, pdf = pdf["track"].iloc[0], pdf.sort_values("t").drop_duplicates("t")
-        t, y = pdf["t"].to_numpy(float), pdf["h"].to_numpy(float)
-        none = pd.DataFrame([(track, None, None)], columns=["track", "stride_hz", "strength"])
-        if len(t) < 4 or t[-1] - t[0] < min_s:
-            return none
-        grid = np.arange(t[0], t[-1], 1 / rate)
-        x = np.interp(grid, t, y)
-        x = x - np.polyval(np.polyfit(grid, x, 1), grid)
-        power = float(x @ x)
-        lags = range(max(1, int(rate / high_hz)), min(len(x) - 2, int(rate / low_hz)) + 1)
-        if power <= 0 or not lags:
-            return none
-        r = {k: float(x[:-k] @ x[k:]) / power for k in lags}
-        top = max(r.values())
-        if top < strength:
-            return none
-        lag = next(k for k in lags if r[k] >= 0.95 * top)
-        return pd.DataFrame([(track, rate / lag, r[lag])], columns=["track", "stride_hz", "strength"])
-
-    return points.select("track", "t", "h").groupBy("track").applyInPandas(each, "track long, stride_hz double, strength double")
+        pdf = pdf.sort_values("t", kind="stable")
+        found = stride(*(pdf[c].to_numpy(float) for c in ("t", "cx", "cy")))
+        return pd.DataFrame([(pdf["track"].iloc[0], *found)], columns=["track", "stride_hz", "strength", "walk_s"])
+
+    return points.select("track", "t", "cx", "cy").groupBy("track").applyInPandas(each, "track long, stride_hz double, strength double, walk_s double")
 
 
 def linkage(rows: DataFrame, keys: list[str], *, cut: float, apart: str | None = None) -> DataFrame:
@@ -250,43 +284,91 @@ def cluster_cosine(x: np.ndarray, cut: float, frames: list | None = None) -> lis
     return out
 
 
-def still_tracklets(rows: DataFrame, *, link_gap_s: float = 20.0, same: float = 0.45) -> DataFrame:
-    """(visit, track, id): crops of one visit linked frame by frame; two boxes of one frame never share a track.
+def still_tracklets(rows: DataFrame, *, link_gap_s: float = 20.0, same: float = 0.45, touch: float = 0.05, reach: float = 1.0) -> DataFrame:
+    """(visit, track, id, apart): crops of one visit linked frame by frame. ``rows``: visit, id, at_s, x1, y1, x2, y2.
 
-    Boxes of a frame that overlap by ``same`` are one. A box joins the open track whose last box is nearest in place and
-    time. ``rows``: visit, id, at_s, x1, y1, x2, y2.
+    Boxes of a frame that overlap by ``same`` are one, with the box around them. It continues an open track whose last
+    box it overlaps by ``touch`` or from which it is at most ``reach`` mean diagonals away; overlap and nearness add up,
+    and the best pairs are taken first. ``apart`` lists the tracks seen in one frame with this one: other animals.
     """
 
-    def centre(b: Box) -> tuple[float, float, float]:
-        return (b[0] + b[2]) / 2, (b[1] + b[3]) / 2, math.hypot(b[2] - b[0], b[3] - b[1])
+    def likeness(a: Box, b: Box) -> float:
+        usual = (math.hypot(a[2] - a[0], a[3] - a[1]) + math.hypot(b[2] - b[0], b[3] - b[1])) / 2
+        away = math.hypot(a[0] + a[2] - b[0] - b[2], a[1] + a[3] - b[1] - b[3]) / 2 / usual if usual > 0 else math.inf
+        over = box_iou(a, b)
+        return over + max(0.0, 1 - away) if over >= touch or away <= reach else -math.inf
+
+    def merged(found: list[tuple[int, Box]]) -> list[tuple[list[int], Box]]:
+        out: list[tuple[list[int], Box]] = []
+        for i, b in found:
+            home = next((k for k, (_, o) in enumerate(out) if box_iou(o, b) >= same), None)
+            if home is None:
+                out.append(([i], b))
+            else:
+                ids, o = out[home]
+                out[home] = ([*ids, i], (min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3])))
+        return out
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[dict] = []
+        last: list[tuple[float, Box]] = []
+        rows, apart = [], []
         for at, now in pdf.sort_values(["at_s", "id"]).groupby("at_s", sort=True):
-            groups: list[list] = []
-            for i, b in zip(now["id"], _boxes(now), strict=True):
-                home = next((g for g in groups if box_iou(g[0][1], b) >= same), None)
-                groups.append([(i, b)]) if home is None else home.append((i, b))
-            costs = []
-            for g, members in enumerate(groups):
-                x, y, d = centre(members[0][1])
-                for k, t in enumerate(tracks):
-                    if at - t["at"] <= link_gap_s:
-                        u, v, e = centre(t["box"])
-                        apart = math.hypot(x - u, y - v) / max((d + e) / 2, 1e-9)
-                        costs.append((apart + (at - t["at"]) / link_gap_s, k, g))
-            used_t, used_g = set(), set()
-            for cost, k, g in sorted(costs):
-                if cost <= 2 and k not in used_t and g not in used_g:
-                    used_t.add(k)
-                    used_g.add(g)
-                    tracks[k] |= {"at": at, "box": groups[g][0][1]}
-                    tracks[k]["ids"] += [i for i, _ in groups[g]]
-            tracks += [{"at": at, "box": m[0][1], "ids": [i for i, _ in m]} for g, m in enumerate(groups) if g not in used_g]
-        visit = pdf["visit"].iloc[0]
-        return pd.DataFrame([(visit, k, i) for k, t in enumerate(tracks) for i in t["ids"]], columns=["visit", "track", "id"])
-
-    return rows.select("visit", "id", "at_s", "x1", "y1", "x2", "y2").groupBy("visit").applyInPandas(each, "visit long, track long, id long")
+            seen = merged(list(zip(now["id"], _boxes(now), strict=True)))
+            live = [k for k, (t, _) in enumerate(last) if at - t <= link_gap_s]
+            score = np.array([[likeness(last[k][1], b) for _, b in seen] for k in live]).reshape(len(live), len(seen))
+            home = {j: live[i] for i, j in best_pairs(score)}
+            for j, (ids, box) in enumerate(seen):
+                if j not in home:
+                    home[j] = len(last)
+                    last.append((at, box))
+                    apart.append(set())
+                last[home[j]] = (at, box)
+                rows += [(home[j], i) for i in ids]
+            for k in home.values():
+                apart[k] |= set(home.values()) - {k}
+        out = pd.DataFrame(rows, columns=["track", "id"])
+        return out.assign(visit=pdf["visit"].iloc[0], apart=[sorted(apart[k]) for k in out["track"]])[["visit", "track", "id", "apart"]]
+
+    return rows.select("visit", "id", "at_s", "x1", "y1", "x2", "y2").groupBy("visit").applyInPandas(each, "visit long, track long, id long, apart array<long>")
+
+
+def frozen_scenes(rows: DataFrame, *, most: float = 0.1, min_n: int = 5, min_span_s: float = 120.0, min_share: float = 0.5) -> DataFrame:
+    """(visit, scene, ids, n, span_s, dissimilarity, confidence): pictures of one visit that stay the same for a long time.
+
+    ``rows``: visit, id, at_s, thumb. In order of time a picture joins the first scene whose mean it matches by a
+    correlation of 1 - ``most``. A scene needs ``min_n`` pictures, and a span of ``min_span_s`` and of ``min_share`` of
+    the visit. Pictures without contrast are left out. Scenes are numbered by falling size, then by confidence.
+    """
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at_s", "id"]).reset_index(drop=True)
+        at = pdf["at_s"].to_numpy(float)
+        x = np.stack(pdf["thumb"].to_numpy()).astype(float)
+        x = x - x.mean(axis=1, keepdims=True)
+        size = np.linalg.norm(x, axis=1)
+        sums: list[np.ndarray] = []
+        scenes: list[list[int]] = []
+        for i in np.flatnonzero(size > 1e-6):
+            v = x[i] / size[i]
+            k = next((k for k, s in enumerate(sums) if s @ v >= (1 - most) * np.linalg.norm(s)), None)
+            if k is None:
+                sums.append(v)
+                scenes.append([i])
+            else:
+                sums[k] = sums[k] + v
+                scenes[k].append(i)
+        out = []
+        for members in scenes:
+            span = at[members[-1]] - at[members[0]]
+            if len(members) >= min_n and span >= min_span_s and span >= min_share * (at[-1] - at[0]):
+                unit = x[members] / size[members][:, None]
+                unlike = 1 - float(np.median((unit @ unit.T)[np.triu_indices(len(members), 1)]))
+                out.append((pdf["id"][members].tolist(), len(members), span, unlike, min(1.0, max(0.5, 1 - 0.5 * unlike / max(most, 1e-6)))))
+        out.sort(key=lambda s: (-s[1], -s[4]))
+        return pd.DataFrame([(pdf["visit"].iloc[0], k, *s) for k, s in enumerate(out)], columns=["visit", "scene", "ids", "n", "span_s", "dissimilarity", "confidence"])
+
+    schema = "visit long, scene long, ids array<long>, n long, span_s double, dissimilarity double, confidence double"
+    return rows.where("thumb is not null and at_s is not null").select("visit", "id", "at_s", "thumb").groupBy("visit").applyInPandas(each, schema)
 
 
 def frozen(vectors: DataFrame) -> DataFrame:

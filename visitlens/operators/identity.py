@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import is_group_label
 from visitlens.operators.profiles import top_per_group
-from visitlens.operators.vectors import best_two, prototypes, rank_against
+from visitlens.operators.vectors import best_two, dot, prototypes, rank_against
 
 NOVELTY = 0.31
 
@@ -66,6 +67,44 @@ def eliminate(sides: DataFrame) -> DataFrame:
     return rows.select("visit", "side", F.coalesce("recognised", only).alias("name"))
 
 
+def resolve_logged(groups: DataFrame, logged: DataFrame, template_rows: DataFrame, *, threshold: float = NOVELTY) -> DataFrame:
+    """(visit, cluster, label, name, choices): the names that a visit's log gives, dealt to its groups, each name once.
+
+    ``groups``: visit, cluster, n, label, embedding; ``logged``: visit, names; ``template_rows``: name, embedding. Only as
+    many groups as names take part, the largest ones. A label claims its name; then looks decide, best first, where they
+    reach ``threshold`` with the group's best logged name; one name and one group that are left go together. ``choices``
+    are the names that no other group has. Visits with under two names give no rows.
+    """
+    logs = logged.where(F.size(F.array_distinct("names")) >= 2).select("visit", F.array_distinct("names").alias("names"))
+    asked = groups.select("visit", "cluster", "embedding").join(logs, "visit").select("visit", "cluster", F.col("embedding").alias("v"), F.explode("names").alias("name"))
+    likeness = asked.join(template_rows.select("name", F.col("embedding").alias("w")), "name").groupBy("visit", "cluster", "name").agg(F.max(dot("v", "w")).alias("s"))
+    best = likeness.groupBy("visit", "cluster").agg(F.min(F.struct((-F.col("s")).alias("less"), "name")).alias("best"))
+    rows = groups.select("visit", "cluster", "n", "label").join(logs, "visit").join(best, ["visit", "cluster"], "left")
+    rows = rows.select("visit", "cluster", "n", "label", "names", (-F.col("best.less")).alias("similarity"), F.col("best.name").alias("looks"))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = list(pdf["names"].iloc[0])
+        pdf = pdf.sort_values(["n", "cluster"], ascending=[False, True]).reset_index(drop=True)
+        part = pdf.head(len(names))
+        owner: dict[str, int] = {}
+        for i, label in part["label"].items():
+            if label in names:
+                owner.setdefault(label, i)
+        sure = part[(part["similarity"] >= threshold) & ~part.index.isin(owner.values())]
+        for i, name in sure.sort_values("similarity", ascending=False, kind="stable")["looks"].items():
+            owner.setdefault(name, i)
+        left = [n for n in names if n not in owner]
+        free = [i for i in part.index if i not in owner.values()]
+        if len(left) == len(free) == 1:
+            owner[left[0]] = free[0]
+        dealt = {i: n for n, i in owner.items()}
+        name = [dealt.get(i) for i in pdf.index]
+        choices = [[n for n in names if owner.get(n, i) == i] for i in pdf.index]
+        return pdf.assign(name=name, choices=choices)[["visit", "cluster", "label", "name", "choices"]]
+
+    return rows.groupBy("visit").applyInPandas(each, "visit long, cluster long, label string, name string, choices array<string>")
+
+
 def co_present_visits(pairs: DataFrame, *, limit: float = 0.45, min_frames: int = 3) -> DataFrame:
     """Visits with at least ``min_frames`` frames of two boxes apart. ``pairs``: visit, frame, iou."""
     frames = pairs.where(F.col("iou") < limit).select("visit", "frame").distinct()

@@ -36,6 +36,16 @@ def flag_gaps(rows: DataFrame, gap_s: float, *, key: str = "source", ts: str = "
     return joined.withColumn("fresh", F.coalesce(longer, F.lit(True))).drop("before")
 
 
+def with_previous(rows: DataFrame, value: str, *, key: str = "source", ts: str = "ts", order: str = "id") -> DataFrame:
+    """``rows`` with ``before``: ``value`` in the key's row before. Days are ordered apart; a row a day carries its last value over."""
+    rows = rows.withColumn("__day", F.floor(micros(ts) / DAY_US))
+    last = rows.groupBy(key, "__day").agg(F.max_by(value, F.struct(ts, order)).alias("last"))
+    days = _carried(last, key, "__day").select(key, "__day", F.col("before").alias("__carried"))
+    inside = Window.partitionBy(key, "__day").orderBy(ts, order)
+    before = F.when(F.row_number().over(inside) == 1, F.col("__carried")).otherwise(F.lag(value).over(inside))
+    return rows.join(days, [key, "__day"]).withColumn("before", before).drop("__day", "__carried")
+
+
 def stamp_visits(rows: DataFrame, gap_s: float, *, key: str = "source", ts: str = "ts", order: str = "id", closed: bool = False) -> DataFrame:
     """``rows`` with ``started_at``, which with the key is a visit's lasting identity."""
     flagged = flag_gaps(rows, gap_s, key=key, ts=ts, order=order, closed=closed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from visitlens.functions.columns import micros, upper_median
 from visitlens.operators import digest
@@ -184,11 +185,20 @@ def w9_reel_bursts(t: Tables) -> DataFrame:
 
 
 @register()
-def w11_reel_plan(t: Tables) -> DataFrame:
-    """Candidates of each period scored by confidence, movement and name, then chosen greedily."""
+def w10_reel_selection(t: Tables) -> DataFrame:
+    """Moments of two to six seconds, some of them named, scored by confidence, movement and name, then chosen greedily."""
     rows = digest.reel_bursts(per(t))
     score = F.col("confidence") * (0.7 + 0.8 * F.col("k") / 100) * F.when(F.col("k") >= 50, 1.2).otherwise(1.0)
-    return digest.select_reel(rows.withColumn("score", score))
+    named = F.when(F.col("k") >= 90, F.array("individual"))
+    return digest.select_reel(rows.select("period", "id", "ts", "species", "burst", named.alias("individuals"), score.alias("score"), F.lit(1).alias("n"), (2.0 + F.col("k") % 5).alias("seconds")))
+
+
+@register()
+def w11_reel_plan(t: Tables) -> DataFrame:
+    """The chosen moments of each period with where they begin in the reel."""
+    chosen = w10_reel_selection(t).join(per(t).select("id", (2.0 + F.col("k") % 5).alias("seconds")), "id")
+    before = Window.partitionBy("period").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # 14 moments at most
+    return chosen.select("period", "place", "id", F.coalesce(F.sum("seconds").over(before), F.lit(0.0)).alias("begins_s"))
 
 
 @register("SELECT CAST(floor((epoch_us(v.started_at) / 3.6e9 - 6) / 12) AS BIGINT) AS period, s.species, count(*) AS visits, CAST(sum(v.n) AS BIGINT) AS crops FROM visits v JOIN visit_species s ON v.source = s.source AND v.started_at = s.started_at GROUP BY ALL", *VISITS, "votes", "visit_species")

@@ -195,7 +195,9 @@ def g4_associate(t: Tables) -> DataFrame:
 
 @register()
 def m2_gait(t: Tables) -> DataFrame:
-    return geometry.gait(points(t).withColumn("t", F.col("t") / 3600)).select("track", F.round("stride_hz", 4).alias("stride_hz"), F.round("strength", 4).alias("strength"))
+    """Whole sources as tracks, whose day is a second; steps of a few hours then lie in the band of strides."""
+    p = points(t).select(F.floor(F.col("track") / 100).alias("track"), (F.col("t") / 86400).alias("t"), "cx", "cy")
+    return geometry.gait(p).select("track", *(F.round(c, 4).alias(c) for c in ("stride_hz", "strength", "walk_s")))
 
 
 @register()

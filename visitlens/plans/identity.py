@@ -163,7 +163,29 @@ def g17_unblend_stills(t: Tables) -> DataFrame:
 @register()
 def g5_still_tracklets(t: Tables) -> DataFrame:
     b = t.boxes.select(F.floor(F.col("frame") / 20).alias("visit"), (F.col("frame") * 100 + F.col("seq") * 10 + F.floor(F.col("score") * 9)).alias("id"), F.col("frame").cast("double").alias("at_s"), "x1", "y1", "x2", "y2")
-    return geometry.still_tracklets(b)
+    return geometry.still_tracklets(b).withColumn("apart", F.concat_ws(",", "apart"))
+
+
+@register()
+def g11_frozen_scenes(t: Tables) -> DataFrame:
+    """Scenes of each night at a source, where a crop comes each minute and a vector stands for its thumbnail."""
+    visit = F.datediff("night", F.lit("2024-01-01").cast("date")) * 10 + F.col("source")
+    rows = t.crops.select(visit.cast("long").alias("visit"), F.col("vec_id").alias("id"), (F.col("vec_id") * 60.0).alias("at_s"), F.col("embedding").alias("thumb"))
+    return geometry.frozen_scenes(rows, most=0.95, min_n=3)
+
+
+@register()
+def g19_elimination_of_many(t: Tables) -> DataFrame:
+    """Groups of likeness of a night at a source, whose log gives the names of three of its crops."""
+    visit = (F.datediff("night", F.lit("2024-01-01").cast("date")) * 10 + F.col("source")).cast("long")
+    rows = t.crops.select(visit.alias("visit"), F.col("vec_id").alias("id"), "name", "embedding")
+    parts = geometry.linkage(rows, ["visit"], cut=0.95).join(rows, ["visit", "id"])
+    sizes = parts.groupBy("visit", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("name").cast("string").alias("first"))
+    label = F.when(F.col("cluster") == 0, F.col("first"))
+    groups = vectors.centroids(parts, ["visit", "cluster"]).join(sizes.select("visit", "cluster", "n", label.alias("label")), ["visit", "cluster"])
+    logged = rows.groupBy("visit").agg(F.slice(F.array_sort(F.collect_set(F.col("name").cast("string"))), 1, 3).alias("names"))
+    made = vectors.centroids(t.crops, ["name"]).withColumn("name", F.col("name").cast("string"))
+    return identity.resolve_logged(groups, logged, made, threshold=0.2)
 
 
 @register()

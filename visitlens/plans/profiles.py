@@ -191,7 +191,8 @@ def a16_sun_anchor(t: Tables) -> DataFrame:
     kind = x.groupBy("species").agg((2 * F.count_if(dark) > F.count(F.lit(1))).alias("nocturnal"))
     shift = F.when(~F.col("nocturnal"), 6).when(F.hour("moment") < 6, -6).otherwise(18)
     minutes = (micros("moment") - micros(F.date_trunc("day", "moment").cast("timestamp_ntz")) - shift * 3_600_000_000) / 6e7
-    return x.join(kind, "species").groupBy("species", "nocturnal").agg(F.count(F.lit(1)).alias("n"), upper_median(minutes).alias("minutes"))
+    x = x.join(kind, "species").withColumn("minutes", minutes)
+    return x.groupBy("species", "nocturnal").agg(F.count(F.lit(1)).alias("n"), upper_median("minutes").alias("minutes"))
 
 
 @register(

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
-from visitlens.operators import intervals, ledger, profiles
+from visitlens.operators import intervals, ledger, profiles, sessions
 from visitlens.plans.registry import CLIPS, DET, STAMPED, VISITS, register
 from visitlens.sources.fixtures import Tables
 
@@ -224,9 +223,8 @@ def l33_scan_backfill(t: Tables) -> DataFrame:
 
 @register("SELECT source, ts AS moment, CASE WHEN species = 'error' THEN 'down' ELSE 'up' END AS event, lag(species) OVER (PARTITION BY source ORDER BY ts) IS DISTINCT FROM species AS changed FROM detections WHERE species IN ('error', 'signup')", *DET)
 def l24_coverage_transitions(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("ts")
-    rows = t.detections.where("species in ('error', 'signup')")
-    changed = ~F.lag("species").over(w).eqNullSafe(F.col("species"))
+    rows = sessions.with_previous(t.detections.where("species in ('error', 'signup')"), "species")
+    changed = ~F.col("before").eqNullSafe(F.col("species"))
     return rows.select("source", F.col("ts").alias("moment"), F.when(F.col("species") == "error", "down").otherwise("up").alias("event"), changed.alias("changed"))
 
 

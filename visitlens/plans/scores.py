@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
 from visitlens.operators import evaluation, geometry, intervals, sessions, vectors
+from visitlens.operators.profiles import top_per_group
 from visitlens.plans.evaluation import GRADED, LOO, MARGINS, PAIRS, THRESHOLDS, UNITS, graded, pairs, units
 from visitlens.plans.intervals import visit_clips
 from visitlens.plans.profiles import named_visits
@@ -79,7 +80,7 @@ def f25_lapse(t: Tables) -> DataFrame:
 def f27_postures(t: Tables) -> DataFrame:
     """Share of upright boxes and changes of posture, in time order."""
     up = (F.col("k") >= 50).cast("int")
-    rows = t.detections.select("source", up.alias("up"), F.lag(up).over(Window.partitionBy("source").orderBy("ts", "id")).alias("before"))
+    rows = sessions.with_previous(t.detections.select("source", "ts", "id", up.alias("up")), "up")
     return rows.groupBy("source").agg(F.round(F.avg("up"), 6).alias("share"), F.count_if(F.col("up") != F.col("before")).alias("switches"))
 
 
@@ -261,10 +262,11 @@ def e27_headline(t: Tables) -> DataFrame:
 
 @register()
 def g14_pose_groups(t: Tables) -> DataFrame:
-    """Groups of alike crops of each name and night, of three or more."""
-    rows = t.crops.select("name", F.col("night").cast("string").alias("night"), F.col("vec_id").alias("id"), "embedding")
-    found = geometry.linkage(rows, ["name", "night"], cut=0.9)
-    return found.groupBy("name", "night", "cluster").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    """Groups of three or more alike crops among the 400 best of each name, the largest first."""
+    best = top_per_group(t.crops.select("name", "vec_id", "quality"), "name", 400, F.desc("quality"), F.col("vec_id")).select("vec_id")
+    rows = t.crops.join(best, "vec_id", "left_semi").select("name", F.col("vec_id").alias("id"), "embedding")
+    found = geometry.linkage(rows, ["name"], cut=0.9)
+    return found.groupBy("name", "cluster").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
 @register()

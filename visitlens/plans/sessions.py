@@ -28,12 +28,15 @@ def a2_visit_members(t: Tables) -> DataFrame:
     *VISITS, "votes", "visit_species",
 )
 def a3_rebuild_visits(t: Tables) -> DataFrame:
-    """Numbers follow (source, started_at): each source's count of visits is added up first, so no task orders them all."""
+    """Numbers follow (source, started_at): the counts of each source's days, and of sources, are added up first, so no task orders all visits."""
     named = t.visits.join(sessions.winners(sessions.votes(t.stamped)).drop("margin"), ["source", "started_at"])
     before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
     offsets = t.visits.groupBy("source").agg(F.count(F.lit(1)).alias("visits")).withColumn("offset", F.coalesce(F.sum("visits").over(before), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("started_at"))
-    return named.withColumn("rank", rank).join(offsets, "source").select(
+    earlier = Window.partitionBy("source").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = named.groupBy("source", F.to_date("started_at").alias("day")).agg(F.count(F.lit(1)).alias("visits")).select("source", "day", F.coalesce(F.sum("visits").over(earlier), F.lit(0)).alias("held"))
+    rank = F.row_number().over(Window.partitionBy("source", "day").orderBy("started_at"))
+    ranked = named.withColumn("day", F.to_date("started_at")).withColumn("rank", rank).join(days, ["source", "day"])
+    return ranked.join(offsets, "source").withColumn("rank", F.col("rank") + F.col("held")).select(
         "source", "started_at", "ended_at", "n", "max_confidence", "rep_id", "species", (F.col("rank") + F.col("offset")).alias("visit_id")
     )
 
