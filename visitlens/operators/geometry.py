@@ -164,6 +164,8 @@ def associate(points: DataFrame, *, base: float = 0.05, rate: float = 0.25, gap_
     """
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_hits:
+            return pdf.head(0).assign(track=0)[["clip", "track", "id"]]
         pdf = pdf.sort_values(["t", "id"])
         t, places = pdf["t"].to_numpy(float), pdf[["cx", "cy"]].to_numpy(float)
         owner, tail, live = np.full(len(t), -1), [], []  # the track of each row, the last row of each track, open tracks
