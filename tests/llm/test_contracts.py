@@ -102,5 +102,5 @@ def test_leaks(spark, docs):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
     assert urlgraph.Rule(True, "com").name == "com/"

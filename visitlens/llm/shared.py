@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +65,20 @@ def discard(*tables: DataFrame) -> None:
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int = 2000, size: str = "8m"):
+    """Within the block, Python gets batches of at most so many rows and bytes; afterwards the session is as it was.
+
+    What runs after the block has the session's own batches, so write the result inside.
+    """
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
