@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import string
+import time
 
 import numpy as np
 
@@ -89,3 +90,25 @@ def test_runs_of_one_letter_take_bounded_memory():
         by = [{x[:2] for x in decontam.find_leaks(folded, index, k, most)} for most in (1 << 26, 1 << 16, 300)]
         assert by[0] == by[1] == by[2]
     assert found(items[0][1], texts[0], most_pairs=1 << 12)
+
+
+def test_characters_beyond_the_first_plane(spark):
+    """Signs part words and don't count, whatever their code point; letters there are lower-cased."""
+    table = decontam._fold_table()
+    text = lambda t: decontam.fold(t, table).astype("<u4").tobytes().decode("utf-32-le")
+    assert text("the fox\U0001f98aran") == "the fox ran" == text("\U0001f98a The  FOX - ran!")
+    assert text("\U00010400x") == "\U00010428x"
+    item = "a passage of words that is long enough to leak when one of its spaces has become something else entirely in between two of them"
+    held = decontam.Benchmark([(1, item)], q=12, error=0.06, least_chars=60, share=0.6)
+    assert [len(x) for x in held.leaks([item.replace(" words ", "\U0001f98awords\U0001f98a"), item.upper().replace(" ", " \U0001f98a ")])] == [1, 1]
+
+
+def test_long_items(spark):
+    """An item of 8,000 characters with five edits in a hundred is found in seconds."""
+    draw = random.Random(5)
+    item = "".join(draw.choice("abcdefghijklmnop ") for _ in range(8000))
+    text = "".join(draw.choice("qrstuv") if c != " " and draw.random() < 0.05 else c for c in item)
+    held = decontam.Benchmark([(1, item)], q=12, error=0.06, least_chars=60, share=0.6)
+    began = time.process_time()
+    assert len(held.leaks(["x y z " * 50 + text + " w" * 50])[0]) == 1
+    assert time.process_time() - began < 20

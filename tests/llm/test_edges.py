@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import random
 import re
+import time
 import string
 import time
 
@@ -413,3 +414,17 @@ def test_trust_reaches_the_end_of_a_chain(spark):
     assert sum(r.distrust for r in found) == pytest.approx(1.0) and sum(r.rank for r in found) == pytest.approx(1.0)
     with pytest.raises(RuntimeError):
         urlgraph.propagate(hosts, links, damping=0.85, rounds=12, tolerance=1e-6)
+
+
+def test_secrets_of_a_text_with_very_many_spans():
+    """50,000 digests and as many runs between them: spans are merged in order, not compared with each other."""
+    text = " ".join(f"{i:024x} zq-{i:07d}Zq" for i in range(50_000))
+    base = secretscan.base_spans(text)
+    assert len(base) == 50_000
+    signs = "dhlU+/_.=-"
+    any_format = secretscan.Formats({"hex": secretscan.infer(["ll-dddddddUl"] * 30)}, {a + b: -3.0 for a in "^" + signs for b in signs + "$"}, 1.0)
+    any_format.automata["hex"].least = -5.0
+    began = time.process_time()
+    found = secretscan.added_spans(text, base, any_format)
+    assert time.process_time() - began < 30
+    assert [text[s:e][:3] for s, e, _ in found[:2]] == ["zq-", "zq-"] and len(found) == 50_000

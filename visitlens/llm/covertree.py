@@ -181,7 +181,7 @@ def top_k(
     Rows with a null id or vector, or with a null or non-finite component, take no part; shorter vectors end with zeros, an
     empty one is zero. Rows that repeat id and vector count once; an id with several vectors is found by each of them, and
     asks with the greatest. Other columns are not read. Scores beyond 64 bits raise an error. The tree over cells is fitted
-    on ``sample_rows`` rows (those with the least hashes of their ids), all rows are indexed; the driver and each task hold
+    on ``sample_rows`` rows that a hash of the id draws, all rows are indexed; the driver and each task hold
     at most ``most_cells`` centres.
     """
     spark = df.sparkSession
@@ -189,7 +189,7 @@ def top_k(
     asked = V.integer_vectors(df.where(queries), id_col, vector_col).groupBy("id").agg(F.max("vec").alias("vec")).withColumn("label", F.lit(None).cast("long"))
     with batches(spark, rows=4096, size="16m"):
         n = data.count()
-        centres = cells(V.sample(data, sample_rows), max(1, min(most_cells, n // rows_per_cell)))
+        centres = cells(V.sample(data, sample_rows, n), max(1, min(most_cells, n // rows_per_cell)))
         tables = [V.dealt(data, centres, "cover-data"), V.dealt(asked, centres, "cover-queries")]
 
         def index(ids: np.ndarray, labels: np.ndarray, m: np.ndarray, cell: int) -> dict[str, object]:

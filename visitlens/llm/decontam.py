@@ -30,15 +30,14 @@ FINE, NOWHERE = 5, 0xFFFFFFFF
 
 @cache
 def _fold_table() -> np.ndarray:
-    """For each of the first 65,536 code points its lower-case letter or digit; 0 for what separates words."""
-    low = (chr(i).lower()[0] if chr(i).isalnum() else "\0" for i in range(0x10000))
-    return np.fromiter((min(ord(c), 0xFFFF) for c in low), np.uint32, 0x10000)
+    """For each code point its lower-case letter or digit; 0 for what separates words."""
+    return np.fromiter((ord(c.lower()[0]) if c.isalnum() else 0 for c in map(chr, range(0x110000))), np.uint32, 0x110000)
 
 
 def fold(text: str, table: np.ndarray) -> np.ndarray:
     """Code points of the folded text: words of letters and digits, with one space between them."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    c = np.where(raw < 0x10000, table[np.minimum(raw, 0xFFFF)], raw)
+    c = table[raw]
     words = c != 0
     ahead = np.concatenate([words[1:], [False]])
     keep = words | (ahead & (np.cumsum(words) > 0))
@@ -275,7 +274,7 @@ def leaked_part(
 
     Diagonals ``low`` to ``high`` are searched; ``hits`` are a gram length and the offsets in the item of the grams that
     stand there. Starts from which no part meets the q-gram bound, by these and by grams of ``FINE`` characters, are
-    left out; all others are aligned at once, each with a free start in the text.
+    left out; the others are aligned, up to 256 at once, each with a free start in the text.
     """
     n, width = len(item), high - low + 1
     allowed = np.asarray(_allowed(n, edits, np.arange(n + 1)))
@@ -289,9 +288,19 @@ def leaked_part(
         window[a - low : max(a, b) - low] = text[a : max(a, b)]
         same = np.lib.stride_tricks.sliding_window_view(gram_hashes(window, FINE), width) == own[:, None]
         begin = np.intersect1d(begin, _starts(n, need, FINE, np.flatnonzero(same.any(axis=1)), allowed))
-    if not len(begin):
-        return None
-    far = edits + 1
+    # Most leaks show from one of their first starts; aligning all at once would cost each of them a row.
+    done, size = 0, 1
+    while done < len(begin):
+        found = _aligned(item, text, need, edits, low, width, begin[done : done + size], allowed)
+        if found:
+            return found
+        done, size = done + size, min(256, size * 4)
+    return None
+
+
+def _aligned(item: np.ndarray, text: np.ndarray, need: int, edits: int, low: int, width: int, begin: np.ndarray, allowed: np.ndarray) -> tuple[int, int, int] | None:
+    """``leaked_part`` for parts that begin at ``begin``, over ``width`` diagonals from ``low`` on."""
+    n, far = len(item), edits + 1
     steps = np.arange(width, dtype=np.int32)
     rows = np.full((len(begin), width), far, np.int32)
     padded = np.full(n + width + 1, -1, np.int64)  # the text from position ``low`` on

@@ -167,7 +167,7 @@ def hard_negatives(
     asked = named(labelled.where(anchors)).groupBy("id").agg(F.max(F.struct("label", "vec")).alias("x")).select("id", "x.label", "x.vec")
     with batches(spark, rows=4096, size="16m"):
         n = data.count()
-        drawn = V.sample(data, sample_rows)
+        drawn = V.sample(data, sample_rows, n)
         centres = drawn[split_points(drawn.astype(float), max(1, min(most_cells, n // rows_per_cell)))] if len(drawn) else np.zeros((1, 0), np.int64)
         tables = [V.dealt(data, centres, "negative-data"), V.dealt(asked, centres, "negative-anchors")]
 

@@ -23,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batches, discard, write_table
+from .shared import batches, discard, drawn, write_table
 
 #: Bytes to the lower case of A-Z and, where they part terms, to a space; all bytes beyond ASCII belong to terms.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b > 127 else 32 for b in range(128)) + bytes(range(128, 256))
@@ -248,10 +248,10 @@ def _ranked_block(docs: DataFrame, items: Items, k: int, sample_rows: int, n_cen
         floors[r["item"]] = r["score"]
     essential = [essential_terms(own, greatest, int(f)) for own, f in zip(items.terms, floors, strict=True)]
 
-    drawn = forward.where(F.size("terms") > 0).orderBy(F.xxhash64("rid")).limit(sample_rows).select("n", "terms", "tfs").collect()
-    sizes, flat = [len(r["terms"]) for r in drawn], [np.concatenate([np.array(r[c], np.int64) for r in drawn]) if drawn else np.zeros(0, np.int64) for c in ("terms", "tfs")]
-    own = np.repeat(np.arange(len(drawn)), sizes)
-    centres = fit_centres(directions(len(drawn), own, flat[0], impacts(shared.value, np.array([r["n"] for r in drawn], np.int64)[own], flat[1], flat[0])), n_centres)
+    few = drawn(forward.where(F.size("terms") > 0), F.xxhash64("rid"), sample_rows, n_docs).orderBy(F.xxhash64("rid")).limit(sample_rows).select("n", "terms", "tfs").collect()
+    sizes, flat = [len(r["terms"]) for r in few], [np.concatenate([np.array(r[c], np.int64) for r in few]) if few else np.zeros(0, np.int64) for c in ("terms", "tfs")]
+    own = np.repeat(np.arange(len(few)), sizes)
+    centres = fit_centres(directions(len(few), own, flat[0], impacts(shared.value, np.array([r["n"] for r in few], np.int64)[own], flat[1], flat[0])), n_centres)
     placed = forward.where(F.size("terms") > 0).mapInArrow(_place(shared, centres), "doc_id long, n long, terms array<int>, tfs array<int>, rid long, cell int, signs int")
     tasks = max(1, min(int(frequency.sum()) // 500_000, 100_000))
     order = ["cell", "signs", "rid"]

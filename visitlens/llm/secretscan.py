@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,8 +195,8 @@ def fit_automata(docs: DataFrame, *, fit_rows: int = 1500, fit_chars: int = 200_
             for text in (t.as_py() or "" for t in batch["text"]):
                 base = base_spans(text)
                 rows.update((k, c) for *_, k, c in base if len(c) <= fit_chars)
-                ends = [0, *(e for _, e, *_ in base)]
-                apart = " ".join(text[max(ends[: i + 1]) : s] for i, s in enumerate([*(s for s, *_ in base), len(text)])) if base else text
+                ends = accumulate((e for _, e, *_ in base), max, initial=0)  # base spans come by start; some overlap
+                apart = " ".join(text[e:s] for e, s in zip(ends, [*(s for s, *_ in base), len(text)], strict=True)) if base else text
                 seen.update(runs(apart))
             for run, n in seen.items():
                 text = run.decode("ascii")
@@ -232,7 +234,8 @@ def added_spans(text: str, base: list[tuple[int, int, str, str]], formats: Forma
     if not formats.automata or not any(formats.hits(r.decode("ascii")) for r in runs(text)):
         return []
     found = [(m.start() + s, m.start() + e, k) for m in TEXT_RUN.finditer(text) for s, e, k in formats.hits(symbols(m[0]))]
-    return [(s, e, k) for s, e, k in found if not any(a < e and s < b for a, b, *_ in base)]
+    starts, ends = [a for a, *_ in base], list(accumulate((b for _, b, *_ in base), max, initial=0))
+    return [(s, e, k) for s, e, k in found if ends[bisect_left(starts, e)] <= s]
 
 
 def scan_secrets(docs: DataFrame, formats: Formats, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

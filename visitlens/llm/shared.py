@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table of keys is broadcast up to so many rows (some tens of MB); beyond, it is joined by a shuffle.
@@ -59,6 +59,13 @@ def bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def drawn(rows: DataFrame, key: Column, most: int, n_rows: int) -> DataFrame:
+    """About ``4 * most`` of ``n_rows`` rows by the hash ``key``, so that no task sends a sample of its own to the driver."""
+    if n_rows <= 4 * most:
+        return rows
+    return rows.where(F.pmod(F.shiftright(key, 20), F.lit(1 << 40)) < int(4 * most / n_rows * (1 << 40)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing needs any more."""
     for table in tables:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import drawn, write_table
 
 #: Below every score that a pair can have.
 NEVER = -(1 << 63)
@@ -84,9 +84,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` vectors, those with the least hashes of their ids."""
-    found = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(most).collect()
+def sample(rows: DataFrame, most: int, n_rows: int) -> np.ndarray:
+    """At most ``most`` vectors of about four times as many that a hash of the id draws; all of so few rows."""
+    found = drawn(rows.select("id", "vec"), F.xxhash64("id"), most, n_rows).orderBy(F.xxhash64("id"), "id", "vec").limit(most).collect()
     return padded([r["vec"] for r in found])
 
 
