@@ -206,7 +206,7 @@ def test_linkage_cannot_link():
     x = np.array([[1.0, 0], [0.99, 0.14], [0, 1.0]])
     x = x / np.linalg.norm(x, axis=1)[:, None]
     assert geometry.cluster_cosine(x, 0.3) == [0, 0, 1]
-    assert geometry.cluster_cosine(x, 0.3, [7, 7, 8]) == [0, 1, 2]
+    assert geometry.cluster_cosine(x, 0.3, np.array([[True, True, False], [True, True, False], [False, False, True]])) == [0, 1, 2]
 
 
 def test_replay_is_causal(spark):

@@ -74,51 +74,58 @@ def reel_bursts(clips: DataFrame, gap_s: float = 480) -> DataFrame:
     return flagged.withColumn("burst", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("fresh")
 
 
+def reel_offers(candidates: DataFrame, *, long_s: float) -> DataFrame:
+    """(period, place, members): what a reel is offered, in order; of ``members`` (at_s, seconds, id; best first) one may be taken.
+
+    The best moment of each species, of those with the fewest detections first; of each named individual; of each burst, the
+    best first; then each burst of several moments, long ones first, then those with most moments; then long ones of three or more once more.
+    """
+    moment = F.struct((-F.col("score")).alias("worse"), "ts", "id", (micros("ts") / 1e6).alias("at_s"), "seconds")
+    rows = candidates.select("period", "species", "burst", "individuals", "n", moment.alias("m"))
+    zero = F.lit(0.0)
+
+    def offers(tier: int, grouped: DataFrame, *order: Column, members: Column | None = None) -> DataFrame:
+        keys = [c.cast("double").alias(f"o{i}") for i, c in enumerate((*order, zero, zero)[:2])]
+        return grouped.select("period", F.lit(tier).alias("tier"), *keys, F.col("best"), F.coalesce(F.col("name").cast("string"), F.lit("")).alias("name"), (members if members is not None else F.array("best")).alias("members"))
+
+    species = rows.groupBy("period", F.col("species").alias("name")).agg(F.min("m").alias("best"), F.sum("n").alias("seen"))
+    named = rows.select("period", F.explode("individuals").alias("name"), "m").groupBy("period", "name").agg(F.min("m").alias("best"))
+    bursts = rows.groupBy("period", "burst").agg(F.min("m").alias("best"), F.array_sort(F.collect_list("m")).alias("all")).withColumn("name", F.lit(""))
+    lasting = F.abs(F.col("best.at_s") - F.element_at("all", -1)["at_s"]) >= long_s
+    again = [(~lasting).cast("int"), -F.size("all")]
+    made = [
+        offers(1, species, F.col("seen")), offers(2, named), offers(3, bursts),
+        offers(4, bursts.where(F.size("all") >= 2), *again, members=F.col("all")), offers(5, bursts.where((F.size("all") >= 3) & lasting), *again, members=F.col("all")),
+    ]
+    union = made[0]
+    for m in made[1:]:
+        union = union.unionByName(m)
+    # Species and names go by name within their number; bursts by their best moment.
+    text = F.when(F.col("tier") <= 2, F.col("name")).otherwise("")
+    place = F.row_number().over(Window.partitionBy("period").orderBy("tier", "o0", "o1", text, "best"))
+    return union.select("period", place.alias("place"), F.transform("members", lambda m: F.struct(m["at_s"], m["seconds"], m["id"])).alias("members"))
+
+
 def select_reel(candidates: DataFrame, *, most: int = 14, budget_s: float = 75.0, apart_s: float = 180.0, long_s: float = 1500.0) -> DataFrame:
     """(period, place, id): the moments of a reel in order of time, taken while fewer than ``most`` and ``budget_s`` are used.
 
-    ``candidates``: period, id, ts, species, individuals, burst, score, n (detections), seconds. First the best moment of
-    each species, rarest first, then of each named individual, then the best of each burst by score. Bursts of several
-    moments then give a second one, long bursts first, and long ones of three or more a third; such a moment is
-    ``apart_s`` from those taken of its burst if there is one. A burst is long if its best and its weakest moment lie
-    ``long_s`` apart. The choice depends on what was chosen before, so a period, which holds a few hundred clips, is one group.
+    ``candidates``: period, id, ts, species, individuals, burst, score, n (detections), seconds. Offers are gone through in the order
+    of ``reel_offers``; of an offer the best moment that is not taken yet, and ``apart_s`` from all that are taken of it if there is such a one.
+    A burst is long if its best and its weakest moment lie ``long_s`` apart. A period holds a few hundred clips.
     """
-    import numpy as np
     import pandas as pd
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "ts", "id"], ascending=[False, True, True]).reset_index(drop=True)  # the best of any rows is the first
-        at = (pdf["ts"] - pdf["ts"].min()).dt.total_seconds().to_numpy()
-        seconds, chosen = pdf["seconds"].to_numpy(float), []
-
-        def take(rows) -> None:
-            if len(rows) and rows[0] not in chosen and len(chosen) < most and seconds[chosen].sum() < budget_s:
-                chosen.append(int(rows[0]))
-
-        def next_of(members: np.ndarray) -> np.ndarray:
-            taken = [i for i in members if i in chosen]
-            rest = np.array([i for i in members if i not in chosen], int)
-            far = np.array([all(abs(at[i] - at[j]) >= apart_s for j in taken) for i in rest], bool)
-            return rest[far] if far.any() else rest
-
-        by_species = {s: g.index.to_numpy() for s, g in pdf.groupby("species")}
-        for s in sorted(by_species, key=lambda s: (pdf["n"].to_numpy()[by_species[s]].sum(), s)):
-            take(by_species[s])
-        names = [set() if x is None else set(x) for x in pdf["individuals"]]
-        for name in sorted(set().union(*names)):
-            take([i for i, held in enumerate(names) if name in held])
-        bursts = sorted((g.index.to_numpy() for _, g in pdf.groupby("burst")), key=lambda m: m[0])
-        for members in bursts:
-            take(members)
-        is_long = {int(m[0]): abs(at[m[0]] - at[m[-1]]) >= long_s for m in bursts}
-        several = sorted((m for m in bursts if len(m) >= 2), key=lambda m: (not is_long[int(m[0])], -len(m), m[0]))
-        for members in several:
-            take(next_of(members))
-        for members in several:
-            if len(members) >= 3 and is_long[int(members[0])]:
-                take(next_of(members))
-        ids = pdf.loc[chosen].sort_values(["ts", "id"])["id"]
-        return pd.DataFrame({"period": pdf["period"].iloc[0], "place": range(1, len(ids) + 1), "id": list(ids)})
-
-    wanted = ["period", "id", "ts", "species", "individuals", "burst", "score", "n", "seconds"]
-    return candidates.select(wanted).groupBy("period").applyInPandas(each, "period long, place long, id long")
+        taken: dict[int, tuple[float, float]] = {}
+        for members in pdf.sort_values("place")["members"]:
+            if len(taken) >= most or sum(seconds for _, seconds in taken.values()) >= budget_s:
+                break
+            free = [m for m in members if m["id"] not in taken]
+            near = [taken[m["id"]][0] for m in members if m["id"] in taken]
+            pick = next((m for m in free if all(abs(m["at_s"] - t) >= apart_s for t in near)), free[0] if free else None)
+            if pick is not None:
+                taken[pick["id"]] = (pick["at_s"], pick["seconds"])
+        ids = sorted(taken, key=lambda i: (taken[i][0], i))
+        return pd.DataFrame({"period": pdf["period"].iloc[0], "place": range(1, len(ids) + 1), "id": ids})
+
+    return reel_offers(candidates, long_s=long_s).groupBy("period").applyInPandas(each, "period long, place long, id long")

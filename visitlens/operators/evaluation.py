@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitlens.operators.blocks import over_pairs, packed
+
 #: Bin edges as a linear spacing makes them; three of them lie just above the decimal they stand for.
 EDGES = [i * 0.1 for i in range(11)]
 
@@ -93,12 +96,57 @@ def leave_one_out(pairs: DataFrame) -> DataFrame:
     Pairs of a probe with itself are left out by the caller; a template of the same name and night doesn't count.
     """
     fair = pairs.where(~((F.col("truth") == F.col("name")) & (F.col("night") == F.col("name_night"))))
-    best = fair.groupBy("probe", "truth", "name").agg(F.max("similarity").alias("similarity"))
+    return answers(fair.groupBy("probe", "truth", "name").agg(F.max("similarity").alias("similarity")))
+
+
+def answers(best: DataFrame) -> DataFrame:
+    """Top name of each probe, its similarity and its lead over the next, from (probe, truth, name, similarity)."""
     top = best.groupBy("probe", "truth").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("less"), "name"))), 1, 2).alias("t"))
     second = F.when(F.size("t") > 1, -F.col("t")[1]["less"]).otherwise(0.0)
     return top.select("probe", "truth", F.col("t")[0]["name"].alias("answer"), (-F.col("t")[0]["less"]).alias("similarity"), (-F.col("t")[0]["less"] - second).alias("lead"))
 
 
+#: Every other template; those but of the same name and night; with a number, also those at least so many days away.
+FREE, BLOCKED = "free", "blocked"
+
+
+def name_scores(units: DataFrame, *, embargoes: tuple[int, ...] = (), size: int = 256) -> DataFrame:
+    """(probe, truth, rule, name, similarity): the best template of each name for each probe, under all rules at once.
+
+    ``units``: probe, truth (a number below 2^31), day (since 1970), v: each is a probe and a template of its name. Rules are
+    ``FREE``, ``BLOCKED`` and each of ``embargoes`` as text (blocked, and more than so many days apart). All products are made once, in
+    blocks, and only the best of each name leaves a block.
+    """
+    rows = units.select(F.lit(0).alias("key"), F.col("probe").alias("id"), (F.shiftleft(F.col("truth").cast("long"), 32) + F.col("day")).alias("tag"), F.col("v").alias("embedding"))
+
+    def best(probes: dict, templates: dict, s: np.ndarray) -> list[pd.DataFrame]:
+        by = np.argsort(templates["tags"], kind="stable")
+        name, day, s = templates["tags"][by] >> 32, templates["tags"][by] & 0xFFFFFFFF, s[:, by]
+        starts = np.flatnonzero(np.r_[True, np.diff(name) != 0])
+        truth, own = probes["tags"] >> 32, probes["tags"] & 0xFFFFFFFF
+        other = probes["ids"][:, None] != templates["ids"][by][None]
+        apart = np.abs(own[:, None] - day[None])
+        fair = other & ~((truth[:, None] == name[None]) & (apart == 0))
+        out = []
+        for rule, mask in ((FREE, other), (BLOCKED, fair), *((str(d), fair & (apart > d)) for d in embargoes)):
+            top = np.maximum.reduceat(np.where(mask, s, -np.inf), starts, axis=1)
+            i, j = np.nonzero(top > -np.inf)
+            out.append(pd.DataFrame({"probe": probes["ids"][i], "truth": truth[i], "rule": rule, "name": name[starts[j]], "similarity": top[i, j]}))
+        return out
+
+    def each(x: dict, y: dict, s: np.ndarray) -> pd.DataFrame:
+        return pd.concat(best(x, y, s) + ([] if x["block"] == y["block"] else best(y, x, s.T)))
+
+    found = over_pairs(packed(rows, size=size), each, "probe long, truth long, rule string, name long, similarity double")
+    return found.groupBy("probe", "truth", "rule", "name").agg(F.max("similarity").alias("similarity"))
+
+
+def right_ones(scores: DataFrame) -> DataFrame:
+    """(rule, probes, right_ones): how many probes have an answer under each rule, and the right one."""
+    top = scores.groupBy("rule", "probe", "truth").agg(F.min_by("name", F.struct((-F.col("similarity")).alias("less"), "name")).alias("answer"))
+    return top.groupBy("rule").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("answer") == F.col("truth")).alias("right_ones"))
+
+
 def sweep(probes: DataFrame, thresholds: list[float], margins: list[float]) -> DataFrame:
     """Assigned and wrong probes at each threshold and margin.
 
@@ -128,8 +176,6 @@ def forward_replay(units: DataFrame, *, threshold: float, margin: float, horizon
     earlier decisions of its source, so a source is one group; its templates are one running mean vector per name and
     depth, so memory grows with its names only.
     """
-    import numpy as np
-
     def replay(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list] = {}
         for pdf in rows:
@@ -156,8 +202,6 @@ def fold_table(n: int, k: int, repeats: int, seed: int) -> list[tuple[int, int,
 
     ``n`` is the number of labelled probes, which people make, so the table is small; join it to numbered probes.
     """
-    import numpy as np
-
     draw = np.random.RandomState(seed)
     return [(r, f, int(i)) for r in range(repeats) for f, part in enumerate(np.array_split(draw.permutation(n), k)) for i in part]
 

@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import iou
+from visitlens.operators.blocks import similar_pairs
+from visitlens.operators.graph import components
 from visitlens.operators.motion import MOVING
+from visitlens.sources.scratch import kept
 
 Box = tuple[float, float, float, float]
 
@@ -244,7 +247,8 @@ def gait(points: DataFrame, *, low_hz: float = 0.8, high_hz: float = 3.2, min_s:
 def linkage(rows: DataFrame, keys: list[str], *, cut: float, apart: str | None = None) -> DataFrame:
     """(keys, id, cluster): average linkage of each group's unit vectors, cut at a cosine distance.
 
-    Members with the same value of ``apart`` (seen in one frame) never join. Groups are visits or clips.
+    Members with the same value of ``apart`` (seen in one frame) never join. Groups are visits or clips; groups of any size
+    are clustered by ``cluster_alike``.
     """
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", id long, cluster long"
     wanted = [*keys, "id", "embedding", *([apart] if apart else [])]
@@ -252,38 +256,65 @@ def linkage(rows: DataFrame, keys: list[str], *, cut: float, apart: str | None =
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        pdf["cluster"] = cluster_cosine(x, cut, list(pdf[apart]) if apart else None)
+        seen = pd.factorize(pdf[apart])[0] if apart else None
+        pdf["cluster"] = cluster_cosine(x, cut, None if seen is None else seen[:, None] == seen[None, :])
         return pdf[[*keys, "id", "cluster"]]
 
     return rows.select(wanted).groupBy(*keys).applyInPandas(each, schema)
 
 
-def cluster_cosine(x: np.ndarray, cut: float, frames: list | None = None) -> list[int]:
-    """Average linkage by cosine distance below ``cut``, numbered by first member."""
-    groups = [[i] for i in range(len(x))]
+def cluster_cosine(x: np.ndarray, cut: float, apart: np.ndarray | None = None) -> list[int]:
+    """Average linkage by cosine distance below ``cut``, numbered by first member; pairs for which ``apart`` holds never join.
+
+    Each cluster remembers its nearest other one; after a merger only those that had one of the two look again.
+    """
+    n = len(x)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    if frames is not None:
-        same = np.array([[a == b for b in frames] for a in frames])
-        d[same] = np.inf
-    sizes = np.ones(len(x))
-    while len(groups) > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if not d[i, j] < cut:
+    if apart is not None:
+        d[apart] = np.inf
+    size, home = np.ones(n), np.arange(n)
+    nearest, least = d.argmin(1), d.min(1)
+    for _ in range(n - 1):
+        i = int(least.argmin())
+        if not least[i] < cut:
             break
-        i, j = min(i, j), max(i, j)
-        merged = (d[i] * sizes[i] + d[j] * sizes[j]) / (sizes[i] + sizes[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        sizes[i] += sizes[j]
-        groups[i] = groups[i] + groups[j]
-        del groups[j]
-        d, sizes = np.delete(np.delete(d, j, 0), j, 1), np.delete(sizes, j)
-    out = [0] * len(x)
-    for k, members in enumerate(sorted(groups, key=min)):
-        for i in members:
-            out[i] = k
-    return out
+        a, b = sorted((i, int(nearest[i])))
+        merged = (d[a] * size[a] + d[b] * size[b]) / (size[a] + size[b])
+        merged[[a, b]] = np.inf
+        d[a], d[:, a], d[b], d[:, b] = merged, merged, np.inf, np.inf
+        size[a] += size[b]
+        home[home == b] = a
+        again = np.flatnonzero((nearest == a) | (nearest == b))
+        again = np.union1d(again, [a, b])
+        nearest[again], least[again] = d[again].argmin(1), d[again].min(1)
+        # A mean of equal distances may now tie with the nearest of others; the first of them counts.
+        ties = (merged == least) & (nearest > a)
+        nearest[ties] = a
+    return pd.factorize(home)[0].tolist()
+
+
+def cluster_alike(rows: DataFrame, *, cut: float, most: int = 20_000) -> DataFrame:
+    """(key, id, cluster): the clusters of ``linkage`` for keys of any size; a cluster's number is its smallest id.
+
+    ``rows``: key, id (unique over all keys), embedding (unit vectors). Clusters only join over a pair closer than ``cut``,
+    so each connected component of such pairs is clustered alone. A component of more than ``most`` ids raises an error: its
+    distances would not fit in a task. Rows without a vector are left out.
+    """
+    rows = kept(rows.select("key", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and key is not null"), "alike")
+    found = kept(components(similar_pairs(rows, 1 - cut - 1e-9)), "alike-parts")
+    largest = found.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a component of {largest} ids is more than a task can cluster; use a smaller cut")
+    key_type = rows.schema["key"].dataType.simpleString()
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        part = np.array(cluster_cosine(np.stack(pdf["embedding"].to_numpy()).astype(float), cut))
+        return pdf[["key", "id"]].assign(cluster=pdf["id"].groupby(part).transform("min"))
+
+    joined = rows.join(found, "id").groupBy("component").applyInPandas(each, f"key {key_type}, id long, cluster long")
+    return joined.unionByName(rows.join(found, "id", "left_anti").select("key", "id", F.col("id").alias("cluster")))
 
 
 def still_tracklets(rows: DataFrame, *, link_gap_s: float = 20.0, same: float = 0.45, touch: float = 0.05, reach: float = 1.0) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import is_group_label
+from visitlens.operators.geometry import cluster_alike, cluster_cosine, still_tracklets
 from visitlens.operators.profiles import top_per_group
-from visitlens.operators.vectors import best_two, dot, prototypes, rank_against
+from visitlens.operators.vectors import best_two, centroids, dot, mean_pairwise, prototypes, rank_against
+from visitlens.sources.scratch import kept
 
 NOVELTY = 0.31
 
@@ -70,14 +73,15 @@ def eliminate(sides: DataFrame) -> DataFrame:
 def resolve_logged(groups: DataFrame, logged: DataFrame, template_rows: DataFrame, *, threshold: float = NOVELTY) -> DataFrame:
     """(visit, cluster, label, name, choices): the names that a visit's log gives, dealt to its groups, each name once.
 
-    ``groups``: visit, cluster, n, label, embedding; ``logged``: visit, names; ``template_rows``: name, embedding. Only as
-    many groups as names take part, the largest ones. A label claims its name; then looks decide, best first, where they
+    ``groups``: visit, cluster, n, label, embedding; ``logged``: visit, names; ``template_rows``: name, embedding, and visit
+    where each visit has templates of its own. Only as many groups as names take part, the largest ones. A label claims its name; then looks decide, best first, where they
     reach ``threshold`` with the group's best logged name; one name and one group that are left go together. ``choices``
     are the names that no other group has. Visits with under two names give no rows.
     """
     logs = logged.where(F.size(F.array_distinct("names")) >= 2).select("visit", F.array_distinct("names").alias("names"))
     asked = groups.select("visit", "cluster", "embedding").join(logs, "visit").select("visit", "cluster", F.col("embedding").alias("v"), F.explode("names").alias("name"))
-    likeness = asked.join(template_rows.select("name", F.col("embedding").alias("w")), "name").groupBy("visit", "cluster", "name").agg(F.max(dot("v", "w")).alias("s"))
+    on = ["visit", "name"] if "visit" in template_rows.columns else ["name"]
+    likeness = asked.join(template_rows.select(*on, F.col("embedding").alias("w")), on).groupBy("visit", "cluster", "name").agg(F.max(dot("v", "w")).alias("s"))
     best = likeness.groupBy("visit", "cluster").agg(F.min(F.struct((-F.col("s")).alias("less"), "name")).alias("best"))
     rows = groups.select("visit", "cluster", "n", "label").join(logs, "visit").join(best, ["visit", "cluster"], "left")
     rows = rows.select("visit", "cluster", "n", "label", "names", (-F.col("best.less")).alias("similarity"), F.col("best.name").alias("looks"))
@@ -109,3 +113,137 @@ def co_present_visits(pairs: DataFrame, *, limit: float = 0.45, min_frames: int
     """Visits with at least ``min_frames`` frames of two boxes apart. ``pairs``: visit, frame, iou."""
     frames = pairs.where(F.col("iou") < limit).select("visit", "frame").distinct()
     return frames.groupBy("visit").agg(F.count(F.lit(1)).alias("frames")).where(F.col("frames") >= min_frames)
+
+
+def visit_groups(protos: DataFrame, *, distance: float = 0.45) -> DataFrame:
+    """(key, visits, n, cohesion, multi): visits of one key that look alike, by average linkage of all of them.
+
+    ``protos``: key, visit, multi, embedding. ``visits`` and ``multi`` (shows several animals) are in the order of the visits;
+    cohesion is the mean cosine of all pairs to two digits, 1 for a lone visit. A key may have any number of visits.
+    """
+    rows = kept(protos.select("key", F.col("visit").alias("id"), "multi", "embedding"), "visit-groups")
+    parts = kept(cluster_alike(rows, cut=distance).join(rows.drop("key"), "id"), "visit-parts")
+    cohesion = mean_pairwise(parts, ["key", "cluster"]).select("key", "cluster", F.when(F.col("n") > 1, F.round("cohesion", 2)).otherwise(1.0).alias("cohesion"))
+    members = F.array_sort(F.collect_list(F.struct("id", "multi")))
+    made = parts.groupBy("key", "cluster").agg(members.alias("m")).join(cohesion, ["key", "cluster"])
+    return made.select("key", F.col("m.id").alias("visits"), F.size("m").cast("long").alias("n"), "cohesion", F.col("m.multi").alias("multi"))
+
+
+def refit(protos: DataFrame, template_rows: DataFrame, handled: DataFrame, *, novelty: float = NOVELTY, distance: float = 0.45) -> tuple[DataFrame, DataFrame]:
+    """What visits that nobody named and that show one animal are: (fits, novel groups).
+
+    ``protos``: source, visit, multi, embedding; ``handled``: source, visit of those that a person or the engine named. fits:
+    source, visit, name, similarity, via, where the nearest template of the visit's own source reaches ``novelty``; the others are grouped
+    within their source by ``visit_groups``.
+    """
+    open_ones = kept(protos.where(~F.coalesce("multi", F.lit(False))).join(handled.select("source", "visit"), ["source", "visit"], "left_anti"), "refit")
+    near = open_ones.select("source", "visit", F.col("embedding").alias("v")).join(template_rows.select("source", "name", F.col("visit").alias("via"), F.col("embedding").alias("w")), "source")
+    best = near.select("source", "visit", F.struct((-dot("v", "w")).alias("less"), "name", "via").alias("x")).groupBy("source", "visit").agg(F.min("x").alias("x"))
+    fits = kept(best.where(F.col("x.less") <= -novelty).select("source", "visit", "x.name", (-F.col("x.less")).alias("similarity"), "x.via"), "fits")
+    novel = open_ones.join(fits, ["source", "visit"], "left_anti").withColumnRenamed("source", "key")
+    return fits, visit_groups(novel, distance=distance).withColumnRenamed("key", "source")
+
+
+def unblend_stills(crops: DataFrame, template_rows: DataFrame, logged: DataFrame, *, distance: float = 0.45, threshold: float = NOVELTY, link_gap_s: float = 20.0, top_k: int = 40) -> DataFrame:
+    """The animals of each visit, parted by its crops; a row a group, the one with most crops first.
+
+    ``crops``: visit, source, id, at_s, x1, y1, x2, y2, quality, label, embedding (null where a crop has no vector);
+    ``template_rows``: source, name, embedding; ``logged``: visit, names. Crops become tracklets, whose prototypes are
+    joined by average linkage, but never two that were seen in one frame; a tracklet without any vector stays alone.
+    Returns visit, cluster, ids, n (tracklets), n_crops, cohesion (to two digits; 1 for less than two vectors), reps (the eight clearest crops),
+    label (the one name its crops carry, if it is one), suggestions (up to three names with their similarity from templates of the same source, a name
+    that a closer group takes left out), name and choices (from the visit's log, see ``resolve_logged``; null without one).
+    Visits of one tracklet have no rows. Work on a visit is bounded by its own crops.
+    """
+    crops = kept(crops, "unblend-crops")
+    tracks = kept(still_tracklets(crops.select("visit", "id", "at_s", "x1", "y1", "x2", "y2"), link_gap_s=link_gap_s), "unblend-tracks")
+    several = tracks.groupBy("visit").agg(F.max("track").alias("last")).where("last > 0").select("visit")
+    tracks = tracks.join(several, "visit", "left_semi")
+    held = tracks.select("visit", "track", "id").join(crops.select("visit", "id", "quality", "label", "embedding"), ["visit", "id"])
+    looks = prototypes(held.where("embedding is not null"), ["visit", "track"], top_k=top_k, order="id")
+    units = tracks.groupBy("visit", "track").agg(F.count(F.lit(1)).alias("crops"), F.first("apart").alias("apart")).join(looks, ["visit", "track"], "left")
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("track").reset_index(drop=True)
+        seen = pdf["embedding"].notna().to_numpy()
+        voting = np.flatnonzero(seen)
+        place = {t: i for i, t in enumerate(pdf["track"][voting])}
+        forbidden = np.zeros((len(voting), len(voting)), bool)
+        for i, others in enumerate(pdf["apart"][voting]):
+            forbidden[i, [place[t] for t in others if t in place]] = True
+        found = np.arange(len(pdf)) + len(pdf)
+        if len(voting):
+            found[voting] = cluster_cosine(np.stack(pdf["embedding"][voting].to_numpy()), distance, forbidden)
+        size = pdf["crops"].groupby(found).transform("sum")
+        # Most crops first; then those with a look, in the order of their first tracklets.
+        order = pd.DataFrame({"size": -size, "found": found}).drop_duplicates().sort_values(["size", "found"])
+        rank = {f: k for k, f in enumerate(order["found"])}
+        return pdf[["visit", "track"]].assign(cluster=[rank[f] for f in found])
+
+    parts = kept(units.groupBy("visit").applyInPandas(part, "visit long, track long, cluster long"), "unblend-parts")
+    key = ["visit", "cluster"]
+    members = held.join(parts, ["visit", "track"])
+    clear = F.array_sort(F.collect_list(F.struct((-F.coalesce("quality", F.lit(0.0))).alias("worse"), "track", "id")))
+    labels = F.collect_set(F.when(F.col("label") != "", F.col("label")))
+    made = members.groupBy(*key).agg(
+        F.array_sort(F.collect_list("id")).alias("ids"), F.count_distinct("track").alias("n"), F.count(F.lit(1)).alias("n_crops"), F.slice(clear, 1, 8)["id"].alias("reps"), F.when(F.size(labels) == 1, labels[0]).alias("label")
+    )
+    voices = looks.join(parts, ["visit", "track"])
+    middle = kept(centroids(voices, key), "unblend-middles")
+    tight = mean_pairwise(voices, key).select(*key, F.when(F.col("n") > 1, F.round("cohesion", 2)).alias("cohesion"))
+    groups = kept(made.join(middle, key, "left").join(tight, key, "left").withColumn("cohesion", F.coalesce("cohesion", F.lit(1.0))), "unblend-groups")
+    found = groups.drop("embedding").join(exclusive_names(middle.join(crops.select("visit", "source").distinct(), "visit"), template_rows, threshold=threshold), key, "left")
+    named = resolve_logged(groups.select("visit", "cluster", F.col("n_crops").alias("n"), "label", "embedding"), logged, template_rows_of(logged, crops, template_rows), threshold=threshold)
+    return found.join(named.select("visit", "cluster", "name", "choices"), key, "left")
+
+
+def template_rows_of(logged: DataFrame, crops: DataFrame, template_rows: DataFrame) -> DataFrame:
+    """Templates of the source of each logged visit: visit, name, embedding."""
+    return logged.select("visit").join(crops.select("visit", "source").distinct(), "visit").join(template_rows, "source").select("visit", "name", "embedding")
+
+
+def exclusive_names(groups: DataFrame, template_rows: DataFrame, *, threshold: float, most: int = 5, shown: int = 3) -> DataFrame:
+    """(visit, cluster, suggestions): the names each group resembles; within a visit the closest claim takes a name, and a group one name.
+
+    ``groups``: visit, cluster, source, embedding. A group keeps the name it took and those that nobody took.
+    """
+    pairs = groups.select("visit", "cluster", "source", F.col("embedding").alias("v")).join(template_rows.select("source", "name", F.col("embedding").alias("w")), "source")
+    per_name = pairs.groupBy("visit", "cluster", "name").agg(F.max(dot("v", "w")).alias("similarity")).where(F.col("similarity") >= threshold)
+    near = top_per_group(per_name.withColumn("group", F.struct("visit", "cluster")), "group", most, F.desc("similarity"), F.col("name")).select("visit", "cluster", "name", "similarity")
+
+    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["similarity", "cluster", "name"], ascending=[False, True, True])
+        owner: dict[str, int] = {}
+        for cluster, name in zip(pdf["cluster"], pdf["name"], strict=True):
+            if name not in owner and cluster not in owner.values():
+                owner[name] = cluster
+        kept_ones = pdf[[owner.get(n, c) == c for c, n in zip(pdf["cluster"], pdf["name"], strict=True)]]
+        rows = [(pdf["visit"].iloc[0], c, [{"name": n, "similarity": round(s, 3)} for n, s in zip(g["name"][:shown], g["similarity"][:shown], strict=True)]) for c, g in kept_ones.groupby("cluster")]
+        return pd.DataFrame(rows, columns=["visit", "cluster", "suggestions"])
+
+    return near.groupBy("visit").applyInPandas(claim, "visit long, cluster long, suggestions array<struct<name string, similarity double>>")
+
+
+def pose_groups(crops: DataFrame, *, distance: float = 0.35, most: int = 400, least: int = 3) -> DataFrame:
+    """(name, pose, n, cohesion, reps, first, last): alike crops among the ``most`` clearest of each name, the largest group first.
+
+    ``crops``: name, id, quality, at, embedding (unit vectors); ``reps`` are the eight clearest, ``first`` and ``last`` the times.
+    Groups of fewer than ``least`` crops are left out. A task keeps its own best of each name before they are moved.
+    """
+    clear = top_per_group(crops.where("embedding is not null"), "name", most, F.desc(F.coalesce("quality", F.lit(0.0))), F.col("id"))
+    kind, at_kind = (crops.schema[c].dataType.simpleString() for c in ("name", "at"))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        found = pd.Series(cluster_cosine(x, distance))
+        out = []
+        for k, own in found.groupby(found):
+            n, s = len(own), x[own.index] @ x[own.index].T
+            if n >= least:
+                rows = pdf.loc[own.index]
+                out.append((-n, k, round(float(s.sum() - n) / (n * (n - 1)), 2), rows["id"].head(8).tolist(), rows["at"].min(), rows["at"].max()))
+        out.sort(key=lambda g: g[:2])
+        return pd.DataFrame([(pdf["name"].iloc[0], i, -g[0], *g[2:]) for i, g in enumerate(out)], columns=["name", "pose", "n", "cohesion", "reps", "first", "last"])
+
+    return clear.select("name", "id", "rank", "at", "embedding").groupBy("name").applyInPandas(each, f"name {kind}, pose long, n long, cohesion double, reps array<long>, first {at_kind}, last {at_kind}")

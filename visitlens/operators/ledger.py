@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.operators.order import numbered
+
 
 def latest(events: DataFrame, keys: list[str], at: str, value: list[str], order: str | None = None) -> DataFrame:
     """The values of each key's newest event; ties go to the greatest ``order``. By aggregation, so a hot key is no sort."""
@@ -69,3 +71,17 @@ def remove(rows: DataFrame, doomed: DataFrame, keys: list[str], manifest: str |
     if manifest is not None:
         rows.join(doomed.select(*keys).distinct(), keys, "left_semi").write.mode("append").parquet(manifest)
     return rows.join(doomed.select(*keys).distinct(), keys, "left_anti")
+
+
+def at_shares(rows: DataFrame, shares: list[float], *by: str) -> DataFrame:
+    """The rows at these shares of the way through the order of ``by``, with their ``position``; each row once."""
+    placed = numbered(rows, *by)
+    n = placed.count()
+    wanted = sorted({round(s * (n - 1)) for s in shares}) if n else []
+    return placed.where(F.col("position").isin(wanted))
+
+
+def with_reference(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """``rows`` with what ``references`` (ref_id and more) says of the one they name; nulls where there is none. References
+    are retired but never deleted, so old rows find theirs."""
+    return rows.join(references, "ref_id", "left")

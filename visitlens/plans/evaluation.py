@@ -11,6 +11,7 @@ from visitlens.operators import evaluation, vectors
 from visitlens.plans.registry import DET, register
 from visitlens.plans.vectors import DIMS, unit_sql
 from visitlens.sources.fixtures import Tables
+from visitlens.sources.scratch import kept
 
 #: Graded verdicts: the species that was seen, the one that was said, and how surely.
 GRADED = """graded AS (SELECT id, species AS y_true, CASE WHEN k < 70 THEN species WHEN k < 85 THEN 'view' ELSE 'click' END AS y_pred, k / 100.0 AS confidence,
@@ -113,22 +114,26 @@ def units(t: Tables) -> DataFrame:
     return u.select(probe.alias("probe"), F.col("name").alias("truth"), "night", F.col("embedding").alias("v"))
 
 
-def pairs(t: Tables) -> DataFrame:
-    """Every probe against every template: the stated set of labelled visits, which people confirm and which stays small."""
-    a = units(t)
-    b = a.select(F.col("probe").alias("other"), F.col("truth").alias("name"), F.col("night").alias("name_night"), F.col("v").alias("w"))
-    return a.join(b, F.col("probe") != F.col("other")).select("probe", "truth", "night", "name", "name_night", vectors.dot("v", "w").alias("similarity"))
+def scores(t: Tables, *embargoes: int) -> DataFrame:
+    """The best template of each name for each unit, under each rule."""
+    u = units(t).withColumn("day", F.datediff("night", F.lit("1970-01-01").cast("date")))
+    return kept(evaluation.name_scores(u, embargoes=embargoes), "name-scores")
+
+
+def left_out(t: Tables) -> DataFrame:
+    """Leave-one-out of all units."""
+    return evaluation.answers(scores(t).where(F.col("rule") == evaluation.BLOCKED))
 
 
 @register(LOO.format(embargo="") + " SELECT probe, truth, answer, round(similarity, 6) AS similarity, round(lead, 6) AS lead FROM loo", "crops")
 def e8_leave_one_out(t: Tables) -> DataFrame:
-    return evaluation.leave_one_out(pairs(t)).select("probe", "truth", "answer", F.round("similarity", 6).alias("similarity"), F.round("lead", 6).alias("lead"))
+    return left_out(t).select("probe", "truth", "answer", F.round("similarity", 6).alias("similarity"), F.round("lead", 6).alias("lead"))
 
 
 @register(LOO.format(embargo="") + " SELECT count(*) AS probes, count(*) FILTER (similarity >= 0.3 AND lead >= 0.02) AS assigned, count(*) FILTER (similarity >= 0.3 AND lead >= 0.02 AND answer <> truth) AS wrong FROM loo", "crops")
 def e9_evaluate_point(t: Tables) -> DataFrame:
     hit = (F.col("similarity") >= 0.3) & (F.col("lead") >= 0.02)
-    loo = evaluation.leave_one_out(pairs(t))
+    loo = left_out(t)
     return loo.agg(F.count(F.lit(1)).alias("probes"), F.count_if(hit).alias("assigned"), F.count_if(hit & (F.col("answer") != F.col("truth"))).alias("wrong"))
 
 
@@ -140,7 +145,7 @@ SWEPT = LOO.format(embargo="") + f""", {GRID}, swept AS (SELECT CAST(threshold A
 
 @register(SWEPT + " SELECT * FROM swept", "crops")
 def e10_sweep(t: Tables) -> DataFrame:
-    return evaluation.sweep(evaluation.leave_one_out(pairs(t)), THRESHOLDS, MARGINS)
+    return evaluation.sweep(left_out(t), THRESHOLDS, MARGINS)
 
 
 @register(SWEPT + ", p AS (SELECT min((-assigned, -threshold, -margin)) AS x FROM swept WHERE wrong = 0) SELECT -x[2] AS threshold, -x[3] AS margin, -x[1] AS assigned FROM p WHERE x IS NOT NULL", "crops")
@@ -165,12 +170,8 @@ EMBARGOES = [0, 1, 3, 7]
 @register(embargo_sql(EMBARGOES), "crops")
 def e19_embargo_curve(t: Tables) -> DataFrame:
     """Leave-one-out with templates at least so many days away, for all embargoes in one pass over the pairs."""
-    far = F.abs(F.datediff("night", "name_night"))
-    fair = pairs(t).where(~((F.col("truth") == F.col("name")) & (F.col("night") == F.col("name_night"))))
-    each = fair.select("*", F.explode(F.array(*map(F.lit, EMBARGOES))).alias("days")).where(far > F.col("days"))
-    best = each.groupBy("days", "probe", "truth", "name").agg(F.max("similarity").alias("s"))
-    top = best.groupBy("days", "probe", "truth").agg(F.min_by("name", F.struct((-F.col("s")).alias("less"), "name")).alias("answer"))
-    return top.groupBy("days").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("answer") == F.col("truth")).alias("right_ones"))
+    found = evaluation.right_ones(scores(t, *EMBARGOES).where(~F.col("rule").isin(evaluation.FREE, evaluation.BLOCKED)))
+    return found.select(F.col("rule").cast("int").alias("days"), "probes", "right_ones")
 
 
 @register(
@@ -179,11 +180,28 @@ def e19_embargo_curve(t: Tables) -> DataFrame:
     "crops",
 )
 def e22_gap_report(t: Tables) -> DataFrame:
-    p = pairs(t)
-    blocked = p.where(~((F.col("truth") == F.col("name")) & (F.col("night") == F.col("name_night"))))
-    both = blocked.withColumn("kind", F.lit("blocked")).unionByName(p.withColumn("kind", F.lit("free")))
-    top = both.groupBy("kind", "probe", "truth").agg(F.min_by("name", F.struct((-F.col("similarity")).alias("less"), "name")).alias("answer"))
-    return top.groupBy("kind").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("answer") == F.col("truth")).alias("right_ones"))
+    return evaluation.right_ones(scores(t)).withColumnRenamed("rule", "kind")
+
+
+@register(
+    SWEPT + f""", f AS (SELECT 'blocked' AS part, probe, truth, name, s FROM pairs WHERE NOT (truth = name AND night = name_night) UNION ALL SELECT 'free', probe, truth, name, s FROM pairs
+      {' '.join(f"UNION ALL SELECT '{d}', probe, truth, name, s FROM pairs WHERE NOT (truth = name AND night = name_night) AND abs(date_diff('day', night, name_night)) > {d}" for d in EMBARGOES)}),
+    a AS (SELECT part, probe, truth, arg_min(name, (-s, name)) AS answer FROM f GROUP BY part, probe, truth)
+    SELECT part, NULL::DOUBLE AS threshold, NULL::DOUBLE AS margin, count(*) AS probes, count(*) FILTER (answer = truth) AS right_ones FROM a GROUP BY part
+    UNION ALL SELECT 'sweep', threshold, margin, assigned, assigned - wrong FROM swept
+    UNION ALL SELECT 'chosen', -x[2], -x[3], -x[1], -x[1] FROM (SELECT min((-assigned, -threshold, -margin)) AS x FROM swept WHERE wrong = 0) WHERE x IS NOT NULL""",
+    "crops",
+)
+def e17_identity_report(t: Tables) -> DataFrame:
+    """The whole evaluation of names from one pass over all products: answers with and without blocking and under
+    embargoes, the sweep of operating points, and the point it selects."""
+    found = scores(t, *EMBARGOES)
+    none = F.lit(None).cast("double")
+    parts = evaluation.right_ones(found).select(F.col("rule").alias("part"), none.alias("threshold"), none.alias("margin"), "probes", "right_ones")
+    swept = kept(evaluation.sweep(evaluation.answers(found.where(F.col("rule") == evaluation.BLOCKED)), THRESHOLDS, MARGINS), "swept")
+    points = swept.select(F.lit("sweep").alias("part"), "threshold", "margin", F.col("assigned").alias("probes"), (F.col("assigned") - F.col("wrong")).alias("right_ones"))
+    best = evaluation.select_point(swept).select(F.lit("chosen").alias("part"), "threshold", "margin", F.col("assigned").alias("probes"), F.col("assigned").alias("right_ones"))
+    return parts.unionByName(points).unionByName(best)
 
 
 @register(

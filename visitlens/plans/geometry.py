@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
-from visitlens.operators import evaluation, geometry, motion
+from visitlens.operators import evaluation, geometry, motion, places
 from visitlens.plans.evaluation import EDGE_LIST
 from visitlens.plans.registry import DET, register
 from visitlens.sources.fixtures import Tables
@@ -210,3 +210,25 @@ def g12_linkage(t: Tables) -> DataFrame:
 def g13_constrained_linkage(t: Tables) -> DataFrame:
     rows = t.crops.select(F.col("night").cast("string").alias("night"), F.col("vec_id").alias("id"), "embedding", F.col("visit"))
     return geometry.linkage(rows, ["night"], cut=0.95, apart="visit")
+
+
+def night_frames(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Boxes of nights of 400 frames in clips of 20, with a measure of motion; and all their frames."""
+    night, clip = F.floor(F.col("frame") / 400).alias("night"), F.floor(F.col("frame") / 20).alias("clip")
+    number = F.col("seq") * 100 + F.round(F.col("score") * 100).cast("long")
+    boxes = t.boxes.select(night, F.col("frame").alias("at"), number.alias("seq"), F.round(F.col("x1") / 40).alias("c"), F.round(F.col("y1") / 40).alias("r"), (F.col("score") * 3).alias("motion"))
+    still = boxes.select("night", "at", "seq", (F.col("c") * 40).alias("x1"), (F.col("r") * 40).alias("y1"), (F.col("c") * 40 + 60).alias("x2"), (F.col("r") * 40 + 60).alias("y2"), "motion")
+    return still, t.boxes.select(night, clip, F.col("frame").alias("at")).distinct()
+
+
+@register()
+def m15_night_furniture(t: Tables) -> DataFrame:
+    """Things that show up over the clips of a night without motion."""
+    return places.furniture(*night_frames(t)).select("night", "place", "n", *(F.round(c, 6).alias(c) for c in places.SIDES), F.round("motion", 6).alias("motion"))
+
+
+@register()
+def a49_clean_counts(t: Tables) -> DataFrame:
+    """Boxes of each sampled frame with and without the night's furniture."""
+    boxes, frames = night_frames(t)
+    return places.clean_counts(boxes, frames, places.furniture(boxes, frames))

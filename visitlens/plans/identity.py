@@ -65,13 +65,23 @@ def i7_auto_assign(t: Tables) -> DataFrame:
     return out.select("source", "visit", "name", "reason", F.round("similarity", 6).alias("similarity"), F.round("lead", 6).alias("lead"))
 
 
+def numbered_protos(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prototypes, labels and templates of crops of one name and night at a source: visits whose numbers are their own."""
+    day = F.datediff("night", F.lit("2024-01-01").cast("date"))
+    crops = t.crops.withColumn("visit", ((day * 10 + F.col("name")) * 3 + F.col("source")).cast("long"))
+    protos = identity.visit_prototypes(crops, min_crops=1, gate=0.3).withColumn("multi", F.col("visit") % 11 == 0)
+    labels = protos.where(F.xxhash64("visit") % 3 == 0).select("source", "visit", F.concat(F.lit("n"), (F.floor(F.col("visit") / 3) % 10).cast("string")).alias("name"))
+    return protos, labels, identity.templates(protos, labels, protos.where("multi").select("source", "visit"))
+
+
 @register()
 def i6_refit(t: Tables) -> DataFrame:
-    """Visits far from all templates are clustered by source and night of the week, so groups stay small."""
-    protos, _, made = matcher(t)
-    far = identity.suggestions(protos, made, k=1).where("novel").select("source", "visit")
-    rows = protos.join(far, ["source", "visit"], "left_semi").select("source", (F.col("visit") % 7).alias("weekday"), F.col("visit").alias("id"), "embedding")
-    return geometry.linkage(rows, ["source", "weekday"], cut=0.9)
+    """Unnamed visits that fit a template of their source, and groups of likeness of those that fit none, over whole sources."""
+    protos, labels, made = numbered_protos(t)
+    fits, novel = identity.refit(protos, made, labels, novelty=0.5, distance=0.6)
+    found = fits.select("source", F.array("visit").alias("visits"), "name", F.round("similarity", 3).alias("similarity"), F.lit(None).cast("double").alias("cohesion"))
+    groups = novel.select("source", "visits", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("similarity"), "cohesion")
+    return found.unionByName(groups).withColumn("visits", F.array_join(F.transform("visits", lambda v: v.cast("string")), ","))
 
 
 @register(
@@ -102,10 +112,12 @@ def i4_usable_templates(t: Tables) -> DataFrame:
 
 @register()
 def i8_bootstrap(t: Tables) -> DataFrame:
-    """Unconfirmed visits in groups of likeness, by source and night of the week."""
-    protos, labels, _ = matcher(t)
-    rows = protos.join(labels, ["source", "visit"], "left_anti").select("source", (F.col("visit") % 7).alias("weekday"), F.col("visit").alias("id"), "embedding")
-    return geometry.linkage(rows, ["source", "weekday"], cut=0.9)
+    """All visits without a name in groups of likeness, over the whole store."""
+    protos, labels, _ = numbered_protos(t)
+    rows = protos.join(labels, ["source", "visit"], "left_anti").withColumn("key", F.lit(0))
+    groups = identity.visit_groups(rows, distance=0.6)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return groups.select(text("visits"), "n", "cohesion", text("multi"))
 
 
 @register(
@@ -153,11 +165,26 @@ def g16_unblend(t: Tables) -> DataFrame:
     return best.select("probe.source", "probe.night", "probe.cluster", F.col("best").alias("name"), F.round("similarity", 4).alias("similarity"))
 
 
+def blended(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Crops of visits of twenty frames, each with the vector of a number made of its own where there is one; templates; logs."""
+    visit = F.floor(F.col("frame") / 20).cast("long")
+    number = F.col("frame") * 1000 + F.col("seq") * 100 + F.round(F.col("score") * 100).cast("long")
+    b = t.boxes.select(visit.alias("visit"), number.alias("id"), F.col("frame").cast("double").alias("at_s"), "x1", "y1", "x2", "y2", F.col("score").alias("quality"))
+    b = b.groupBy("visit", "id").agg(*(F.min(c).alias(c) for c in b.columns[2:])).withColumn("vec_id", (F.col("id") * 31) % 3001)
+    seen = t.crops.select("vec_id", "embedding", F.concat(F.lit("n"), F.col("name").cast("string")).alias("named"))
+    crops = b.join(seen, "vec_id", "left").withColumn("source", F.col("visit") % 3).withColumn("label", F.when(F.col("id") % 50 == 0, F.col("named"))).drop("vec_id", "named")
+    made = vectors.centroids(t.crops.select("source", F.concat(F.lit("n"), F.col("name").cast("string")).alias("name"), "embedding"), ["source", "name"])
+    logged = crops.where("visit % 2 = 0").groupBy("visit").agg(F.array(F.concat(F.lit("n"), (F.col("visit") % 10).cast("string")), F.concat(F.lit("n"), ((F.col("visit") + 3) % 10).cast("string"))).alias("names"))
+    return crops, made, logged
+
+
 @register()
 def g17_unblend_stills(t: Tables) -> DataFrame:
-    """The same under the bar that crops of one moment are different animals."""
-    rows = t.crops.select("source", F.col("night").cast("string").alias("night"), F.col("vec_id").alias("id"), "embedding", F.col("visit"))
-    return geometry.linkage(rows, ["source", "night"], cut=0.97, apart="visit")
+    """The animals of each visit by its crops, with suggestions and names from the visit's log."""
+    found = identity.unblend_stills(*blended(t), threshold=0.2)
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    hints = F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s["name"], s["similarity"].cast("string"))), ",").alias("suggestions")
+    return found.select("visit", "cluster", joined("ids"), "n", "n_crops", "cohesion", joined("reps"), "label", hints, "name", F.array_join("choices", ",").alias("choices"))
 
 
 @register()

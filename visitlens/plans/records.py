@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
-from visitlens.operators import intervals, ledger, profiles, sessions
+from visitlens.operators import intervals, ledger, places, profiles, sessions
+from visitlens.plans.geometry import night_frames
 from visitlens.plans.registry import CLIPS, DET, STAMPED, VISITS, register
 from visitlens.sources.fixtures import Tables
 
@@ -29,9 +30,11 @@ def s22_video_hashes(t: Tables) -> DataFrame:
     return t.read("documents").groupBy("source").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT id, source, species FROM detections WHERE id = 17", *DET)
+@register("SELECT d.id, d.k AS ref_id, c.name, c.vec_id % 2 = 0 AS retired FROM detections d LEFT JOIN crops c ON c.vec_id = d.k WHERE d.species = 'view'", *DET, "crops")
 def s30_reference_by_id(t: Tables) -> DataFrame:
-    return t.detections.where("id = 17").select("id", "source", "species")
+    """The reference that each suppressed row names, retired or not."""
+    references = t.crops.select(F.col("vec_id").alias("ref_id"), "name", (F.col("vec_id") % 2 == 0).alias("retired"))
+    return ledger.with_reference(t.detections.where("species = 'view'").select("id", F.col("k").alias("ref_id")), references)
 
 
 @register("SELECT source, max(ts) AS started_at FROM detections WHERE species = 'signup' GROUP BY source", *DET)
@@ -88,10 +91,21 @@ def s41_decoy_tray(t: Tables) -> DataFrame:
     return profiles.top_per_group(t.detections.where("k <> 13"), "species", 5, F.desc("confidence"), F.col("id")).select("species", "id", "rank")
 
 
-@register("SELECT vec_id, name, quality, CASE WHEN vec_id % 2 = 0 THEN 'day' ELSE 'night' END AS tag FROM crops WHERE vec_id % 5 = 0", "crops")
+#: Where in the order of qualities the pictures are taken.
+SPREAD = [0.0, 0.04, 0.10, 0.20, 0.33, 0.48, 0.62, 0.75, 0.86, 0.95]
+
+
+@register(
+    f"""WITH r AS (SELECT vec_id, quality, row_number() OVER (ORDER BY quality, vec_id) - 1 AS position, count(*) OVER () AS n FROM crops WHERE quality IS NOT NULL),
+    p AS (SELECT DISTINCT CAST(round_even(p * (n - 1), 0) AS BIGINT) AS position FROM (SELECT unnest({SPREAD}) AS p) s, (SELECT max(n) AS n FROM r) m)
+    SELECT vec_id, quality, position, vec_id % 24 >= 20 OR vec_id % 24 < 6 AS night FROM r JOIN p USING (position)""",
+    "crops",
+)
 def s46_quality_spread(t: Tables) -> DataFrame:
-    """One crop in five of the spread of qualities."""
-    return t.crops.where("vec_id % 5 = 0").select("vec_id", "name", "quality", F.when(F.col("vec_id") % 2 == 0, "day").otherwise("night").alias("tag"))
+    """Ten crops from the softest to the crispest, by their place among all; with the hour, whether it was night."""
+    found = ledger.at_shares(t.crops.where("quality is not null").select("vec_id", "quality"), SPREAD, "quality", "vec_id")
+    hour = F.col("vec_id") % 24
+    return found.select("vec_id", "quality", "position", ((hour >= 20) | (hour < 6)).alias("night"))
 
 
 @register("SELECT d.id, d.value, c.name FROM detections d JOIN crops c ON d.id = c.vec_id WHERE d.k >= 50", *DET, "crops")
@@ -148,12 +162,20 @@ def p21_reference_sources(t: Tables) -> DataFrame:
     return t.read("documents").agg(F.count_if(F.startswith("source", F.lit("ref:"))).alias("found"))
 
 
-@register("SELECT id, source FROM detections d WHERE id > 500 AND (SELECT count(*) FROM detections e WHERE e.source = d.source AND e.k = d.k AND e.id > 500) >= 2", *DET)
+def imported(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Boxes on a coarse grid at forty sources, some with a vector for their picture; and marks in the middle of each source's numbers."""
+    boxes, _ = night_frames(t)
+    number = F.col("at") * 1000 + F.col("seq")
+    rows = boxes.select((F.col("at") % 40).alias("source"), number.alias("id"), (F.col("at") * 60.0).alias("at_s"), *places.SIDES)
+    rows = rows.withColumn("vec_id", F.col("id") % 3001).join(t.crops.select("vec_id", F.col("embedding").alias("thumb")), "vec_id", "left").drop("vec_id")
+    return rows, rows.groupBy("source").agg(F.floor(F.max("id") / 2).alias("mark"))
+
+
+@register()
 def p23_import_sweep(t: Tables) -> DataFrame:
-    """Only rows beyond a mark are judged."""
-    rows = t.detections.where("id > 500")
-    often = rows.groupBy("source", "k").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("source", "k")
-    return rows.join(often, ["source", "k"], "left_semi").select("id", "source")
+    """The rows of each import that a place dropped, and why; rows up to the mark of their source aren't judged."""
+    dropped, _ = places.sweep(*imported(t), min_n=4, min_span_s=3 * 3600.0)
+    return dropped.select("source", "id", "place", "n", "span_s", "reason", F.array_join(F.transform("anchor", lambda x: x.cast("long").cast("string")), ",").alias("anchor"))
 
 
 @register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem)")

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
-from visitlens.operators import evaluation, geometry, intervals, sessions, vectors
+from visitlens.operators import blocks, evaluation, geometry, identity, intervals, order, sessions, vectors
 from visitlens.operators.profiles import top_per_group
-from visitlens.plans.evaluation import GRADED, LOO, MARGINS, PAIRS, THRESHOLDS, UNITS, graded, pairs, units
+from visitlens.plans.evaluation import GRADED, LOO, MARGINS, PAIRS, THRESHOLDS, UNITS, graded, left_out, units
 from visitlens.plans.intervals import visit_clips
 from visitlens.plans.profiles import named_visits
 from visitlens.plans.registry import CLIPS, DET, STAMPED, VISITS, register
@@ -176,7 +176,18 @@ def e25_units(t: Tables) -> DataFrame:
 
 @register(PAIRS + " SELECT probe, count(*) AS templates, round(max(s), 6) AS best FROM pairs GROUP BY probe", "crops")
 def e29_similarity(t: Tables) -> DataFrame:
-    return pairs(t).groupBy("probe").agg(F.count(F.lit(1)).alias("templates"), F.round(F.max("similarity"), 6).alias("best"))
+    """How many templates each probe has, and the likeness of the nearest; counted and compared block by block."""
+    import numpy as np
+    import pandas as pd
+
+    def each(x: dict, y: dict, s: np.ndarray) -> pd.DataFrame:
+        sides = [(x["ids"], y["ids"], s)] + ([] if x["block"] == y["block"] else [(y["ids"], x["ids"], s.T)])
+        apart = [(a, a[:, None] != b[None], p) for a, b, p in sides]
+        return pd.concat(pd.DataFrame({"probe": a, "n": m.sum(1), "s": np.where(m, p, -2.0).max(1)}) for a, m, p in apart)
+
+    rows = units(t).select(F.lit(0).alias("key"), F.col("probe").alias("id"), F.col("v").alias("embedding"))
+    found = blocks.over_pairs(blocks.packed(rows), each, "probe long, n long, s double").where("n > 0")
+    return found.groupBy("probe").agg(F.sum("n").alias("templates"), F.round(F.max("s"), 6).alias("best"))
 
 
 @register(
@@ -218,7 +229,7 @@ GRID_FOLDS = LOO.format(embargo="") + f""", t(threshold) AS (SELECT unnest([{',
 
 @register(GRID_FOLDS + " SELECT fold, threshold, margin, assigned, wrong FROM c", "crops")
 def e12_fold_sweeps(t: Tables) -> DataFrame:
-    return fold_sweep(evaluation.leave_one_out(pairs(t)))
+    return fold_sweep(left_out(t))
 
 
 @register(
@@ -228,7 +239,7 @@ def e12_fold_sweeps(t: Tables) -> DataFrame:
 )
 def e13_point_spread(t: Tables) -> DataFrame:
     hit = ((F.col("similarity") >= 0.3) & (F.col("lead") >= 0.02)).cast("double")
-    f = evaluation.leave_one_out(pairs(t)).groupBy((F.col("probe") % FOLDS).alias("fold")).agg(F.avg(hit).alias("coverage"))
+    f = left_out(t).groupBy((F.col("probe") % FOLDS).alias("fold")).agg(F.avg(hit).alias("coverage"))
     return f.agg(F.round(F.min("coverage"), 6).alias("low"), F.round(F.avg("coverage"), 6).alias("mean"), F.round(F.max("coverage"), 6).alias("high"))
 
 
@@ -262,20 +273,18 @@ def e27_headline(t: Tables) -> DataFrame:
 
 @register()
 def g14_pose_groups(t: Tables) -> DataFrame:
-    """Groups of three or more alike crops among the 400 best of each name, the largest first."""
-    best = top_per_group(t.crops.select("name", "vec_id", "quality"), "name", 400, F.desc("quality"), F.col("vec_id")).select("vec_id")
-    rows = t.crops.join(best, "vec_id", "left_semi").select("name", F.col("vec_id").alias("id"), "embedding")
-    found = geometry.linkage(rows, ["name"], cut=0.9)
-    return found.groupBy("name", "cluster").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    """The poses of each name: groups of alike crops among its clearest, the largest first."""
+    found = identity.pose_groups(t.crops.select("name", F.col("vec_id").alias("id"), "quality", F.col("night").cast("string").alias("at"), vectors.unit("embedding").alias("embedding")))
+    return found.withColumn("reps", F.array_join(F.transform("reps", lambda i: i.cast("string")), ","))
 
 
 @register()
 def g21_clusters_by_size(t: Tables) -> DataFrame:
-    """Placeholder names of clusters by falling size within each source and night."""
-    rows = t.crops.select("source", F.col("night").cast("string").alias("night"), F.col("vec_id").alias("id"), "embedding")
-    n = geometry.linkage(rows, ["source", "night"], cut=0.95).groupBy("source", "night", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("source", "night").orderBy(F.desc("n"), "cluster"))
-    return n.select("source", "night", "n", F.concat(F.lit("_c"), place.cast("string")).alias("name"))
+    """Placeholder names by falling size of clusters of three crops or more, over the whole store."""
+    rows = t.crops.select(F.lit(0).alias("key"), F.col("vec_id").alias("id"), vectors.unit("embedding").alias("embedding"))
+    made = geometry.cluster_alike(rows, cut=0.45).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("ids")).where("n >= 3")
+    place = order.numbered(made, F.desc("n"), F.col("cluster"))
+    return place.select("cluster", "n", "ids", F.concat(F.lit("_c"), F.lpad((F.col("position") + 1).cast("string"), 2, "0")).alias("name"))
 
 
 @register()
@@ -345,9 +354,8 @@ def e23_held_out_points(t: Tables) -> DataFrame:
 
     The probes are the labelled visits, numbered by their key; their number alone comes to the driver.
     """
-    loo = evaluation.leave_one_out(pairs(t))
-    numbered = loo.withColumn("position", (F.row_number().over(Window.orderBy("probe")) - 1).cast("long"))
-    n = units(t).select("probe").distinct().count()
+    numbered = order.numbered(left_out(t), "probe")
+    n = units(t).count()
     folds = t.spark.createDataFrame(evaluation.fold_table(n, 5, 3, 7), "repeat long, fold long, position long")
     return evaluation.held_out(numbered, folds, THRESHOLDS, MARGINS)
 

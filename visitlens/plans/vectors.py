@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.operators import vectors
+from visitlens.operators import showcase, vectors
 from visitlens.plans.registry import register
 from visitlens.sources.fixtures import Tables
 
@@ -155,3 +155,12 @@ def j4_left_outer(t: Tables) -> DataFrame:
 def j1_equi(t: Tables) -> DataFrame:
     d = t.detections.where("confidence >= 0.5").select(F.col("id").alias("vec_id"), "species", "source")
     return t.crops.select("vec_id").join(d, "vec_id")
+
+
+@register()
+def s43_featured_pairs(t: Tables) -> DataFrame:
+    """Three pairs that tell the story; prototypes are of a name and night."""
+    crops = t.crops.select(F.col("vec_id").alias("id"), "visit", "name", vectors.unit("embedding").alias("embedding"))
+    day = F.datediff("night", F.lit("2024-01-01").cast("date"))
+    protos = vectors.centroids(t.crops, ["name", "night"]).select((F.col("name") * 100_000 + day).cast("long").alias("id"), "name", "embedding")
+    return showcase.featured_pairs(crops, protos)
