@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions import columns
-from visitlens.operators import geometry, identity, vectors
+from visitlens.operators import geometry, identity, review, vectors
 from visitlens.plans.registry import register
 from visitlens.plans.vectors import DIMS
 from visitlens.sources.fixtures import Tables
+from visitlens.sources.scratch import kept
 
 GOOD = DIMS.replace("FROM crops", "FROM crops WHERE quality >= 0.3")
 #: Prototypes of the visits of each source; a visit here is the crops of one night.
@@ -224,3 +225,61 @@ def m13_frozen(t: Tables) -> DataFrame:
 def a44_visit_frames(t: Tables) -> DataFrame:
     """Over all crops of a visit, embedded or not."""
     return t.crops.groupBy("source", "visit").agg(F.count(F.lit(1)).alias("frames"))
+
+
+#: A visit each forty minutes at each source; marks, freshness and the pool of the queue.
+QUEUE = PROTO + """, v AS (SELECT n.source, n.visit, TIMESTAMP '2024-01-01' + to_minutes(40 * n.visit) AS started_at, TIMESTAMP '2024-01-01' + to_minutes(40 * n.visit + n.crops) AS ended_at, n.crops AS n, n.visit % 7 = 0 AS multi FROM n),
+    marks AS (SELECT p.source, p.visit, (SELECT l.name FROM labels l WHERE l.source = p.source AND l.visit = p.visit) AS confirmed_as, CASE WHEN p.visit % 6 = 0 THEN 'n' || (p.visit % 4) END AS auto_as, p.visit % 15 = 0 AS rejected FROM protos p),
+    fresh AS (SELECT name, (SELECT max(visit) FROM v) - max(visit) AS days FROM templates GROUP BY name),
+    fresher AS (SELECT *, CASE WHEN days >= 4 THEN 'stale' ELSE 'fresh' END AS lapse FROM fresh),
+    pool AS (SELECT * FROM v WHERE started_at >= (SELECT max(started_at) FROM v) - INTERVAL 48 HOUR),
+    looks AS (SELECT source, visit, max(name) FILTER (rk = 1) AS name, max(s) AS s, max(s) - coalesce(max(s) FILTER (rk = 2), 0) AS lead,
+      string_agg(r.name || ':' || printf('%.4f', s) || ':' || f.lapse, ',' ORDER BY rk) FILTER (rk <= 3) AS candidates FROM ranked r JOIN fresher f USING (name) GROUP BY source, visit)"""
+
+
+def queue_inputs(t: Tables) -> dict[str, DataFrame]:
+    protos, labels, made = matcher(t)
+    protos = kept(protos, "queue-protos")
+    begin = F.lit("2024-01-01").cast("timestamp_ntz")
+    after = lambda minutes: F.timestamp_add("MINUTE", minutes.cast("int"), begin)
+    visits = protos.select("source", "visit", after(F.col("visit") * 40).alias("started_at"), after(F.col("visit") * 40 + F.col("crops")).alias("ended_at"), F.col("crops").alias("n"), (F.col("visit") % 7 == 0).alias("multi"))
+    kinds = [labels.select("source", "visit", F.lit("confirmed").alias("kind"), "name")]
+    kinds.append(protos.where("visit % 6 = 0").select("source", "visit", F.lit("auto").alias("kind"), F.concat(F.lit("n"), (F.col("visit") % 4).cast("string")).alias("name")))
+    kinds.append(protos.where("visit % 15 = 0").select("source", "visit", F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("name")))
+    newest = made.groupBy("name").agg(F.max("visit").alias("newest")).crossJoin(F.broadcast(protos.agg(F.max("visit").alias("last"))))
+    freshness = newest.select("name", (F.col("last") - F.col("newest")).alias("days")).withColumn("lapse", F.when(F.col("days") >= 4, "stale").otherwise("fresh"))
+    return {"visits": visits, "protos": protos, "template_rows": made, "marks": kinds[0].unionByName(kinds[1]).unionByName(kinds[2]), "freshness": freshness}
+
+
+@register(
+    QUEUE + """, near AS (SELECT *, lag(visit) OVER w AS a, lag(started_at) OVER w AS at_a, lead(visit) OVER w AS b, lead(started_at) OVER w AS at_b FROM pool WINDOW w AS (PARTITION BY source ORDER BY started_at, visit)),
+    side AS (SELECT n.source, n.visit, 0 AS o, n.a AS other, epoch(n.started_at) - epoch(n.at_a) AS gap FROM near n UNION ALL SELECT n.source, n.visit, 1, n.b, epoch(n.at_b) - epoch(n.started_at) FROM near n),
+    told AS (SELECT s.source, s.visit, arg_min(l.name || ':' || s.other || ':' || CAST(s.gap AS BIGINT) || ':' || CASE WHEN o = 0 THEN 'after' ELSE 'before' END, (gap, o)) AS context
+      FROM side s JOIN labels l ON l.source = s.source AND l.visit = s.other WHERE s.gap <= 3600 GROUP BY s.source, s.visit)
+    SELECT p.source, p.visit, p.started_at, (epoch(p.ended_at) - epoch(p.started_at))::DOUBLE AS dwell_s, p.n, p.multi, m.confirmed_as, m.auto_as, m.rejected, coalesce(l.candidates, '') AS candidates, coalesce(l.s < 0.2, FALSE) AS novel,
+      p.source NOT IN (SELECT source FROM templates) AS cross_source, CASE WHEN m.confirmed_as IS NULL THEN t.context END AS context
+    FROM pool p JOIN marks m ON m.source = p.source AND m.visit = p.visit LEFT JOIN looks l ON l.source = p.source AND l.visit = p.visit LEFT JOIN told t ON t.source = p.source AND t.visit = p.visit
+    ORDER BY p.started_at DESC, p.source, p.visit LIMIT 40""",
+    "crops",
+)
+def a31_identity_queue(t: Tables) -> DataFrame:
+    """The first forty visits of the last two days with what is known of each."""
+    page = review.review_queue(**queue_inputs(t), limit=40, novelty=0.2)
+    offered = F.transform("candidates", lambda c: F.concat_ws(":", c["name"], F.format_string("%.4f", c["similarity"]), c["lapse"]))
+    context = F.when(F.col("context").isNotNull(), F.concat_ws(":", "context.name", F.col("context.visit").cast("string"), F.col("context.gap_s").cast("string"), "context.direction"))
+    return page.withColumn("candidates", F.coalesce(F.array_join(offered, ","), F.lit(""))).withColumn("context", context)
+
+
+@register(
+    QUEUE + """, q AS (SELECT p.source, p.visit, p.multi, m.*, l.name, l.s, l.lead, f.days FROM v p JOIN marks m ON m.source = p.source AND m.visit = p.visit LEFT JOIN looks l ON l.source = p.source AND l.visit = p.visit LEFT JOIN fresh f ON f.name = l.name)
+    SELECT 'unreviewed_auto' AS mode, source, visit FROM q WHERE auto_as IS NOT NULL AND confirmed_as IS NULL AND NOT rejected
+    UNION ALL SELECT 'ambiguous', source, visit FROM q WHERE confirmed_as IS NULL AND NOT rejected AND NOT multi AND s >= 0.1 AND lead < 0.1
+    UNION ALL SELECT 'stale', source, visit FROM q WHERE confirmed_as IS NULL AND NOT rejected AND NOT multi AND s >= 0.1 AND days >= 2""".replace("m.*", "m.confirmed_as, m.auto_as, m.rejected"),
+    "crops",
+)
+def p18_queue_modes(t: Tables) -> DataFrame:
+    """What each mode of the queue shows, over all visits."""
+    given = queue_inputs(t)
+    n = given["visits"].count()
+    of = lambda m: review.review_queue(**given, mode=m, since_h=0, limit=max(1, n), novelty=0.1, clears=0.1, margin=0.1, stale_days=2).select(F.lit(m).alias("mode"), "source", "visit")
+    return of("unreviewed_auto").unionByName(of("ambiguous")).unionByName(of("stale"))

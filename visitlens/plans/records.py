@@ -150,12 +150,6 @@ def p13_sightings_decoded(t: Tables) -> DataFrame:
     return t.read("conversations").select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("user")).alias("who"), F.size(columns.json_names(text)).cast("long").alias("names"))
 
 
-@register("SELECT source, started_at, CASE WHEN n = 1 THEN 'stale' WHEN max_confidence < 0.5 THEN 'ambiguous' ELSE 'recent' END AS mode FROM visits", *VISITS)
-def p18_queue_modes(t: Tables) -> DataFrame:
-    mode = F.when(F.col("n") == 1, "stale").when(F.col("max_confidence") < 0.5, "ambiguous").otherwise("recent")
-    return t.visits.select("source", "started_at", mode.alias("mode"))
-
-
 @register("SELECT count(*) FILTER (source LIKE 'ref:%') AS found FROM documents")
 def p21_reference_sources(t: Tables) -> DataFrame:
     """No detection may come from a reference source."""
@@ -356,14 +350,6 @@ def a37_clip_species(t: Tables) -> DataFrame:
     return n.groupBy("clip_id").agg(F.min_by("species", F.struct((-F.col("n")).alias("less"), "species")).alias("species"))
 
 
-@register("SELECT source, started_at, n FROM visits WHERE started_at >= (SELECT max(started_at) FROM visits) - INTERVAL 72 HOUR ORDER BY started_at DESC, source LIMIT 60", *VISITS)
-def a31_identity_queue(t: Tables) -> DataFrame:
-    """The newest visits, counted back from the newest data rather than from the clock."""
-    newest = t.visits.agg(F.max("started_at").alias("newest"))
-    recent = t.visits.crossJoin(F.broadcast(newest)).where(micros("newest") - micros("started_at") <= 72 * 3_600_000_000)
-    return recent.orderBy(F.desc("started_at"), "source").limit(60).select("source", "started_at", "n")
-
-
 @register("SELECT frame, max(n) OVER () >= 2 AS several, n FROM (SELECT frame, count(*) AS n FROM boxes GROUP BY frame)", "boxes")
 def a48_video_scope(t: Tables) -> DataFrame:
     n = t.boxes.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
