@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.operators.intervals import overlap_join
 from visitlens.operators.order import numbered
 
 
@@ -85,3 +86,47 @@ def with_reference(rows: DataFrame, references: DataFrame) -> DataFrame:
     """``rows`` with what ``references`` (ref_id and more) says of the one they name; nulls where there is none. References
     are retired but never deleted, so old rows find theirs."""
     return rows.join(references, "ref_id", "left")
+
+
+def apply_visit_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` after what people said of whole visits.
+
+    ``rows``: id, visit, species, species_confidence, species_source, verified, individual, individual_source, labelled_at, labeled_by,
+    model_species; ``labels``, one a visit: visit, species (corrects every row, and keeps what the model had said), verify (confirms what
+    is there, where no species is given), sets_name and name (null clears), at, by. A name goes to the rows of the visit's commonest
+    species after the correction (of equal ones the first by name), to all rows where none has a species; the others keep theirs.
+    """
+    joined = rows.join(labels.select("visit", F.col("species").alias("__species"), "verify", "sets_name", F.col("name").alias("__name"), "at", "by"), "visit", "left")
+    given = F.col("__species").isNotNull() & (F.col("__species") != "")
+    fixed = joined.withColumn("model_species", F.when(given, F.coalesce("model_species", "species")).otherwise(F.col("model_species")))
+    fixed = fixed.withColumn("species", F.when(given, F.col("__species")).otherwise(F.col("species")))
+    fixed = fixed.withColumn("species_confidence", F.when(given, 1.0).otherwise(F.col("species_confidence"))).withColumn("species_source", F.when(given, "human").otherwise(F.col("species_source")))
+    fixed = fixed.withColumn("verified", F.when(given | F.coalesce("verify", F.lit(False)), 1).otherwise(F.col("verified")))
+    counts = fixed.where("sets_name and species is not null").groupBy("visit", F.col("species").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("visit").agg(F.min_by("s", F.struct((-F.col("n")).alias("less"), "s")).alias("__main"))
+    named = fixed.join(main, "visit", "left")
+    hit = F.coalesce("sets_name", F.lit(False)) & (F.col("__main").isNull() | F.coalesce(F.col("species") == F.col("__main"), F.lit(False)))
+    put = lambda c, value: F.when(hit, value).otherwise(F.col(c)).alias(c)
+    values = {"individual": F.col("__name"), "individual_source": F.when(F.col("__name").isNotNull(), "human"), "labelled_at": F.col("at"), "labeled_by": F.col("by")}
+    return named.select(*(put(c, values[c]) if c in values else F.col(c) for c in rows.columns))
+
+
+def labels_of_spans(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, label) of the rows that lie in labelled spans of time: ``spans``: source, a0, a1, label; ``rows``: source, id, ts. Both ends count."""
+    points = rows.select("source", "id", F.col("ts").alias("b0"), F.col("ts").alias("b1"))
+    return overlap_join(spans, points).select("id", "label")
+
+
+def video_hashes(references: DataFrame) -> DataFrame:
+    """(sha, individual, frames): videos that were scanned before, with the first name and how many frames are certified; none without a hash."""
+    known = references.where("sha is not null").groupBy("sha")
+    return known.agg(F.min("individual").alias("individual"), F.count(F.lit(1)).alias("frames"))
+
+
+def set_tracks(tracks: DataFrame, names: DataFrame) -> DataFrame:
+    """``tracks`` (track, individual, individual_source) with the names that people gave (``names``: track, name; null clears), marked as theirs."""
+    given = tracks.join(names.withColumn("__told", F.lit(True)), "track", "left")
+    told = F.coalesce("__told", F.lit(False))
+    return given.withColumn("individual", F.when(told, F.col("name")).otherwise(F.col("individual"))).withColumn(
+        "individual_source", F.when(told, F.when(F.col("name").isNotNull(), "human")).otherwise(F.col("individual_source"))
+    ).drop("name", "__told")

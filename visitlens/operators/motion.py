@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitlens.functions.columns import upper_median
+
 #: Speed (frame widths a second) above which a step counts as moving.
 MOVING = 0.04
 
@@ -37,3 +39,20 @@ def area_trend(points: DataFrame) -> DataFrame:
     rows = points.withColumn("n", n).withColumn("up", up).withColumn("down", down).withColumn("area", F.col("w") * F.col("h"))
     ends = rows.groupBy("track").agg(F.avg(F.when(F.col("up") <= k, F.col("area"))).alias("a"), F.avg(F.when(F.col("down") <= k, F.col("area"))).alias("b"))
     return ends.select("track", F.when(F.col("a") > 0, F.col("b") / F.col("a")).alias("trend"))
+
+
+def report(tracks: DataFrame) -> DataFrame:
+    """Motion by who it was: tracks, upper-middle speed, straightness, share of time moving and stride (0 where none has one), and how many have a stride.
+
+    ``tracks``: who (null: nobody confirmed), avg_speed, straightness, moving_frac, stride_hz.
+    """
+    middle = lambda c: F.coalesce(upper_median(c), F.lit(0.0)).alias(c)
+    named = tracks.withColumn("who", F.coalesce("who", F.lit("(unconfirmed)")))
+    return named.groupBy("who").agg(F.count(F.lit(1)).alias("tracks"), *(middle(c) for c in ("avg_speed", "straightness", "moving_frac", "stride_hz")), F.count("stride_hz").alias("gaits"))
+
+
+def pair_clips(tracks: DataFrame, *, sustained: int = 12) -> DataFrame:
+    """(clip_id, tracks, raw): clips in which two tracks or more are long enough to be animals of their own; dropouts cut one
+    animal's track into stubs, which don't count. ``tracks``: clip_id, n_hits."""
+    n = tracks.groupBy("clip_id").agg(F.count_if(F.col("n_hits") >= sustained).alias("tracks"), F.count(F.lit(1)).alias("raw"))
+    return n.where("tracks >= 2")

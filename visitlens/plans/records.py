@@ -25,11 +25,6 @@ def s17_video_keys(t: Tables) -> DataFrame:
     return t.clips.select(F.concat_ws("|", F.col("source").cast("string"), F.date_format("end_at", "yyyyMMddHHmmss")).alias("key")).distinct()
 
 
-@register("SELECT source, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY source")
-def s22_video_hashes(t: Tables) -> DataFrame:
-    return t.read("documents").groupBy("source").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-
-
 @register("SELECT d.id, d.k AS ref_id, c.name, c.vec_id % 2 = 0 AS retired FROM detections d LEFT JOIN crops c ON c.vec_id = d.k WHERE d.species = 'view'", *DET, "crops")
 def s30_reference_by_id(t: Tables) -> DataFrame:
     """The reference that each suppressed row names, retired or not."""
@@ -180,13 +175,6 @@ def p24_orphan_frames(t: Tables) -> DataFrame:
 # Label writes
 
 
-@register("SELECT s.id, CASE WHEN s.k >= 50 THEN 'named' ELSE s.species END AS species FROM stamped s WHERE s.ts BETWEEN TIMESTAMP '2024-01-06 00:00:00' AND TIMESTAMP '2024-01-09 00:00:00'", *STAMPED)
-def l5_apply_visit_label(t: Tables) -> DataFrame:
-    """A label for a span of time: the day bounds the scan, exact instants decide."""
-    rows = t.stamped.where("ts between timestamp_ntz'2024-01-06 00:00:00' and timestamp_ntz'2024-01-09 00:00:00'")
-    return rows.select("id", F.when(F.col("k") >= 50, "named").otherwise(F.col("species")).alias("species"))
-
-
 @register("SELECT id, CASE WHEN id IN (SELECT k FROM detections WHERE species = 'purchase') THEN 'bulk' ELSE individual END AS individual FROM detections", *DET)
 def l7_bulk_individual(t: Tables) -> DataFrame:
     named = t.detections.where("species = 'purchase'").select(F.col("k").alias("id"), F.lit("bulk").alias("bulk")).distinct()
@@ -224,11 +212,6 @@ def l17_set_or_clear(t: Tables) -> DataFrame:
     return t.detections.select("id", F.when(~cleared, F.col("individual")).alias("individual"), F.when(~cleared, F.col("ts")).alias("labelled_at"))
 
 
-@register("SELECT clip_id, CASE WHEN detections >= 2 THEN 'several' ELSE 'single' END AS individual FROM clips", *CLIPS)
-def l22_track_identity(t: Tables) -> DataFrame:
-    return t.clips.select("clip_id", F.when(F.col("detections") >= 2, "several").otherwise("single").alias("individual"))
-
-
 @register("SELECT c.clip_id, count(d.id) AS boxes, max(d.confidence) AS max_conf FROM clips c JOIN detections d ON d.source = c.source AND d.ts BETWEEN c.start_at AND c.end_at GROUP BY c.clip_id", *CLIPS)
 def l33_scan_backfill(t: Tables) -> DataFrame:
     """Boxes and best confidence of each clip, recomputed from what lies inside it."""
@@ -350,12 +333,6 @@ def a37_clip_species(t: Tables) -> DataFrame:
     return n.groupBy("clip_id").agg(F.min_by("species", F.struct((-F.col("n")).alias("less"), "species")).alias("species"))
 
 
-@register("SELECT frame, max(n) OVER () >= 2 AS several, n FROM (SELECT frame, count(*) AS n FROM boxes GROUP BY frame)", "boxes")
-def a48_video_scope(t: Tables) -> DataFrame:
-    n = t.boxes.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(n.agg((F.max("n") >= 2).alias("several")))).select("frame", "several", "n")
-
-
 @register("SELECT id FROM detections ORDER BY confidence DESC, id LIMIT 12", *DET)
 def a50_plate_shortlist(t: Tables) -> DataFrame:
     return t.detections.orderBy(F.desc("confidence"), "id").limit(12).select("id")

@@ -145,27 +145,6 @@ def m8_visit_traits(t: Tables) -> DataFrame:
     return t.crops.groupBy("visit").agg(F.round(F.expr("percentile(quality, 0.5)"), 6).alias("trait"), F.count(F.lit(1)).alias("n")).where("n >= 3")
 
 
-@register("SELECT id, CASE WHEN k < 10 THEN 'ABSTAIN' WHEN confidence >= 0.8 THEN 'KEEP' WHEN k >= 90 THEN 'KEEP' WHEN species = 'error' THEN 'SUPPRESS' ELSE 'KEEP' END AS decision, CASE WHEN k < 10 THEN 'no reference' WHEN confidence >= 0.8 THEN 'sure' WHEN k >= 90 THEN 'moving' WHEN species = 'error' THEN 'like the background' ELSE 'unlike the background' END AS reason FROM detections", *DET)
-def m6_veto(t: Tables) -> DataFrame:
-    """Ordered gates; the first that applies decides."""
-    gates = [(F.col("k") < 10, "ABSTAIN", "no reference"), (F.col("confidence") >= 0.8, "KEEP", "sure"), (F.col("k") >= 90, "KEEP", "moving"), (F.col("species") == "error", "SUPPRESS", "like the background")]
-    decision, reason = F.lit("KEEP"), F.lit("unlike the background")
-    for test, d, r in reversed(gates):
-        decision, reason = F.when(test, d).otherwise(decision), F.when(test, r).otherwise(reason)
-    return t.detections.select("id", decision.alias("decision"), reason.alias("reason"))
-
-
-@register("SELECT source, species, count(*) AS frames, list_sort(list(confidence))[count(*) // 2 + 1] <= 0.55 AS still FROM detections GROUP BY source, species HAVING count(*) >= 8", *DET)
-def m5_furniture(t: Tables) -> DataFrame:
-    g = t.detections.groupBy("source", "species").agg(F.count(F.lit(1)).alias("frames"), columns.upper_median("confidence").alias("mid"))
-    return g.where("frames >= 8").select("source", "species", "frames", (F.col("mid") <= 0.55).alias("still"))
-
-
-@register("SELECT individual, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median FROM detections WHERE species = 'view' GROUP BY individual", *DET)
-def m3_motion_report(t: Tables) -> DataFrame:
-    return t.detections.where("species = 'view'").groupBy("individual").agg(F.count(F.lit(1)).alias("n"), columns.upper_median("value").alias("median"))
-
-
 # Evaluation
 
 
@@ -259,11 +238,6 @@ def e28_threshold_sweep(t: Tables) -> DataFrame:
     return cuts.groupBy("y_true", "cut").agg(F.count_if(kept).alias("kept"), F.count_if(kept & (F.col("correct") == 0)).alias("wrong"))
 
 
-@register("SELECT max(event_id) AS newest, count(*) AS reports FROM events WHERE event_type = 'purchase'")
-def e30_latest_artifact(t: Tables) -> DataFrame:
-    return t.read("events").where("event_type = 'purchase'").agg(F.max("event_id").alias("newest"), F.count(F.lit(1)).alias("reports"))
-
-
 @register("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.missing') AS BIGINT), try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS headline FROM events")
 def e27_headline(t: Tables) -> DataFrame:
     """The first of several paths that holds a number."""
