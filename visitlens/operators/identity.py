@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.columns import is_group_label
-from visitlens.operators.geometry import cluster_alike, cluster_cosine, still_tracklets
+from visitlens.operators.geometry import cluster_alike, cluster_cosine, linkage, still_tracklets
 from visitlens.operators.profiles import top_per_group
 from visitlens.operators.vectors import best_two, centroids, dot, mean_pairwise, prototypes, rank_against
 from visitlens.sources.scratch import kept
@@ -247,3 +247,27 @@ def pose_groups(crops: DataFrame, *, distance: float = 0.35, most: int = 400, le
         return pd.DataFrame([(pdf["name"].iloc[0], i, -g[0], *g[2:]) for i, g in enumerate(out)], columns=["name", "pose", "n", "cohesion", "reps", "first", "last"])
 
     return clear.select("name", "id", "rank", "at", "embedding").groupBy("name").applyInPandas(each, f"name {kind}, pose long, n long, cohesion double, reps array<long>, first {at_kind}, last {at_kind}")
+
+
+def template_pool(visits: DataFrame, template_rows: DataFrame) -> DataFrame:
+    """(source, visit, pool, names): how many templates a visit may be ranked against, and of how many names: those of its own source only."""
+    pools = template_rows.groupBy("source").agg(F.count(F.lit(1)).alias("pool"), F.count_distinct("name").alias("names"))
+    return visits.join(pools, "source", "left").select("source", "visit", F.coalesce("pool", F.lit(0)).cast("long").alias("pool"), F.coalesce("names", F.lit(0)).cast("long").alias("names"))
+
+
+def fold_centroids(tracklets: DataFrame, source: object = None) -> DataFrame:
+    """(name, tracklets, embedding): the unit mean of each name's tracklets (source, name, embedding), of one source where one is given."""
+    rows = tracklets if source is None else tracklets.where(F.col("source") == F.lit(source))
+    return centroids(rows, ["name"]).join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("tracklets")), "name").select("name", "tracklets", "embedding")
+
+
+def unblend_clips(tracklets: DataFrame, *, distance: float = 0.45) -> DataFrame:
+    """(visit, cluster, n): the tracklets of each visit's clips (visit, id, embedding: unit vectors) by looks, the largest group first.
+
+    Visits of one tracklet have no rows. Groups of equal size go by their first tracklet.
+    """
+    several = tracklets.groupBy("visit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("visit")
+    parts = linkage(tracklets.join(several, "visit", "left_semi"), ["visit"], cut=distance)
+    sizes = parts.groupBy("visit", "cluster").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    ranked = sizes.groupBy("visit").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first", "n"))).alias("g"))
+    return ranked.select("visit", F.posexplode("g").alias("cluster", "x")).select("visit", F.col("cluster").cast("long").alias("cluster"), "x.n")

@@ -130,3 +130,18 @@ def set_tracks(tracks: DataFrame, names: DataFrame) -> DataFrame:
     return given.withColumn("individual", F.when(told, F.col("name")).otherwise(F.col("individual"))).withColumn(
         "individual_source", F.when(told, F.when(F.col("name").isNotNull(), "human")).otherwise(F.col("individual_source"))
     ).drop("name", "__told")
+
+
+def stamped(rows: DataFrame, events: DataFrame, keys: list[str], at: str, value: list[str]) -> DataFrame:
+    """``rows`` with the values and the time of each key's newest event; nulls where there was none."""
+    newest = events.groupBy(*keys).agg(F.max_by(F.struct(at, *value), at).alias("x")).select(*keys, "x.*")
+    return rows.join(newest, keys, "left")
+
+
+def valid_references(rows: DataFrame, *, lights: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(saved, refused) of reference pictures: the light must be one of ``lights`` (without regard to case and blanks), as a typo would
+    never be found again, and source and provenance must be told."""
+    light = F.lower(F.trim(F.coalesce("illumination", F.lit(""))))
+    told = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    good = light.isin(lights) & told("source") & told("provenance")
+    return rows.where(good).withColumn("illumination", light), rows.where(~good)

@@ -37,12 +37,13 @@ def prototypes(rows: DataFrame, keys: list[str], *, top_k: int = 40, quality: st
     return centroids(rows.withColumn("__rank", rank).where(F.col("__rank") <= top_k), keys)
 
 
-def rank_against(probes: DataFrame, templates: DataFrame, on: list[str] | None = None) -> DataFrame:
+def rank_against(probes: DataFrame, templates: DataFrame, on: list[str] | None = None, *, most: int = 10_000) -> DataFrame:
     """Each probe (probe, embedding) with its similarity to each template (name, embedding) of the same keys.
 
-    Templates are reference individuals, of a bounded number; a table larger than Spark's broadcast threshold is joined
-    by its keys.
+    Without keys, templates are reference individuals: a row for each, ``most`` at most, else it raises.
     """
+    if not on and templates.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} templates need keys to be ranked by")
     t = templates.withColumnRenamed("embedding", "__t")
     pairs = probes.join(t, on) if on else probes.crossJoin(t)
     return pairs.withColumn("similarity", dot("embedding", "__t")).drop("embedding", "__t")
@@ -64,16 +65,17 @@ def mean_pairwise(rows: DataFrame, keys: list[str], vector: str = "embedding") -
     return folded.select(*keys, n, F.when(n < 2, 0.0).otherwise((F.col("square") - n) / (n * (n - 1))).alias("cohesion"))
 
 
-def principal_plane(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Projection of the centred vectors on their two main axes; each axis points to its largest loading."""
+def principal_plane(rows: DataFrame, vector: str = "embedding", fit: DataFrame | None = None) -> DataFrame:
+    """Projection of the centred vectors on the two main axes of ``fit`` (their own unless given); each axis points to its largest loading."""
+    fit = rows if fit is None else fit
     import numpy as np
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    model = PCA(k=2, inputCol="__v", outputCol="__p").fit(rows.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("__v")))
+    model = PCA(k=2, inputCol="__v", outputCol="__p").fit(fit.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("__v")))
     axes = model.pc.toArray()
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
-    mean = mean_vectors(rows.select(F.lit(1).alias("all"), vector), ["all"]).select(F.col(vector).alias("__m"))
+    mean = mean_vectors(fit.select(F.lit(1).alias("all"), vector), ["all"]).select(F.col(vector).alias("__m"))
     centred = rows.crossJoin(F.broadcast(mean)).withColumn("__c", F.zip_with(vector, "__m", lambda a, b: a.cast("double") - b))
     x, y = (dot("__c", F.array(*(F.lit(float(v)) for v in axes[:, i]))) for i in (0, 1))
     return centred.withColumn("x", x).withColumn("y", y).drop("__c", "__m")

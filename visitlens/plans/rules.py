@@ -41,14 +41,14 @@ def m6_veto(t: Tables) -> DataFrame:
 
 @register(
     """WITH p AS (SELECT l_suppkey AS place, count(*) AS n, median(1 + l_discount * 5) AS motion FROM lineitem GROUP BY l_suppkey), s AS (SELECT count(DISTINCT l_orderkey) AS sampled FROM lineitem)
-    SELECT place, n, n >= 8 AND n >= 0.001 * sampled AND motion <= 1.25 AS furniture FROM p, s"""
+    SELECT place, n, n >= 8 AND n >= 0.001 * sampled AND motion <= 1.24 AS furniture FROM p, s"""
 )
 def m5_furniture(t: Tables) -> DataFrame:
     """Places by how often they were seen and how little moved there."""
     rows = t.read("lineitem").select(F.col("l_suppkey").alias("place"), (1 + F.col("l_discount") * 5).alias("motion"), F.col("l_orderkey").alias("frame"))
     seen = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(motion, 0.5)").alias("motion"))
     sampled = F.broadcast(rows.agg(F.count_distinct("frame").alias("sampled")))  # one row
-    return seen.crossJoin(sampled).select("place", "n", places.is_furniture("n", "sampled", "motion", motion_max=1.25, min_share=0.001).alias("furniture"))
+    return seen.crossJoin(sampled).select("place", "n", places.is_furniture("n", "sampled", "motion", motion_max=1.24, min_share=0.001).alias("furniture"))
 
 
 TRACKS = """tracks AS (SELECT source AS clip_id, species AS track, max(CASE WHEN k >= 90 THEN individual END) AS who, count(*) AS n_hits, avg(value) / 100 AS avg_speed, avg(confidence) AS straightness, avg(k) / 100 AS moving_frac,
