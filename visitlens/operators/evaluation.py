@@ -173,14 +173,17 @@ def forward_replay(units: DataFrame, *, threshold: float, margin: float, horizon
 
     ``units``: source, key, at_s, truth, by_human, embedding. A visit named by a person is a template from then on; one
     named by the machine too, a step deeper than the template it came from. Whether a visit gets a name depends on all
-    earlier decisions of its source, so a source is one group; its templates are one running mean vector per name and
-    depth, so memory grows with its names only.
+    earlier decisions of its source, so a source is walked by one task, batch by batch; its templates are one running
+    mean vector for each name, so memory grows with its names only. Rows without a source or a time are left out.
     """
-    def replay(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, list] = {}
+
+    def replay(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, sums = None, {}
         for pdf in rows:
             out = []
-            for r in pdf.sort_values(["at_s", "key"]).itertuples():
+            for r in pdf.itertuples():
+                if r.source != source:
+                    source, sums = r.source, {}
                 v = np.asarray(r.embedding, float)
                 live = [(float(s[0] @ v / np.linalg.norm(s[0])), n, s[1]) for n, s in sorted(sums.items()) if horizon_days is None or r.at_s - s[2] <= horizon_days * 86400]
                 live.sort(key=lambda x: (-x[0], x[1]))
@@ -193,8 +196,9 @@ def forward_replay(units: DataFrame, *, threshold: float, margin: float, horizon
                 out.append((r.source, r.key, named, depth, named is not None and named != r.truth))
             yield pd.DataFrame(out, columns=["source", "key", "named", "depth", "wrong"])
 
-    whole = lambda key, pdf: next(replay(key, iter([pdf])))
-    return units.groupBy("source").applyInPandas(whole, "source long, key long, named string, depth double, wrong boolean")
+    wanted = units.where("source is not null and at_s is not null").select("source", "key", "at_s", "truth", "by_human", "embedding")
+    ordered = wanted.repartition("source").sortWithinPartitions("source", "at_s", "key")
+    return ordered.mapInPandas(replay, "source long, key long, named string, depth double, wrong boolean")
 
 
 def fold_table(n: int, k: int, repeats: int, seed: int) -> list[tuple[int, int, int]]:

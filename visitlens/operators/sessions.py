@@ -37,13 +37,18 @@ def flag_gaps(rows: DataFrame, gap_s: float, *, key: str = "source", ts: str = "
 
 
 def with_previous(rows: DataFrame, value: str, *, key: str = "source", ts: str = "ts", order: str = "id") -> DataFrame:
-    """``rows`` with ``before``: ``value`` in the key's row before. Days are ordered apart; a row a day carries its last value over."""
+    """``rows`` with ``before``: ``value`` in the key's row before. Days are ordered apart; a row a day carries its last value over.
+
+    Rows without a key are a key of their own; rows without a time come first, as one more day.
+    """
     rows = rows.withColumn("__day", F.floor(micros(ts) / DAY_US))
     last = rows.groupBy(key, "__day").agg(F.max_by(value, F.struct(ts, order)).alias("last"))
     days = _carried(last, key, "__day").select(key, "__day", F.col("before").alias("__carried"))
     inside = Window.partitionBy(key, "__day").orderBy(ts, order)
     before = F.when(F.row_number().over(inside) == 1, F.col("__carried")).otherwise(F.lag(value).over(inside))
-    return rows.join(days, [key, "__day"]).withColumn("before", before).drop("__day", "__carried")
+    days = days.select(F.col(key).alias("__k"), F.col("__day").alias("__d"), "__carried")
+    joined = rows.join(days, F.col(key).eqNullSafe(F.col("__k")) & F.col("__day").eqNullSafe(F.col("__d")))
+    return joined.withColumn("before", before).drop("__day", "__carried", "__k", "__d")
 
 
 def stamp_visits(rows: DataFrame, gap_s: float, *, key: str = "source", ts: str = "ts", order: str = "id", closed: bool = False) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from visitlens.functions.columns import micros
-from visitlens.operators import evaluation, vectors
+from visitlens.operators import evaluation, sessions, vectors
 from visitlens.plans.registry import DET, register
 from visitlens.plans.vectors import DIMS, unit_sql
 from visitlens.sources.fixtures import Tables
@@ -210,8 +209,9 @@ def e17_identity_report(t: Tables) -> DataFrame:
     *DET,
 )
 def e15_adjacency(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("ts", "id")
-    n = t.detections.select("individual", F.lag("individual").over(w).alias("before"), (micros("ts") - F.lag(micros("ts")).over(w)).alias("gap"))
+    """How often the detection before, at most a day ago, was of the same animal; a busy source is ordered day by day."""
+    rows = t.detections.select("source", "ts", "id", "individual", F.struct("individual", micros("ts").alias("us")).alias("seen"))
+    n = sessions.with_previous(rows, "seen").select("individual", F.col("before.individual").alias("before"), (micros("ts") - F.col("before.us")).alias("gap"))
     near = F.col("gap") <= 86_400_000_000
     return n.agg(F.count_if(near).alias("near"), F.count_if(near & (F.col("individual") == F.col("before"))).alias("right_ones"))
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from visitlens.functions.columns import micros
-from visitlens.operators import intervals
+from visitlens.operators import intervals, sessions
 from visitlens.plans.registry import CLIPS, DET, VISITS, register
 from visitlens.sources.fixtures import Tables
 
@@ -126,9 +125,10 @@ def j16_cross_camera(t: Tables) -> DataFrame:
     *VISITS,
 )
 def j17_nearest_neighbour(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("started_at")
-    near = micros("started_at") - F.lag(micros("ended_at")).over(w) <= 8 * 3600 * 1_000_000
-    return t.visits.select("source", "started_at", F.when(near, F.lag("n").over(w)).alias("neighbour_n"))
+    rows = t.visits.select("source", "started_at", F.struct("n", micros("ended_at").alias("us")).alias("seen"))
+    found = sessions.with_previous(rows, "seen", ts="started_at", order="started_at")
+    near = micros("started_at") - F.col("before.us") <= 8 * 3600 * 1_000_000
+    return found.select("source", "started_at", F.when(near, F.col("before.n")).alias("neighbour_n"))
 
 
 @register(
