@@ -145,3 +145,61 @@ def valid_references(rows: DataFrame, *, lights: list[str]) -> tuple[DataFrame,
     told = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
     good = light.isin(lights) & told("source") & told("provenance")
     return rows.where(good).withColumn("illumination", light), rows.where(~good)
+
+
+def newest(events: DataFrame, n: int, *, at: str, order: str, where: Column | None = None) -> DataFrame:
+    """The newest ``n`` of ``events`` (of those for which ``where`` holds); a task hands on its own newest only. The page is the feature."""
+    rows = events if where is None else events.where(where)
+    return rows.orderBy(F.desc(at), F.desc(order)).limit(n)
+
+
+def live(rows: DataFrame, *, also: Column | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Rows without a tombstone (``deleted_at``), without columns that nobody may see."""
+    kept = rows.where(F.col("deleted_at").isNull() if also is None else F.col("deleted_at").isNull() & also)
+    return kept.drop(*hidden)
+
+
+def bury(rows: DataFrame, ids: DataFrame, at: Column | str) -> DataFrame:
+    """``rows`` with a tombstone on those of ``ids`` (id) that have none yet; nothing is deleted, and an earlier tombstone stays."""
+    marked = rows.join(ids.select("id").distinct().withColumn("__gone", F.lit(True)), "id", "left")
+    when = F.col(at) if isinstance(at, str) else at
+    return marked.withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("__gone"), when))).drop("__gone")
+
+
+def set_names(rows: DataFrame, given: DataFrame) -> DataFrame:
+    """``rows`` (id, individual, individual_source, labelled_at) with what people said of single ones (``given``: id, name, at); null
+    clears the name and who gave it, and keeps when."""
+    told = rows.join(given.select("id", "name", F.col("at").alias("__at"), F.lit(True).alias("__told")), "id", "left")
+    hit = F.coalesce("__told", F.lit(False))
+    named = told.withColumn("individual", F.when(hit, F.col("name")).otherwise(F.col("individual")))
+    named = named.withColumn("individual_source", F.when(hit, F.when(F.col("name").isNotNull(), "human")).otherwise(F.col("individual_source")))
+    return named.withColumn("labelled_at", F.when(hit, F.col("__at")).otherwise(F.col("labelled_at"))).drop("name", "__at", "__told")
+
+
+#: The columns that say by what a row is suppressed.
+SUPPRESSION = ["suppressed_at", "suppressed_by", "suppress_ref_id", "suppress_detail"]
+
+
+def clear_suppression(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with all columns of the suppression empty on those of ``ids`` (id)."""
+    freed = rows.join(ids.select("id").distinct().withColumn("__free", F.lit(True)), "id", "left")
+    return freed.withColumns({c: F.when(F.col("__free").isNull(), F.col(c)) for c in SUPPRESSION}).drop("__free")
+
+
+def suppressed(rows: DataFrame, *, by: str, now: Column, days: float = 7, detail: str = "decision string, reason string") -> DataFrame:
+    """What the mechanism ``by`` suppressed in the last ``days``, with its decision read from ``suppress_detail`` (null where it can't be)."""
+    recent = F.timestamp_diff("MICROSECOND", F.col("suppressed_at"), now) <= int(days * 86400e6)
+    return rows.where((F.col("suppressed_by") == by) & recent).withColumn("decision", F.from_json("suppress_detail", detail))
+
+
+#: The prefix of sources that only hold reference pictures.
+REFERENCE = "ref:"
+
+
+def is_reference_source(source: Column | str) -> Column:
+    return F.coalesce(F.startswith(F.col(source) if isinstance(source, str) else source, F.lit(REFERENCE)), F.lit(False))
+
+
+def orphans(frames: DataFrame, rows: DataFrame, *, on: str = "frame_path") -> DataFrame:
+    """Written frames that no row refers to any more; a frame is safe as long as one row of any source has it."""
+    return frames.join(rows.where(F.col(on).isNotNull()).select(on).distinct(), on, "left_anti")

@@ -32,11 +32,6 @@ def s30_reference_by_id(t: Tables) -> DataFrame:
     return ledger.with_reference(t.detections.where("species = 'view'").select("id", F.col("k").alias("ref_id")), references)
 
 
-@register("SELECT source, max(ts) AS started_at FROM detections WHERE species = 'signup' GROUP BY source", *DET)
-def s32_epoch_start(t: Tables) -> DataFrame:
-    return t.detections.where("species = 'signup'").groupBy("source").agg(F.max("ts").alias("started_at"))
-
-
 @register("SELECT individual AS name, arg_max(species, (ts, id)) AS status FROM detections GROUP BY individual", *DET)
 def s33_statuses(t: Tables) -> DataFrame:
     return ledger.latest(t.detections.select(F.col("individual").alias("name"), F.col("species").alias("status"), "ts", "id"), ["name"], "ts", ["status"], "id")
@@ -54,33 +49,11 @@ def s35_life_events(t: Tables) -> DataFrame:
     return rows.orderBy(F.desc(F.coalesce("dated", "ts")), F.desc("id")).drop("ts")
 
 
-@register("SELECT id, species FROM detections WHERE species IN ('purchase', 'click') ORDER BY id DESC LIMIT 40", *DET)
-def s36_favourites(t: Tables) -> DataFrame:
-    return t.detections.where("species in ('purchase', 'click')").orderBy(F.desc("id")).limit(40).select("id", "species")
-
-
 @register("SELECT DISTINCT source, started_at FROM stamped WHERE species = 'purchase'", *STAMPED)
 def s37_favourite_keys(t: Tables) -> DataFrame:
     return t.stamped.where("species = 'purchase'").select("source", "started_at").distinct()
 
 
-@register("SELECT id, source FROM detections WHERE species = 'signup' ORDER BY ts DESC, id DESC LIMIT 30", *DET)
-def s38_recent_sightings(t: Tables) -> DataFrame:
-    return t.detections.where("species = 'signup'").orderBy(F.desc("ts"), F.desc("id")).limit(30).select("id", "source")
-
-
-@register("SELECT id, source FROM detections WHERE species = 'click' AND k >= 10", *DET)
-def s39_live_zones(t: Tables) -> DataFrame:
-    """Rows without a tombstone."""
-    return t.detections.where("species = 'click'").withColumn("deleted_at", F.when(F.col("k") < 10, F.col("ts"))).where("deleted_at is null").select("id", "source")
-
-
-@register("SELECT source, max(ts) AS seen, bool_or(k >= 50) AS enabled FROM detections GROUP BY source HAVING bool_or(k >= 99)", *DET)
-def s40_cameras(t: Tables) -> DataFrame:
-    rows = t.detections.groupBy("source").agg(F.max("ts").alias("seen"), F.bool_or(F.col("k") >= 50).alias("enabled"), F.bool_or(F.col("k") >= 99).alias("on"))
-    return rows.where("on").drop("on")
-
-
 @register("SELECT species, id, rk AS rank FROM (SELECT species, id, row_number() OVER (PARTITION BY species ORDER BY confidence DESC, id) AS rk FROM detections WHERE k <> 13) WHERE rk <= 5", *DET)
 def s41_decoy_tray(t: Tables) -> DataFrame:
     return profiles.top_per_group(t.detections.where("k <> 13"), "species", 5, F.desc("confidence"), F.col("id")).select("species", "id", "rank")
@@ -103,11 +76,6 @@ def s46_quality_spread(t: Tables) -> DataFrame:
     return found.select("vec_id", "quality", "position", ((hour >= 20) | (hour < 6)).alias("night"))
 
 
-@register("SELECT d.id, d.value, c.name FROM detections d JOIN crops c ON d.id = c.vec_id WHERE d.k >= 50", *DET, "crops")
-def s47_gait_export(t: Tables) -> DataFrame:
-    return t.detections.where("k >= 50").join(t.crops.select(F.col("vec_id").alias("id"), "name"), "id").select("id", "value", "name")
-
-
 @register("SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = event_id)")
 def s48_cross_check(t: Tables) -> DataFrame:
     """Rows whose file is not there, over all rows."""
@@ -132,12 +100,6 @@ def p10_pending_tracklets(t: Tables) -> DataFrame:
     return t.clips.where("detections >= 2").select("clip_id").join(done, "clip_id", "left_anti")
 
 
-@register("SELECT id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM (SELECT event_id AS id, * FROM events) WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-20 00:00:00'")
-def p12_suppressed_rows(t: Tables) -> DataFrame:
-    rows = t.read("events").where("event_type = 'error'").where(F.col("ts").cast("timestamp_ntz") >= F.lit("2024-01-20").cast("timestamp_ntz"))
-    return rows.select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
-
-
 @register("SELECT conv_id, turn, coalesce(nullif(role, ''), 'user') AS who, len([role, role || '2']) AS names FROM conversations")
 def p13_sightings_decoded(t: Tables) -> DataFrame:
     """Names from a JSON list; one that can't be read has none."""
@@ -145,12 +107,6 @@ def p13_sightings_decoded(t: Tables) -> DataFrame:
     return t.read("conversations").select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("user")).alias("who"), F.size(columns.json_names(text)).cast("long").alias("names"))
 
 
-@register("SELECT count(*) FILTER (source LIKE 'ref:%') AS found FROM documents")
-def p21_reference_sources(t: Tables) -> DataFrame:
-    """No detection may come from a reference source."""
-    return t.read("documents").agg(F.count_if(F.startswith("source", F.lit("ref:"))).alias("found"))
-
-
 def imported(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Boxes on a coarse grid at forty sources, some with a vector for their picture; and marks in the middle of each source's numbers."""
     boxes, _ = night_frames(t)
@@ -167,11 +123,6 @@ def p23_import_sweep(t: Tables) -> DataFrame:
     return dropped.select("source", "id", "place", "n", "span_s", "reason", F.array_join(F.transform("anchor", lambda x: x.cast("long").cast("string")), ",").alias("anchor"))
 
 
-@register("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem)")
-def p24_orphan_frames(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id").join(t.read("lineitem").select(F.col("l_orderkey").alias("doc_id")), "doc_id", "left_anti")
-
-
 # Label writes
 
 
@@ -194,11 +145,6 @@ def l8_superseded_sightings(t: Tables) -> DataFrame:
     return s.select("id").join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("superseded"))
 
 
-@register("SELECT id, CASE WHEN species = 'error' THEN ts END AS deleted_at FROM detections", *DET)
-def l12_tombstones(t: Tables) -> DataFrame:
-    return t.detections.select("id", F.when(F.col("species") == "error", F.col("ts")).alias("deleted_at"))
-
-
 @register("SELECT individual AS name, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ts, id) AS events FROM detections WHERE species = 'signup' AND k < 20 GROUP BY individual", *DET)
 def l16_life_event_log(t: Tables) -> DataFrame:
     rows = t.detections.where("species = 'signup' and k < 20")
@@ -206,12 +152,6 @@ def l16_life_event_log(t: Tables) -> DataFrame:
     return rows.groupBy(F.col("individual").alias("name")).agg(F.array_join(F.transform(order, lambda x: x["id"].cast("string")), ",").alias("events"))
 
 
-@register("SELECT id, CASE WHEN k < 5 THEN NULL ELSE individual END AS individual, CASE WHEN k < 5 THEN NULL ELSE ts END AS labelled_at FROM detections", *DET)
-def l17_set_or_clear(t: Tables) -> DataFrame:
-    cleared = F.col("k") < 5
-    return t.detections.select("id", F.when(~cleared, F.col("individual")).alias("individual"), F.when(~cleared, F.col("ts")).alias("labelled_at"))
-
-
 @register("SELECT c.clip_id, count(d.id) AS boxes, max(d.confidence) AS max_conf FROM clips c JOIN detections d ON d.source = c.source AND d.ts BETWEEN c.start_at AND c.end_at GROUP BY c.clip_id", *CLIPS)
 def l33_scan_backfill(t: Tables) -> DataFrame:
     """Boxes and best confidence of each clip, recomputed from what lies inside it."""
@@ -245,11 +185,6 @@ def l27_favourite_notes(t: Tables) -> DataFrame:
     return ledger.latest(t.detections.where("species = 'click'").withColumn("note", F.col("individual")), ["source"], "ts", ["note"], "id")
 
 
-@register("SELECT id, CASE WHEN k < 50 THEN individual END AS suppressed_by FROM detections WHERE species = 'error'", *DET)
-def l28_cleared_suppression(t: Tables) -> DataFrame:
-    return t.detections.where("species = 'error'").select("id", F.when(F.col("k") < 50, F.col("individual")).alias("suppressed_by"))
-
-
 @register(
     """WITH e AS (SELECT source, ts, row_number() OVER (PARTITION BY source ORDER BY ts) AS epoch FROM detections WHERE species = 'signup')
     SELECT source, epoch, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS retired_at FROM e""",
@@ -273,11 +208,6 @@ def l32_cameras_upserted(t: Tables) -> DataFrame:
     return t.detections.where("species = 'click'").groupBy("source").agg(F.max_by("k", at).alias("setting"), F.min_by("individual", at).alias("created_by"))
 
 
-@register("SELECT source, species, count(*) AS n FROM detections WHERE k >= 90 GROUP BY source, species", *DET)
-def l34_link_all_species(t: Tables) -> DataFrame:
-    return t.detections.where("k >= 90").groupBy("source", "species").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("SELECT min(doc_id) AS doc_id, sha256(text) AS content_sha256 FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
 def l35_certified_references(t: Tables) -> DataFrame:
     """One reference for each content."""
@@ -333,6 +263,3 @@ def a37_clip_species(t: Tables) -> DataFrame:
     return n.groupBy("clip_id").agg(F.min_by("species", F.struct((-F.col("n")).alias("less"), "species")).alias("species"))
 
 
-@register("SELECT id FROM detections ORDER BY confidence DESC, id LIMIT 12", *DET)
-def a50_plate_shortlist(t: Tables) -> DataFrame:
-    return t.detections.orderBy(F.desc("confidence"), "id").limit(12).select("id")

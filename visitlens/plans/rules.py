@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.operators import decisions, ledger, motion, places, profiles
+from visitlens.functions import columns
+from visitlens.operators import decisions, exports, intervals, ledger, motion, places, profiles
 from visitlens.plans.profiles import named_visits, window_sql
 from visitlens.plans.registry import DET, STAMPED, VISITS, register
 from visitlens.sources import stores
@@ -182,3 +183,128 @@ def a19_overview(t: Tables) -> DataFrame:
     rows = rows.unionByName(pairs.select(F.lit("pair").alias("part"), "a", "b", F.col("visits").alias("n")))
     name = F.concat_ws("|", "species", F.col("source").cast("string"), F.date_format("started_at", "yyyy-MM-dd HH:mm:ss"))
     return rows.unionByName(flags.select(F.lit("flag").alias("part"), name.alias("a"), F.col("verdict").alias("b"), none("long").alias("n")))
+
+
+@register("SELECT source, arg_max(ts, (ts, id)) AS started_at, count(*) AS epoch FROM detections WHERE species = 'signup' GROUP BY source", *DET)
+def s32_epoch_start(t: Tables) -> DataFrame:
+    """Of the view epochs that each bump opened, the newest one of each source and its start."""
+    opened = ledger.epochs(t.detections.where("species = 'signup'").select("source", F.col("ts").alias("at")))
+    return ledger.latest(opened, ["source"], "epoch", ["started_at", "epoch"]).select("source", "started_at", "epoch")
+
+
+@register("SELECT id, species, strftime(ts, '%Y-%m-%d %H:%M:%S') AS added FROM detections WHERE species = 'click' AND k % 7 <> 0 ORDER BY ts DESC, id DESC LIMIT 40", *DET)
+def s36_favourites(t: Tables) -> DataFrame:
+    """The newest forty favourites of one kind that were not taken away again."""
+    events = t.detections.select("id", "species", "ts", F.when(F.col("k") % 7 == 0, F.col("ts")).alias("deleted_at"))
+    found = ledger.newest(ledger.live(events, also=F.col("species") == "click"), 40, at="ts", order="id")
+    return found.select("id", "species", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("added"))
+
+
+@register("SELECT id, source, names FROM (SELECT id, source, ts, CASE WHEN k % 2 = 0 THEN 'stan,' || individual ELSE '' END AS names FROM detections WHERE species = 'signup') ORDER BY ts DESC, id DESC LIMIT 30", *DET)
+def s38_recent_sightings(t: Tables) -> DataFrame:
+    """The newest thirty sightings with the names that their JSON holds; text that is none gives no names."""
+    json = F.when(F.col("k") % 2 == 0, F.to_json(F.array(F.lit("stan"), "individual"))).otherwise("stan?")
+    found = ledger.newest(t.detections.where("species = 'signup'").withColumn("json", json), 30, at="ts", order="id")
+    return found.select("id", "source", F.array_join(columns.json_names("json"), ",").alias("names"))
+
+
+@register("SELECT id, source, CASE WHEN k < 10 THEN ts WHEN k < 20 THEN TIMESTAMP '2024-03-01' END AS deleted_at FROM detections WHERE species = 'click'", *DET)
+def l12_tombstones(t: Tables) -> DataFrame:
+    """Zones that people removed get a tombstone; one that was removed before keeps its first."""
+    zones = t.detections.where("species = 'click'").select("id", "source", "k", F.when(F.col("k") < 10, F.col("ts")).alias("deleted_at"))
+    return ledger.bury(zones, zones.where("k < 20"), F.lit("2024-03-01").cast("timestamp_ntz")).drop("k")
+
+
+@register("SELECT id, source FROM detections WHERE species = 'click' AND k >= 20", *DET)
+def s39_live_zones(t: Tables) -> DataFrame:
+    """The zones that are left after removals."""
+    return ledger.live(l12_tombstones(t)).select("id", "source")
+
+
+@register("SELECT source, count(*) AS n FROM (SELECT source, bool_or(k >= 50) AS enabled, bool_or(k = 13) AS gone FROM detections GROUP BY source) WHERE enabled AND NOT gone GROUP BY source", *DET)
+def s40_cameras(t: Tables) -> DataFrame:
+    """Cameras that are there and switched on, without what opens them."""
+    rows = t.detections.groupBy("source").agg(F.bool_or(F.col("k") >= 50).alias("enabled"), F.max(F.when(F.col("k") == 13, F.col("ts"))).alias("deleted_at"), F.lit("hunter2").alias("password"), F.lit("root").alias("username"))
+    found = ledger.live(rows, also=F.col("enabled"), hidden=("password", "username"))
+    return found.select("source", F.lit(1).cast("long").alias("n"), *(c for c in ("password", "username") if c in found.columns))
+
+
+@register("SELECT id, CASE WHEN k < 5 THEN CASE WHEN k % 2 = 0 THEN 'stan' END ELSE individual END AS individual, CASE WHEN k < 5 THEN CASE WHEN k % 2 = 0 THEN 'human' END ELSE 'auto' END AS individual_source, k < 5 AS stamped FROM detections", *DET)
+def l17_set_or_clear(t: Tables) -> DataFrame:
+    """Single names that people set or cleared."""
+    rows = t.detections.select("id", "individual", F.lit("auto").alias("individual_source"), F.lit(None).cast("timestamp_ntz").alias("labelled_at"))
+    given = t.detections.where("k < 5").select("id", F.when(F.col("k") % 2 == 0, "stan").alias("name"), F.col("ts").alias("at"))
+    return ledger.set_names(rows, given).select("id", "individual", "individual_source", F.col("labelled_at").isNotNull().alias("stamped"))
+
+
+def held_back(t: Tables) -> DataFrame:
+    """Errors as suppressed rows, each third one by another mechanism, one in ten with a decision that can't be read."""
+    detail = F.when(F.col("k") % 10 == 0, "{").otherwise(F.to_json(F.struct(F.lit("suppress").alias("decision"), F.col("individual").alias("reason"))))
+    d = t.detections.where("species = 'error'")
+    return d.select("id", "k", F.col("ts").alias("suppressed_at"), F.when(F.col("k") % 3 == 0, "static").otherwise("refimg").alias("suppressed_by"), F.col("k").alias("suppress_ref_id"), detail.alias("suppress_detail"))
+
+
+@register("SELECT id, CASE WHEN k % 10 = 0 THEN NULL ELSE individual END AS reason FROM detections WHERE species = 'error' AND k % 3 <> 0 AND ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY", *DET)
+def p12_suppressed_rows(t: Tables) -> DataFrame:
+    """What one mechanism suppressed in the last week, and why."""
+    found = ledger.suppressed(held_back(t), by="refimg", now=F.lit("2024-01-30").cast("timestamp_ntz"))
+    return found.select("id", "decision.reason")
+
+
+@register("SELECT id, CASE WHEN k < 50 THEN NULL ELSE CASE WHEN k % 3 = 0 THEN 'static' ELSE 'refimg' END END AS suppressed_by, CASE WHEN k < 50 THEN NULL ELSE k END AS suppress_ref_id FROM detections WHERE species = 'error'", *DET)
+def l28_cleared_suppression(t: Tables) -> DataFrame:
+    """Rows that people freed have no column of a suppression left."""
+    rows = held_back(t)
+    return ledger.clear_suppression(rows, rows.where("k < 50")).select("id", "suppressed_by", "suppress_ref_id")
+
+
+@register("SELECT count(*) FILTER (source LIKE 'ref:%') AS found, count(*) FILTER (NOT coalesce(source LIKE 'ref:%', FALSE)) AS others FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'ref:' || source WHEN doc_id % 3 = 1 THEN source || ':ref:' END AS source FROM documents)")
+def p21_reference_sources(t: Tables) -> DataFrame:
+    """Sources that only hold references, by their prefix; no source is none."""
+    named = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ref:"), "source")).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit(":ref:")))
+    is_one = ledger.is_reference_source(named)
+    return t.read("documents").agg(F.count_if(is_one).alias("found"), F.count_if(~is_one).alias("others"))
+
+
+@register("SELECT frame FROM (SELECT DISTINCT frame // 7 AS frame FROM boxes) WHERE frame NOT IN (SELECT frame // 7 FROM boxes WHERE score >= 0.9)", "boxes")
+def p24_orphan_frames(t: Tables) -> DataFrame:
+    """Frames kept for bursts of which no detection is left."""
+    path = F.concat(F.lit("frames/"), F.floor(F.col("frame") / 7).cast("string"), F.lit(".jpg")).alias("frame_path")
+    frames, rows = t.boxes.select(path, F.floor(F.col("frame") / 7).alias("frame")).distinct(), t.boxes.where("score >= 0.9").select(path)
+    return ledger.orphans(frames, rows).select("frame")
+
+
+@register(f"WITH {TRACKS} SELECT clip_id, track, stride_hz, row_number() OVER (ORDER BY straightness DESC, clip_id || '|' || track) - 1 AS place FROM tracks WHERE stride_hz IS NOT NULL AND straightness >= 0.2 AND clip_id % 2 = 0", *DET)
+def s47_gait_export(t: Tables) -> DataFrame:
+    """Tracks with a clear stride that have a vector, the clearest first."""
+    key = F.concat_ws("|", F.col("clip_id").cast("string"), "track")
+    rows = tracks(t).select("clip_id", F.col("track").alias("t"), key.alias("track"), "stride_hz", F.col("straightness").alias("strength"), F.lit(1.0).alias("walk_s"))
+    found = exports.gait_rows(rows, rows.where("clip_id % 2 = 0").select("track", F.lit("stan").alias("name")), least=0.2)
+    return found.select("clip_id", F.col("t").alias("track"), "stride_hz", F.col("place").cast("long").alias("place"))
+
+
+@register(
+    """WITH s AS (SELECT id, source AS visit, CASE WHEN k / 100.0 <= 0.35 THEN sqrt(k / 100.0 / 0.35) ELSE power(0.35 / (k / 100.0), 0.75) END * (0.7 + 0.3 * confidence) AS score FROM detections WHERE k > 0),
+    b AS (SELECT visit, arg_max(id, (score, -id)) AS id, max(score) AS score FROM s GROUP BY visit) SELECT visit, id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 12""",
+    *DET,
+)
+def a50_plate_shortlist(t: Tables) -> DataFrame:
+    """Twelve pictures, one a visit, among which the plate is chosen."""
+    found = exports.plate_shortlist(t.detections.select("id", F.col("source").alias("visit"), (F.col("k") / 100.0).alias("share"), "confidence"))
+    return found.select("visit", "id", F.round("score", 6).alias("score"))
+
+
+@register(
+    """WITH t AS (SELECT source, species, started_at, min(ts) AS a, max(ts) AS b, count(DISTINCT k) AS kinds FROM stamped WHERE k >= 20 GROUP BY ALL)
+    SELECT s.species, c.clip_id, CASE WHEN c.detections >= 2 THEN 'several' WHEN count(t.source) = 0 THEN 'no visit' WHEN max(t.kinds) > 1 THEN 'mixed' ELSE 'linked' END AS outcome
+    FROM clips c CROSS JOIN (SELECT DISTINCT species FROM t) s LEFT JOIN t ON t.species = s.species AND c.source = t.source AND c.start_at <= t.b AND c.end_at >= t.a GROUP BY s.species, c.clip_id, c.detections""",
+    *STAMPED, "clip_flagged", "clip_stamped", "clips",
+)
+def l34_link_all_species(t: Tables) -> DataFrame:
+    """What becomes of each clip's track, for every species that has named visits."""
+    named = t.stamped.where("k >= 20").groupBy("source", "species", "started_at").agg(F.min("ts").alias("b0"), F.max("ts").alias("b1"), F.count_distinct("k").alias("kinds"))
+    c = t.clips.select("source", "clip_id", F.col("start_at").alias("a0"), F.col("end_at").alias("a1"))
+    kinds = intervals.overlap_join(c, named.drop("started_at")).groupBy("species", "clip_id").agg(F.max("kinds").alias("kinds"))
+    every = t.clips.select("clip_id", "detections").withColumn("species", F.explode(F.array(*(F.lit(s) for s in sorted(r[0] for r in named.select("species").distinct().collect())))))
+    outcome = F.when(F.col("detections") >= 2, "several").when(F.col("kinds").isNull(), "no visit").when(F.col("kinds") > 1, "mixed").otherwise("linked")
+    return every.join(kinds, ["species", "clip_id"], "left").select("species", "clip_id", outcome.alias("outcome"))
