@@ -11,10 +11,11 @@ from visitlens.operators import places
 from visitlens.operators.geometry import box_iou
 
 
-def plain_walk(boxes, limit, drift=0.0):
+def plain_walk(boxes, limit, drift=0.0, best=False):
     at, found = [], []
     for b in boxes:
-        k = next((k for k, a in enumerate(at) if box_iou(tuple(a), tuple(b)) >= limit), None)
+        fits = [(-box_iou(tuple(a), tuple(b)), k) for k, a in enumerate(at) if box_iou(tuple(a), tuple(b)) >= limit]
+        k = (min(fits)[1] if best else fits[0][1]) if fits else None
         if k is None:
             k = len(at)
             at.append(list(b))
@@ -34,9 +35,9 @@ def some_boxes(n, seed):
 def test_walked():
     for seed in range(5):
         boxes = some_boxes(120, seed)
-        for limit, drift in ((0.75, 0.0), (0.6, 0.3)):
-            found, where = places.walked(np.array(boxes), limit, drift)
-            want, at = plain_walk(boxes, limit, drift)
+        for limit, drift, best in ((0.75, 0.0, False), (0.6, 0.3, False), (0.6, 0.1, True)):
+            found, where = places.walked(np.array(boxes), limit, drift, best=best)
+            want, at = plain_walk(boxes, limit, drift, best)
             assert found.tolist() == want and np.allclose(where, at)
     assert places.walked(np.zeros((0, 4)), 0.5)[0].tolist() == []
 

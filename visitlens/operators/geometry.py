@@ -19,6 +19,7 @@ from visitlens.functions.columns import iou
 from visitlens.operators.blocks import similar_pairs
 from visitlens.operators.graph import components
 from visitlens.operators.motion import MOVING
+from visitlens.operators.places import walked
 from visitlens.sources.scratch import kept
 
 Box = tuple[float, float, float, float]
@@ -130,21 +131,11 @@ def place_clusters(rows: DataFrame, *, limit: float = 0.75, drift: float = 0.0,
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "id"])
-        anchors: list[Box] = []
-        found, cells = [], []
-        for b in _boxes(pdf):
-            overlaps = [(box_iou(b, a), i) for i, a in enumerate(anchors)]
-            fits = [(-o, i) for o, i in overlaps if o >= limit]
-            if not fits:
-                anchors.append(b)
-                cells.append((math.floor((b[0] + b[2]) / 2 / cell), math.floor((b[1] + b[3]) / 2 / cell)))
-                found.append(len(anchors) - 1)
-                continue
-            i = min(fits)[1] if best else min(i for _, i in fits)
-            anchors[i] = tuple((1 - drift) * x + drift * y for x, y in zip(anchors[i], b, strict=True))
-            found.append(i)
-        x, y = ([cells[i][k] for i in found] for k in (0, 1))
-        return pdf.assign(cell_x=x, cell_y=y, cluster=found)[["source", "cell_x", "cell_y", "cluster", "id"]]
+        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        found, _ = walked(boxes, limit, drift, best=best)
+        first = boxes[np.unique(found, return_index=True)[1]]
+        cells = np.floor((first[:, :2] + first[:, 2:]) / 2 / cell).astype(np.int64)
+        return pdf.assign(cell_x=cells[found, 0], cell_y=cells[found, 1], cluster=found)[["source", "cell_x", "cell_y", "cluster", "id"]]
 
     boxes = rows.select("source", "id", "at", "x1", "y1", "x2", "y2")
     return boxes.groupBy("source").applyInPandas(each, "source long, cell_x long, cell_y long, cluster long, id long")

@@ -41,7 +41,8 @@ def read(spark: SparkSession, root: str, schema, version: int | None = None) ->
 
 def replace(df: DataFrame, root: str, by: str, gone: list | None = None) -> int:
     """Commit a version in which the partitions that ``df`` has are as in ``df`` and those of ``gone`` (``None``: all
-    others) are away. Returns its number. Raises if another writer has committed meanwhile; nothing is changed then.
+    others) are away. Returns its number. Raises if another writer has committed meanwhile; nothing is changed then (on file
+    systems that create a file only once).
 
     ``by`` is a column of a bounded number of values, such as days; its values are told apart by their text.
     """
