@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitlens.llm import bpe, decontam, linedup, simhash, toxicity
-from visitlens.llm.shared import small_batches, write_table
+from visitlens.llm.shared import discard, small_batches, write_table
 
 ORACLE_SQL = None
 
@@ -62,7 +62,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = write_table(docs, f"stage-{i}")
+            kept = write_table(kept, f"stage-{i}")
+            if i:  # never the given table
+                discard(docs)
+        docs = kept
     return docs

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from visitlens.llm import simhash, toxicity  # noqa: E402
-from visitlens.llm.shared import write_table  # noqa: E402
+from visitlens.llm.shared import shared_dir, write_table  # noqa: E402
 
 from . import brute  # noqa: E402
 
@@ -138,3 +141,39 @@ def test_edges(spark, tmp_path):
         kept = sorted(r.doc_id for r in docs.collect())
         assert kept == ([0, 3, 4, 5] if part else [])  # the common line stays in 3
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(kept)
+
+
+def scratch(spark):
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "visitlens"
+    return {f.name for f in folder.iterdir()} if folder.exists() else set()
+
+
+def shuffled(spark):
+    """Shuffle files on this machine's disk."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for d in folders for f in Path(d).rglob("shuffle_*.data")}
+
+
+@pytest.mark.parametrize(
+    ("stage", "stay"),
+    [(1, {"line-input", "line-drops"}), (2, {"near-input", "near-gone", "star-links"})],
+)
+def test_disk_is_freed(spark, stage, stay):
+    """A stage leaves only the tables that its result reads, and no shuffle files; links of components are small."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tables, files = scratch(spark), shuffled(spark)
+    found = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert {re.sub("-[0-9a-f]{32}$", "", n) for n in scratch(spark) - tables} == stay
+    until = time.monotonic() + 10
+    while (left := shuffled(spark) - files) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(key) == "false"
+    assert 0 < found.count() <= docs.count() and found.count() == found.distinct().count()
+
+
+def test_only_the_last_written_stage_stays(spark):
+    tables = scratch(spark)
+    corpus_pipeline.run(spark, SF)
+    assert [n[:7] for n in scratch(spark) - tables if n.startswith("stage-")] == ["stage-3"]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, numbered, write_table
+from .shared import discard, new_path, numbered, shuffles_deleted, write_table
 
 #: Stripped at both ends of a line.
 SPACE = " \t\n\x0b\x0c\r"
@@ -35,13 +35,24 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
         self.counts: list[DataFrame] = []
+        self.names: dict[DataFrame, str] = {}
 
     def _sorted_run(self, df: DataFrame, *, deal: bool) -> DataFrame:
         name = f"visitlens_run_{uuid.uuid4().hex}"
         df = df.repartition(self.buckets, *KEY) if deal else df
         writer = df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", new_path(self.spark, "line-run"))
         writer.saveAsTable(name)
-        return self.spark.table(name)
+        run = self.spark.table(name)
+        self.names[run] = name
+        return run
+
+    def _drop(self, runs: list[DataFrame]) -> None:
+        discard(*runs)
+        for run in runs:
+            self.spark.sql(f"DROP TABLE {self.names.pop(run)}")
+
+    def drop_all(self) -> None:
+        self._drop(list(self.names))
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -68,6 +79,7 @@ class LineRuns:
             if level + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[level + 1].append(self._sorted_run(merged, deal=True))
+            self._drop(self.levels[level])
             self.levels[level] = []
             level += 1
 
@@ -126,24 +138,28 @@ def line_dedup(
     if "__drop" in docs.columns:
         raise ValueError("column __drop is reserved")
     docs, given = numbered(docs, "line-input"), docs
-    lines = write_table(line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), "lines")
-    cuts = id_cuts(lines, max(batches, -(-lines.count() // batch_lines)))
-    runs = LineRuns(spark, fanout=fanout)
-    for i in range(len(cuts) + 1):
-        at = F.lit(True)
-        if i < len(cuts):
-            at = F.col("doc_id") > cuts[i]
-        if i:
-            below = F.col("doc_id") <= cuts[i - 1]
-            at = (at & below) if i < len(cuts) else (below | F.col("doc_id").isNull())
-        runs.add(lines.where(at).select("doc_id", "rid", *KEY))
-    common = runs.lookup(min_docs)
-    drops = (
-        lines.join(common, KEY)
-        .where(F.col("rid") != F.col("keeper.rid"))
-        .groupBy(F.col("rid").alias("__rid"))
-        .agg(F.collect_list("pos").alias("__drop"))
-    )
+    with shuffles_deleted(spark):
+        lines = write_table(line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), "lines")
+        cuts = id_cuts(lines, max(batches, -(-lines.count() // batch_lines)))
+        runs = LineRuns(spark, fanout=fanout)
+        for i in range(len(cuts) + 1):
+            at = F.lit(True)
+            if i < len(cuts):
+                at = F.col("doc_id") > cuts[i]
+            if i:
+                below = F.col("doc_id") <= cuts[i - 1]
+                at = (at & below) if i < len(cuts) else (below | F.col("doc_id").isNull())
+            runs.add(lines.where(at).select("doc_id", "rid", *KEY))
+        common = runs.lookup(min_docs)
+        runs.drop_all()
+        drops = (
+            lines.join(common, KEY)
+            .where(F.col("rid") != F.col("keeper.rid"))
+            .groupBy(F.col("rid").alias("__rid"))
+            .agg(F.collect_list("pos").alias("__drop"))
+        )
+        drops = write_table(drops, "line-drops")
+        discard(lines, common)
     joined = docs.join(drops, "__rid", "left").drop("__rid")
     fields = [f for f in given.schema.fields if f.name not in ("n_lines", "n_dropped")]
 

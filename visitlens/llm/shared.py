@@ -74,6 +74,24 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Within the block, Spark deletes the shuffle files of a query when it ends, not when the driver collects its garbage.
+
+    A query that is run twice shuffles twice then, so the block is for steps that each write their table.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 @contextmanager
 def batches(spark: SparkSession, rows: int = 2000, size: str = "8m"):
     """Within the block, Python gets batches of at most so many rows and bytes; afterwards the session is as it was.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded, discard, numbered, write_table
+from .shared import bounded, discard, numbered, shuffles_deleted, write_table
 
 SEED = 42
 
@@ -171,7 +171,7 @@ def near_links(points: DataFrame, *, reach: int, shard: int = 4096, sample: int
     spark = points.sparkSession
     n = points.count()
     drawn = points.sample(False, min(1.0, sample / n), seed=1).limit(2 * sample) if n > sample else points
-    some = np.fromiter((r["fp"] for r in drawn.toLocalIterator()), np.int64).view(np.uint64)
+    some = drawn.select("fp").toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     tree = spark.sparkContext.broadcast(VantageTree(some, max(16, int(shard * min(1.0, len(some) / max(1, n))))))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -331,11 +331,20 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
     of ``docs``, of which none may be called __rid.
     """
     rows = numbered(docs, "near-input")
+    with shuffles_deleted(docs.sparkSession):
+        gone = bounded(_later_copies(rows, width=width, similarity=similarity, reach=reach, id_col=id_col, text_col=text_col))
+    return rows.join(gone, "__rid", "left_anti").select(docs.columns)
+
+
+def _later_copies(rows: DataFrame, *, width: int, similarity: float, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(__rid) of the rows that ``near_dedup`` drops, written; the tables in between are deleted as soon as they are used up."""
     texts = rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = shingled(texts, width=width, similarity=similarity)
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     heads = held.groupBy("s1", "s2").agg(F.min_by("rid", least).alias("head"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    twins = write_table(held.select("rid", "s1", "s2").join(write_table(heads, "near-heads"), ["s1", "s2"]).where("rid <> head").select("rid", "head"), "near-twins")
+    heads = write_table(heads, "near-heads")
+    twins = write_table(held.select("rid", "s1", "s2").join(heads, ["s1", "s2"]).where("rid <> head").select("rid", "head"), "near-twins")
+    discard(heads)
     alone = held.join(bounded(twins.select("rid")), "rid", "left_anti")
     points = write_table(alone.groupBy("fp").agg(F.min("rid").alias("rid")), "near-points")
     found = near_links(points, reach=reach).join(points.select(F.col("fp").alias("a"), "rid"), "a").join(points.select(F.col("fp").alias("b"), F.col("rid").alias("other")), "b")
@@ -345,10 +354,12 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
     keys = alone.select("rid", "n", F.posexplode("keys").alias("pos", "key"))
     times = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "near-times")
     shared = write_table(keys.join(times, "key"), "near-keys")
+    discard(times)
     fame = write_table(shared.groupBy("rid").agg(F.sum("times").alias("fame")), "near-fame")
     one = F.struct("rid", "n", "pos")
     hubs = shared.join(fame, "rid").groupBy("key").agg(F.max_by(one, F.struct("fame", -F.col("rid"))).alias("hub"), F.min(one).alias("first"))
     hubs = write_table(hubs, "near-hubs")
+    discard(fame)
     stars = shared.select("key", one.alias("x")).join(hubs, "key").select("x", F.explode(F.array_distinct(F.array("hub", "first"))).alias("y"))
     candidates.append(_sharing(stars, similarity))
 
@@ -376,10 +387,11 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
         return near
 
     near = verified(reduce(DataFrame.unionByName, candidates))
+    discard(points, hubs)
     begun = write_table(connected_components(near), "near-begun")
     joined = shared.join(begun, shared["rid"] == begun["node"], "left").select("key", "rid", "n", "pos", F.coalesce("component", "rid").alias("component"))
     joined = write_table(joined, "near-joined")
-    discard(shared, times, fame, hubs)
+    discard(shared, begun)
     ends = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     apart = joined.join(ends, "key", "left_semi").join(held.select("rid", "bits"), "rid").select("key", F.struct("rid", "n", "pos", "component", "bits").alias("x"))
     apart = write_table(apart, "near-apart")
@@ -390,6 +402,9 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
     groups = write_table(connected_components(near.unionByName(more)), "near-groups")
     members = held.select("rid", "doc_id").join(twins, "rid", "left").withColumn("node", F.coalesce("head", "rid")).join(groups, "node", "left")
     members = write_table(members.select("rid", "doc_id", F.coalesce("component", "node").alias("component")), "near-members")
+    discard(held, twins, near, more, groups)
     stay = members.groupBy("component").agg(F.min_by("rid", least).alias("stay"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    gone = write_table(members.join(write_table(stay, "near-stay"), "component").where("rid <> stay").select(F.col("rid").alias("__rid")), "near-gone")
-    return rows.join(bounded(gone), "__rid", "left_anti").select(docs.columns)
+    stay = write_table(stay, "near-stay")
+    gone = write_table(members.join(stay, "component").where("rid <> stay").select(F.col("rid").alias("__rid")), "near-gone")
+    discard(members, stay)
+    return gone
