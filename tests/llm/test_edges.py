@@ -8,6 +8,7 @@ import re
 import time
 import string
 import time
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visitlens.llm import bpe, components, decontam, exact, linedup, pii, secretscan, simhash, toxicity, urlgraph, warc
+from visitlens.llm.shared import shared_dir
 
 from . import brute
 
@@ -428,3 +430,26 @@ def test_secrets_of_a_text_with_very_many_spans():
     found = secretscan.added_spans(text, base, any_format)
     assert time.process_time() - began < 30
     assert [text[s:e][:3] for s, e, _ in found[:2]] == ["zq-", "zq-"] and len(found) == 50_000
+
+
+def test_lines_without_a_copy(spark, tmp_path):
+    """Of stored documents no copy stays on disk, and the texts are joined alike at any size."""
+    rng = random.Random(8)
+    lines = [f"a common line number {i} that is long" for i in range(20)]
+    data = [(i // 2, "\n".join([*rng.choices(lines, k=rng.randrange(4)), rng.randbytes(2000).hex()])) for i in range(400)]
+    path = str(tmp_path / "a folder, é")
+    spark.createDataFrame(data, "doc_id long, text string").repartition(5).write.parquet(path)
+    size = lambda folder: sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+    scratch = Path(shared_dir(spark).removeprefix("file:")) / "visitlens"
+    docs, before = spark.read.parquet(path), size(scratch)
+    found = linedup.line_dedup(docs.where("doc_id >= 0").select("text", "doc_id"), batches=4, stored=True)
+    rows = found.collect()
+    assert size(scratch) - before < 0.1 * size(path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("BroadcastHashJoin") <= 2  # the list of files
+    assert found.columns == ["text", "doc_id", "n_lines", "n_dropped"] and len(rows) == len(data)
+    want = linedup.line_dedup(docs, batches=4)
+    assert sorted((r.doc_id, r.n_lines) for r in rows) == sorted((r.doc_id, r.n_lines) for r in want.collect())
+    left = [x for r in rows for x in r.text.split("\n") if x in lines]
+    assert sorted(set(left)) == sorted(lines) and len({(r.doc_id, x) for r in rows for x in r.text.split("\n") if x in lines}) == len(lines)
+    assert sum(r.n_dropped for r in rows) == sum(x in lines for _, t in data for x in t.split("\n")) - len(left)

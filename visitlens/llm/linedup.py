@@ -123,6 +123,7 @@ def line_dedup(
     batches: int = 3,
     batch_lines: int = 1 << 32,
     fanout: int = 2,
+    stored: bool = False,
 ) -> DataFrame:
     """Take common lines out of every document but the one with the largest id.
 
@@ -132,12 +133,12 @@ def line_dedup(
     compared by 128 bits of hash. A null text is empty and has one empty line. There are at least ``batches`` batches,
     and more so that one has about ``batch_lines`` lines; ids of any type that Spark orders are parted.
     Returns all columns of ``docs``, the text as kept (an emptied text is ""), and n_lines and n_dropped, which replace
-    any of these names. Columns __rid and __drop are reserved.
+    any of these names. Columns __rid and __drop are reserved. Of ``stored`` docs (see ``numbered``) no copy is written.
     """
     spark = docs.sparkSession
     if "__drop" in docs.columns:
         raise ValueError("column __drop is reserved")
-    docs, given = numbered(docs, "line-input"), docs
+    docs, given = numbered(docs, "line-input", stored=stored), docs
     with shuffles_deleted(spark):
         lines = write_table(line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars), "lines")
         cuts = id_cuts(lines, max(batches, -(-lines.count() // batch_lines)))
@@ -160,7 +161,8 @@ def line_dedup(
         )
         drops = write_table(drops, "line-drops")
         discard(lines, common)
-    joined = docs.join(drops, "__rid", "left").drop("__rid")
+    # The same join at any size, so disk stays in proportion; texts are not sorted.
+    joined = docs.join(drops.hint("shuffle_hash"), "__rid", "left").drop("__rid")
     fields = [f for f in given.schema.fields if f.name not in ("n_lines", "n_dropped")]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

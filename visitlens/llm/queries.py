@@ -107,7 +107,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = linedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), stored=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -47,11 +47,22 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
             spark.conf.set(key, most)
 
 
-def numbered(df: DataFrame, name: str, number: str = "__rid") -> DataFrame:
-    """``df`` with a number for each row in column ``number``, written once, so a rerun can't deal the numbers anew."""
+def numbered(df: DataFrame, name: str, number: str = "__rid", *, stored: bool = False) -> DataFrame:
+    """``df`` with a number for each row in column ``number``, written once, so a rerun can't deal the numbers anew.
+
+    ``stored`` says that ``df`` scans Parquet files, each once, with no more than columns selected and rows filtered. Then
+    a row's number comes from its file and its place there, and only the list of files is written, not the rows.
+    """
     if number in df.columns:
         raise ValueError(f"column {number} is reserved")
-    return write_table(df.withColumn(number, F.monotonically_increasing_id()), name)
+    if not stored:
+        return write_table(df.withColumn(number, F.monotonically_increasing_id()), name)
+    spark, at = df.sparkSession, df.metadataColumn("_metadata")
+    paths = sorted(r["file"] for r in df.select(at["file_path"].alias("file")).distinct().collect())
+    files = write_table(spark.createDataFrame(list(enumerate(paths)), "n long, file string").coalesce(1), name)
+    placed = df.select("*", F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias(number))
+    held = placed.join(F.broadcast(files), placed[number]["file"] == files["file"])
+    return held.select(*(placed[f"`{c}`"] for c in df.columns), (F.shiftleft(files["n"], 33) + placed[number]["row"]).alias(number))
 
 
 def bounded(table: DataFrame) -> DataFrame:
