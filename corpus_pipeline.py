@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common lines go from all documents but the latest; n_chars follows; documents that had text and have none left go."""
     small_batches(spark)
-    kept = linedup.line_dedup(docs)
+    kept = linedup.line_dedup(docs, stored=True)
     changed = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return changed.where("n_dropped = 0 or text <> ''").select(docs.columns)
 
@@ -35,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
     small_batches(spark)
-    return simhash.near_dedup(docs, width=5, similarity=0.8)
+    return simhash.near_dedup(docs, width=5, similarity=0.8, stored=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,3 +177,15 @@ def test_only_the_last_written_stage_stays(spark):
     tables = scratch(spark)
     corpus_pipeline.run(spark, SF)
     assert [n[:7] for n in scratch(spark) - tables if n.startswith("stage-")] == ["stage-3"]
+
+
+@pytest.mark.parametrize("stage", [1, 2])
+def test_no_copy_of_the_documents_stays(spark, stage):
+    """The results of both stages stand on the table that they were given, not on a numbered copy."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "visitlens"
+    tables = scratch(spark)
+    corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    left = {n: sum(f.stat().st_size for f in (folder / n).glob("*.parquet")) for n in scratch(spark) - tables}
+    given = sum(len(r.text or "") for r in docs.select("text").collect())
+    assert max(left.values()) < 0.02 * given

@@ -316,7 +316,9 @@ def _sketches_allow(x: str, y: str, similarity: float) -> Column:
     return apart <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
 
 
-def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(
+    docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", stored: bool = False
+) -> DataFrame:
     """Keep the row with the smallest id of each group of near-duplicate texts (Jaccard of word shingles).
 
     Texts with equal sets of shingles are joined first and then stand for one. The vantage-point tree gives links
@@ -328,9 +330,9 @@ def near_dedup(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, reac
     lost, however short the texts or common their passages. All are compared by the exact Jaccard similarity of their
     shingle sets; components of verified pairs are the groups. Null and empty texts, and others without words, are
     alike. A null id is larger than any other here; of rows that share the smallest id one stays. Returns the columns
-    of ``docs``, of which none may be called __rid.
+    of ``docs``, of which none may be called __rid. Of ``stored`` docs (see ``numbered``) no copy is written.
     """
-    rows = numbered(docs, "near-input")
+    rows = numbered(docs, "near-input", stored=stored)
     with shuffles_deleted(docs.sparkSession):
         gone = bounded(_later_copies(rows, width=width, similarity=similarity, reach=reach, id_col=id_col, text_col=text_col))
     return rows.join(gone, "__rid", "left_anti").select(docs.columns)
