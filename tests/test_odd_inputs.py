@@ -31,3 +31,7 @@ WEIGHTLESS = [(1, 0, "view", 0, 1), (1, 1, "click", 0, 2), (2, 0, "view", 450, 3
 
 def test_votes_without_weight(spark, tmp_path):
     assert any("null" in r for r in same_as_sql(spark, tmp_path, "a4_weighted_vote", WEIGHTLESS))
+
+
+def test_report_of_votes_without_weight(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "a5_vote_report", WEIGHTLESS)
