@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import duckdb
+import pytest
 
 from tests.test_queries import plain
 from visitlens.catalog import ORACLE_SQL, QUERIES
@@ -35,3 +36,22 @@ def test_votes_without_weight(spark, tmp_path):
 
 def test_report_of_votes_without_weight(spark, tmp_path):
     same_as_sql(spark, tmp_path, "a5_vote_report", WEIGHTLESS)
+
+
+@pytest.fixture
+def dealt(spark):
+    """Rows of a source's days stay in the partitions they are dealt to."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def over_midnight(parts):
+    """Visits of four detections, two on each side of midnight; the border is met by the sum in the order of time, not by that of two days' sums."""
+    return [(source, 15 + 3 * h - (h > 1), "view", 300 + h, k) for source, ks in enumerate(parts) for h, k in enumerate(ks)]
+
+
+def test_motion_at_a_border(spark, tmp_path, dealt):
+    ks = [(79, 96, 41, 14), (14, 75, 49, 92), (94, 74, 52, 10), (36, 34, 85, 15), (27, 73, 93, 37), (49, 45, 61, 15)]
+    assert len(same_as_sql(spark, tmp_path, "a20_visit_motion", over_midnight(ks))) == 6

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitlens.functions.columns import behaviour_tag, hour_label, in_window, iso_week, micros, night_key, upper_median
+from visitlens.functions.columns import behaviour_tag, hour_label, in_window, iso_week, mean_in_order, micros, night_key, upper_median
 from visitlens.operators import profiles, sessions
 from visitlens.plans.registry import DET, STAMPED, VISITS, register
 from visitlens.sources.fixtures import Tables
@@ -238,7 +238,8 @@ def a20_visit_motion(t: Tables) -> DataFrame:
     from visitlens.functions.columns import approach_label
 
     moving = F.least(F.lit(1.0), (F.col("k") + 1) / 100.0)
-    rows = t.stamped.groupBy("source", "started_at").agg(F.avg(moving).alias("moving_frac"), F.max("value").alias("peak"), F.avg(F.nullif("k", F.lit(0)) / 50.0).alias("trend"))
+    trend = mean_in_order(F.nullif("k", F.lit(0)) / 50.0, "ts", "id")
+    rows = t.stamped.groupBy("source", "started_at").agg(mean_in_order(moving, "ts", "id").alias("moving_frac"), F.max("value").alias("peak"), trend.alias("trend"))
     return rows.select("source", "started_at", "moving_frac", "peak", approach_label("trend").alias("approach"))
 
 
