@@ -55,3 +55,8 @@ def over_midnight(parts):
 def test_motion_at_a_border(spark, tmp_path, dealt):
     ks = [(79, 96, 41, 14), (14, 75, 49, 92), (94, 74, 52, 10), (36, 34, 85, 15), (27, 73, 93, 37), (49, 45, 61, 15)]
     assert len(same_as_sql(spark, tmp_path, "a20_visit_motion", over_midnight(ks))) == 6
+
+
+def test_behaviour_at_a_border(spark, tmp_path, dealt):
+    ks = [(31, 86, 64, 15), (95, 15, 15, 71), (47, 85, 36, 28), (62, 68, 45, 21), (69, 43, 68, 16), (96, 38, 34, 28)]
+    same_as_sql(spark, tmp_path, "a22_behaviour_share", over_midnight(ks))

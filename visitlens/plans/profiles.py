@@ -263,7 +263,7 @@ TAGS = f"""WITH g AS (SELECT source, started_at, species, (epoch_us(max(ts)) - e
 @register(TAGS + " SELECT species, tag, count(*) AS visits, count(*) / sum(count(*)) OVER (PARTITION BY species) AS share FROM t GROUP BY species, tag", *STAMPED)
 def a22_behaviour_share(t: Tables) -> DataFrame:
     moving = F.least(F.lit(1.0), (F.col("k") + 1) / 100.0)
-    g = t.stamped.groupBy("source", "started_at", "species").agg(((micros(F.max("ts")) - micros(F.min("ts"))) / 6e7).alias("minutes"), F.avg(moving).alias("f"), (F.avg("value") / 500).alias("s"))
+    g = t.stamped.groupBy("source", "started_at", "species").agg(((micros(F.max("ts")) - micros(F.min("ts"))) / 6e7).alias("minutes"), mean_in_order(moving, "ts", "id").alias("f"), (mean_in_order("value", "ts", "id") / 500).alias("s"))
     tags = g.select("species", behaviour_tag("minutes", "f", "s").alias("tag")).groupBy("species", "tag").agg(F.count(F.lit(1)).alias("visits"))
     return tags.withColumn("share", F.col("visits") / F.sum("visits").over(Window.partitionBy("species")))
 
