@@ -60,3 +60,8 @@ def test_motion_at_a_border(spark, tmp_path, dealt):
 def test_behaviour_at_a_border(spark, tmp_path, dealt):
     ks = [(31, 86, 64, 15), (95, 15, 15, 71), (47, 85, 36, 28), (62, 68, 45, 21), (69, 43, 68, 16), (96, 38, 34, 28)]
     same_as_sql(spark, tmp_path, "a22_behaviour_share", over_midnight(ks))
+
+
+def test_notes_are_rounded_to_even(spark, tmp_path):
+    want = same_as_sql(spark, tmp_path, "l18_quality_side_table", [(1, h, "click", v, h) for h, v in enumerate((0.5, 1.5, 2.5, 3.5, 4.49, 4.51, 100.5))])
+    assert [r[1] for r in want] == [f"{v}.000000" for v in (0, 2, 2, 4, 4, 5, 100)]

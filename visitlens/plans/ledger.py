@@ -94,7 +94,7 @@ def l15_static_delete(t: Tables) -> DataFrame:
 
 @register("SELECT d.id, n.note FROM detections d LEFT JOIN (SELECT k, arg_max(CAST(value AS INTEGER), (ts, id)) AS note FROM detections WHERE species = 'click' GROUP BY k) n ON d.id = n.k", *DET)
 def l18_quality_side_table(t: Tables) -> DataFrame:
-    notes = ledger.latest(t.detections.where("species = 'click'").withColumn("note", F.round("value").cast("int")), ["k"], "ts", ["note"], "id").select(F.col("k").alias("id"), "note")
+    notes = ledger.latest(t.detections.where("species = 'click'").withColumn("note", F.rint("value").cast("int")), ["k"], "ts", ["note"], "id").select(F.col("k").alias("id"), "note")
     return t.detections.select("id").join(notes, "id", "left")
 
 
