@@ -65,3 +65,9 @@ def test_behaviour_at_a_border(spark, tmp_path, dealt):
 def test_notes_are_rounded_to_even(spark, tmp_path):
     want = same_as_sql(spark, tmp_path, "l18_quality_side_table", [(1, h, "click", v, h) for h, v in enumerate((0.5, 1.5, 2.5, 3.5, 4.49, 4.51, 100.5))])
     assert [r[1] for r in want] == [f"{v}.000000" for v in (0, 2, 2, 4, 4, 5, 100)]
+
+
+def test_species_without_a_common_hour(spark, tmp_path):
+    kinds = {"view": (3, 4), "click": (4, 5), "error": (20,)}
+    want = same_as_sql(spark, tmp_path, "u7_guild_hours", [(1, h, kind, 1, 1) for kind, hours in kinds.items() for h in hours])
+    assert ("click", "error", "0.000000") in want and len(want) == 3

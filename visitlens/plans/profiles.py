@@ -349,10 +349,9 @@ def u7_guild_hours(t: Tables) -> DataFrame:
     """Active hours that two species share; a species has 24 hours at most, so its hours are one short array."""
     h = profiles.hour_counts(t.detections, "species")
     total = h.groupBy("species").agg(F.sum("n").alias("total"))
-    busy = h.join(total, "species").where("n >= 0.042 * total").select("species", "hour")
-    pairs = busy.select(F.col("species").alias("a"), "hour").join(busy.select(F.col("species").alias("b"), "hour"), "hour").where("a < b")
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return counted
+    busy = h.join(total, "species").where("n >= 0.042 * total").groupBy("species").agg(F.collect_list("hour").alias("hours"))
+    pairs = busy.select(F.col("species").alias("a"), F.col("hours").alias("x")).join(busy.select(F.col("species").alias("b"), F.col("hours").alias("y")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
 
 
 @register(
