@@ -46,3 +46,20 @@ def test_many_clips(spark):
     many = spark.range(60_000).selectExpr("id div 3 AS clip", "id", "double(id % 3) AS t", "0.5D AS cx", "0.5D AS cy")
     n, took = timed(lambda: geometry.associate(many, min_hits=2).count())
     assert n == 60_000 and took < 12  # a call for each of 20,000 clips takes more than twice as long
+
+
+def scattered(n, seed=1):
+    """Boxes of many sizes and shapes, few of which are alike."""
+    draw = np.random.default_rng(seed)
+    at, side = draw.uniform(0, 3000, (n, 2)), np.exp(draw.uniform(-1, 5, (n, 2)))
+    return np.hstack([at, at + side])
+
+
+def test_a_box_meets_few_places():
+    for limit in (0.05, 0.3, 0.6, 0.75, 0.97):
+        boxes = np.repeat(scattered(60, 7), 6, 0) * np.random.default_rng(9).uniform(0.97, 1.03, (360, 1))
+        boxes[5] = np.nan
+        boxes[9, 2] = boxes[9, 0]
+        assert places.walked(boxes, limit)[0].tolist() == plain_walk(boxes.tolist(), limit)[0]
+    found, took = timed(lambda: places.walked(scattered(12_000), 0.75)[0])
+    assert len(set(found.tolist())) > 10_000 and took < 3
