@@ -63,3 +63,13 @@ def test_a_box_meets_few_places():
         assert places.walked(boxes, limit)[0].tolist() == plain_walk(boxes.tolist(), limit)[0]
     found, took = timed(lambda: places.walked(scattered(12_000), 0.75)[0])
     assert len(set(found.tolist())) > 10_000 and took < 3
+
+
+def test_static_clusters_of_many_places(spark, tmp_path):
+    # Six thousand places of four boxes at one source; all boxes against all places take over ten times as long.
+    side = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_partkey long, l_returnflag string"
+    place = "id % 6000"
+    rows = spark.range(24_000).selectExpr("40 * id AS l_orderkey", "1 AS l_linenumber", f"double(20 * ({place} % 80)) AS l_quantity", f"double(6 * ({place} div 80)) AS l_extendedprice", "-0.036D AS l_discount", "0D AS l_tax", "id AS l_partkey", "'A' AS l_returnflag")
+    rows.select([c.split()[0] for c in side.split(", ")]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, took = timed(lambda: QUERIES["g7_static_clusters"](spark, str(tmp_path)).collect())
+    assert len(found) == 6000 and {r.n for r in found} == {4} and took < 8
