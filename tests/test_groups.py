@@ -73,3 +73,13 @@ def test_static_clusters_of_many_places(spark, tmp_path):
     rows.select([c.split()[0] for c in side.split(", ")]).write.parquet(f"{tmp_path}/lineitem.parquet")
     found, took = timed(lambda: QUERIES["g7_static_clusters"](spark, str(tmp_path)).collect())
     assert len(found) == 6000 and {r.n for r in found} == {4} and took < 8
+
+
+def test_drifting_places():
+    for limit, best in ((0.3, False), (0.6, True), (0.75, False)):
+        boxes = np.repeat(scattered(40, 3), 9, 0) * np.random.default_rng(2).uniform(0.97, 1.03, (360, 1))
+        found, where = places.walked(boxes, limit, 0.3, best=best)
+        want, at = plain_walk(boxes.tolist(), limit, 0.3, best)
+        assert found.tolist() == want and np.allclose(where, at)
+    found, took = timed(lambda: places.walked(np.tile(scattered(9000), (2, 1)), 0.75, 0.3)[0])
+    assert found[:9000].tolist() == found[9000:].tolist() and took < 3
