@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from visitlens.functions import columns
 from visitlens.functions.columns import micros
 from visitlens.operators import blocks, evaluation, geometry, identity, intervals, order, sessions, vectors
+from visitlens.operators.groups import walk_groups
 from visitlens.operators.profiles import top_per_group
 from visitlens.plans.evaluation import GRADED, LOO, MARGINS, PAIRS, THRESHOLDS, UNITS, graded, left_out, units
 from visitlens.plans.intervals import visit_clips
@@ -263,18 +266,19 @@ def g21_clusters_by_size(t: Tables) -> DataFrame:
 
 @register()
 def w13_spaced_frames(t: Tables) -> DataFrame:
-    """The best frames of each source and day at least an hour apart, three at most; best first, so a day is one group."""
-    import pandas as pd
+    """The best frames of each source and day at least an hour apart, three at most; best first. A task walks its days one after the other."""
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for r in pdf.sort_values(["confidence", "id"], ascending=[False, True]).itertuples():
-            if len(kept) < 3 and all(abs(r.at_s - k.at_s) >= 3600 for k in kept):
-                kept.append(r)
-        return pdf[pdf["id"].isin([k.id for k in kept])][["source", "day", "id"]]
+    def each(key: tuple, frames: Iterator[tuple]) -> Iterator[tuple]:
+        kept: list[float] = []
+        for number, at_s in frames:
+            if len(kept) < 3 and all(abs(at_s - k) >= 3600 for k in kept):
+                kept.append(at_s)
+                yield (*key, number)
 
     rows = t.detections.select("source", F.to_date("ts").cast("string").alias("day"), "id", "confidence", (micros("ts") / 1e6).alias("at_s"))
-    return rows.groupBy("source", "day").applyInPandas(each, "source long, day string, id long")
+    rows = rows.withColumn("at_s", F.coalesce("at_s", F.lit(float("nan"))))
+    best = walk_groups(rows, ["source", "day"], [F.desc_nulls_last("confidence"), "id"], lambda key, frames: each(key, (r[::2] for r in frames)), "source long, day string, id long")
+    return best
 
 
 @register("WITH b AS (SELECT source, id, confidence, least(4, CAST(floor(5 * (epoch_us(ts) - 1704067200000000) / (30 * 86400e6)) AS BIGINT)) AS bucket FROM detections WHERE k >= 20) SELECT source, bucket, arg_min(id, (-confidence, id)) AS id FROM b GROUP BY source, bucket", *DET)
