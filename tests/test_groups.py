@@ -90,3 +90,10 @@ def test_many_days(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     found, took = timed(lambda: {r.id for r in QUERIES["w13_spaced_frames"](spark, str(tmp_path)).collect()})
     assert found == {i for i in range(60_000) if i % 3 != 1} and took < 12  # a call for each of 20,000 days takes more than twice as long
+
+
+def test_many_visits(spark):
+    # Two boxes that stay where they are for three frames, in each of 8,000 visits; a call for each takes about a minute.
+    rows = spark.range(48_000).selectExpr("id div 6 AS visit", "id", "double(id div 2 % 3) AS at_s", "double(500 * (id % 2)) AS x1", "0D AS y1", "double(500 * (id % 2) + 50) AS x2", "50D AS y2")
+    found, took = timed(lambda: geometry.still_tracklets(rows).groupBy("track", "apart").count().collect())
+    assert {(r.track, tuple(r.apart), r["count"]) for r in found} == {(0, (1,), 24_000), (1, (0,), 24_000)} and took < 15
