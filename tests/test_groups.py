@@ -9,7 +9,7 @@ import numpy as np
 
 from tests.test_places import plain_walk
 from visitlens.catalog import QUERIES
-from visitlens.operators import geometry, places
+from visitlens.operators import geometry, identity, places
 
 
 def timed(f):
@@ -97,3 +97,12 @@ def test_many_visits(spark):
     rows = spark.range(48_000).selectExpr("id div 6 AS visit", "id", "double(id div 2 % 3) AS at_s", "double(500 * (id % 2)) AS x1", "0D AS y1", "double(500 * (id % 2) + 50) AS x2", "50D AS y2")
     found, took = timed(lambda: geometry.still_tracklets(rows).groupBy("track", "apart").count().collect())
     assert {(r.track, tuple(r.apart), r["count"]) for r in found} == {(0, (1,), 24_000), (1, (0,), 24_000)} and took < 15
+
+
+def test_unblending_many_visits(spark):
+    vector = "CASE WHEN id % 2 = 0 THEN array(1F, 0F) ELSE array(0F, 1F) END"
+    rows = spark.range(18_000).selectExpr("id div 6 AS visit", "1L AS source", "id", "double(id div 2 % 3) AS at_s", "double(500 * (id % 2)) AS x1", "0D AS y1", "double(500 * (id % 2) + 50) AS x2", "50D AS y2", "0.5D AS quality", "string(null) AS label", f"{vector} AS embedding")
+    made = spark.createDataFrame([(1, "stan", [1.0, 0.0]), (1, "olive", [0.0, 1.0])], "source long, name string, embedding array<double>")
+    logged = spark.range(3000).selectExpr("id AS visit", "array('olive', 'stan') AS names")
+    found, took = timed(lambda: identity.unblend_stills(rows, made, logged).groupBy("cluster", "name", "n_crops", "cohesion").count().collect())
+    assert {tuple(r) for r in found} == {(0, "stan", 3, 1.0, 3000), (1, "olive", 3, 1.0, 3000)} and took < 25
