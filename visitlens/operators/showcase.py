@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.operators.blocks import over_pairs, packed
+from visitlens.operators.blocks import Gather, over_pairs, packed
 from visitlens.sources.scratch import kept
 
 #: Bins of a cosine in which pairs are counted before those of one bin are ranked.
@@ -31,6 +33,21 @@ def best_pair(rows: DataFrame, *, size: int = 256) -> DataFrame:
     return top.select("x.a", "x.b", (-F.col("x.less")).alias("similarity"))
 
 
+class Counts(Gather):
+    """How many pairs of a task lie in each bin."""
+
+    def __init__(self):
+        self.n = np.zeros(BINS, np.int64)
+
+    def add(self, x: dict, y: dict, found: np.ndarray) -> Iterator[pd.DataFrame]:
+        self.n += np.bincount(found, minlength=BINS)
+        return iter(())
+
+    def close(self) -> Iterator[pd.DataFrame]:
+        bins = np.flatnonzero(self.n)
+        yield pd.DataFrame({"bin": bins, "n": self.n[bins]})
+
+
 def middle_pair(rows: DataFrame, *, size: int = 256) -> DataFrame:
     """(a, b, similarity): of all pairs of different tags, by rising likeness and then by ids, the one in the middle (the
     upper of two).
@@ -46,11 +63,7 @@ def middle_pair(rows: DataFrame, *, size: int = 256) -> DataFrame:
         bins = np.clip(((s + 1) / 2 * BINS).astype(np.int64), 0, BINS - 1)
         return a[good], b[good], s[good], bins[good]
 
-    def count(x: dict, y: dict, s: np.ndarray) -> pd.DataFrame:
-        found, n = np.unique(pairs(x, y, s)[3], return_counts=True)
-        return pd.DataFrame({"bin": found, "n": n})
-
-    counts = {r["bin"]: r["n"] for r in over_pairs(blocks, count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["bin"]: r["n"] for r in over_pairs(blocks, lambda x, y, s: pairs(x, y, s)[3], "bin long, n long", gather=Counts).groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     total, before, wanted = sum(counts.values()), 0, None
     for b in sorted(counts):
         if before + counts[b] > total // 2:
