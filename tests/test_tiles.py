@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from visitlens.operators import blocks, geometry
+from visitlens.operators import blocks, evaluation, geometry
 from visitlens.operators.graph import components
 
 
@@ -50,3 +50,19 @@ def test_links_are_few(spark):
     assert parts == {i: int(label[i]) for i in range(400) if s[i].any()}
     # All pairs were handed on before; now a tile's ids less one, at most, for each pair of tiles.
     assert made.count() < 12 * 400 < s.sum() // 2
+
+
+def test_scores_leave_a_task_once(spark):
+    x = unit_rows(300, 5, 5)
+    rows = [(i, i % 3, 19_000 + i // 30, v.tolist()) for i, v in enumerate(x)]
+    units = spark.createDataFrame(rows, "probe long, truth int, day int, v array<double>")
+    found = evaluation.name_scores(units, embargoes=(3,), size=16)
+    got = {(r.probe, r.rule, r.name): r.similarity for r in found.collect()}
+    want = {}
+    for i, t, d, _ in rows:
+        for j, n, e, _ in rows:
+            for rule, good in (("free", i != j), ("blocked", i != j and (t, d) != (n, e)), ("3", i != j and (t, d) != (n, e) and abs(d - e) > 3)):
+                if good:
+                    want[i, rule, n] = max(want.get((i, rule, n), -2.0), float(x[i] @ x[j]))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]

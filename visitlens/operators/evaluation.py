@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitlens.operators.blocks import over_pairs, packed
+from visitlens.operators.blocks import Gather, over_pairs, packed
 
 #: Bin edges as a linear spacing makes them; three of them lie just above the decimal they stand for.
 EDGES = [i * 0.1 for i in range(11)]
@@ -114,12 +114,14 @@ def name_scores(units: DataFrame, *, embargoes: tuple[int, ...] = (), size: int
     """(probe, truth, rule, name, similarity): the best template of each name for each probe, under all rules at once.
 
     ``units``: probe, truth (a number below 2^31), day (since 1970), v: each is a probe and a template of its name. Rules are
-    ``FREE``, ``BLOCKED`` and each of ``embargoes`` as text (blocked, and more than so many days apart). All products are made once, in
-    blocks, and only the best of each name leaves a block.
+    ``FREE``, ``BLOCKED`` and each of ``embargoes`` as text (blocked, and more than so many days apart). Products are made in
+    blocks; a task goes with a tile of probes through all templates, and only the best of each name leaves it.
     """
     rows = units.select(F.lit(0).alias("key"), F.col("probe").alias("id"), (F.shiftleft(F.col("truth").cast("long"), 32) + F.col("day")).alias("tag"), F.col("v").alias("embedding"))
 
-    def best(probes: dict, templates: dict, s: np.ndarray) -> list[pd.DataFrame]:
+    rules = (FREE, BLOCKED, *map(str, embargoes))
+
+    def best(probes: dict, templates: dict, s: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         by = np.argsort(templates["tags"], kind="stable")
         name, day, s = templates["tags"][by] >> 32, templates["tags"][by] & 0xFFFFFFFF, s[:, by]
         starts = np.flatnonzero(np.r_[True, np.diff(name) != 0])
@@ -127,18 +129,30 @@ def name_scores(units: DataFrame, *, embargoes: tuple[int, ...] = (), size: int
         other = probes["ids"][:, None] != templates["ids"][by][None]
         apart = np.abs(own[:, None] - day[None])
         fair = other & ~((truth[:, None] == name[None]) & (apart == 0))
-        out = []
-        for rule, mask in ((FREE, other), (BLOCKED, fair), *((str(d), fair & (apart > d)) for d in embargoes)):
-            top = np.maximum.reduceat(np.where(mask, s, -np.inf), starts, axis=1)
-            i, j = np.nonzero(top > -np.inf)
-            out.append(pd.DataFrame({"probe": probes["ids"][i], "truth": truth[i], "rule": rule, "name": name[starts[j]], "similarity": top[i, j]}))
-        return out
-
-    def each(x: dict, y: dict, s: np.ndarray) -> pd.DataFrame:
-        return pd.concat(best(x, y, s) + ([] if x["block"] == y["block"] else best(y, x, s.T)))
-
-    found = over_pairs(packed(rows, size=size), each, "probe long, truth long, rule string, name long, similarity double")
-    return found.groupBy("probe", "truth", "rule", "name").agg(F.max("similarity").alias("similarity"))
+        masks = (other, fair, *(fair & (apart > d) for d in embargoes))
+        return name[starts], [np.maximum.reduceat(np.where(m, s, -np.inf), starts, axis=1) for m in masks]
+
+    class Best(Gather):
+        """The best of each name for the probes of a tile, over all templates."""
+
+        def __init__(self):
+            self.held: dict[int, tuple[dict, dict[int, np.ndarray]]] = {}
+
+        def add(self, x: dict, y: dict, found: tuple) -> Iterator[pd.DataFrame]:
+            own = self.held.setdefault(x["block"], (x, {}))[1]
+            for j, name in enumerate(found[0].tolist()):
+                new = np.stack([top[:, j] for top in found[1]])
+                own[name] = np.maximum(own[name], new) if name in own else new
+            return iter(())
+
+        def close(self) -> Iterator[pd.DataFrame]:
+            for x, own in self.held.values():
+                truth = x["tags"] >> 32
+                for name, top in own.items():
+                    r, i = np.nonzero(top > -np.inf)
+                    yield pd.DataFrame({"probe": x["ids"][i], "truth": truth[i], "rule": np.array(rules, object)[r], "name": name, "similarity": top[r, i]})
+
+    return over_pairs(packed(rows, size=size), best, "probe long, truth long, rule string, name long, similarity double", gather=Best, directed=True)
 
 
 def right_ones(scores: DataFrame) -> DataFrame:
