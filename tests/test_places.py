@@ -113,3 +113,18 @@ def test_furniture(spark):
     assert all(np.allclose([found[k][c] for c in places.SIDES], want[k][0]) and found[k].n == want[k][1] for k in want)
     got = {(r.night, r.at): (r.n, r.clean) for r in places.clean_counts(b, f, things).collect()}
     assert got == clean and any(a != b for a, b in clean.values())
+
+
+def test_sweep_moves_few_pictures(spark, monkeypatch):
+    seen, plain = [], places.walk_groups
+
+    def noted(rows, keys, *rest):
+        seen.append((keys, "thumb" in rows.columns, rows.count()))
+        return plain(rows, keys, *rest)
+
+    monkeypatch.setattr(places, "walk_groups", noted)
+    rows = spark.range(500).selectExpr("1L AS source", "id", "double(id) AS at_s", "0D AS x1", "0D AS y1", "60D AS x2", "50D AS y2", "array(0D, 1D, double(id % 2)) AS thumb")
+    dropped, rest = places.sweep(rows, spark.createDataFrame([(1, -1)], "source long, mark long"), rigid=5.0)
+    assert dropped.where("reason = 'rigid' and n = 500").count() == 500 and rest.count() == 0
+    # All boxes are walked without their pictures; of a place of 500, twelve are compared.
+    assert seen == [(["source"], False, 500), (["source", "place"], True, 12)]
