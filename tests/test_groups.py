@@ -106,3 +106,11 @@ def test_unblending_many_visits(spark):
     logged = spark.range(3000).selectExpr("id AS visit", "array('olive', 'stan') AS names")
     found, took = timed(lambda: identity.unblend_stills(rows, made, logged).groupBy("cluster", "name", "n_crops", "cohesion").count().collect())
     assert {tuple(r) for r in found} == {(0, "stan", 3, 1.0, 3000), (1, "olive", 3, 1.0, 3000)} and took < 25
+
+
+def test_places_are_held_not_boxes(spark):
+    # A source's boxes pass a task one by one: the walk is fed before the last one is there.
+    rows = spark.range(30_000).selectExpr("1L AS source", "id", "id AS at", "double(100 * (id % 3)) AS x1", "0D AS y1", "double(100 * (id % 3) + 60) AS x2", "50D AS y2")
+    made = geometry.place_clusters(rows, limit=0.6, drift=0.1, best=True)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.cluster, r["count"]) for r in made.groupBy("cluster").count().collect()} == {(0, 10_000), (1, 10_000), (2, 10_000)}
